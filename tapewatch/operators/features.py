@@ -130,16 +130,16 @@ def finite_features(df: DataFrame, columns=FEATURES) -> DataFrame:
     return df.withColumns({c: finite(F.col(c)) for c in columns})
 
 
-def default_of(column: str) -> Column | None:
+def default_of(column: str) -> float | None:
     """The fixed default of a feature while it is unknown; None means its mean."""
     if column == "RSI":
-        return F.lit(50.0)
+        return 50.0
     if column == "BB_Position":
-        return F.lit(0.5)
+        return 0.5
     if column == "Volume_Ratio":
-        return F.lit(1.0)
+        return 1.0
     if "Change" in column or "Gap" in column:
-        return F.lit(0.0)
+        return 0.0
     return None
 
 
@@ -161,7 +161,7 @@ def fill_defaults(series: Series, columns=FEATURES) -> DataFrame:
 def _filled(column: str) -> Column:
     default = default_of(column)
     if default is not None:
-        return F.coalesce(F.col(column).cast("double"), default)
+        return F.coalesce(F.col(column).cast("double"), F.lit(default))
     return F.coalesce(F.col(column).cast("double"), F.col(f"_m_{column}"), F.lit(0.0))
 
 

@@ -27,22 +27,30 @@ def query(name: str, sql: str | None = None):
 
 
 def shown(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Columns as answers: time as text, doubles rounded without negative zero."""
+    """Columns as answers: time as text, doubles rounded without negative zero.
+
+    Prices are cents over small counts, so many values lie exactly between two
+    rounded ones; ``nudge`` moves those to one side for both engines.
+    """
     out = []
     for c in columns:
         kind = df.schema[c].dataType.typeName()
         if kind == "timestamp":
             out.append(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c))
         elif kind == "double":
-            out.append((F.round(F.col(c), digits) + F.lit(0.0)).alias(c))
+            out.append((F.round(F.col(c) + nudge(digits), digits) + F.lit(0.0)).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)
 
 
+def nudge(digits: int) -> float:
+    return float(f"3.1e-{digits + 4}")
+
+
 def r(*columns: str, digits: int = 6) -> str:
     """The SQL twin of ``shown`` for double columns."""
-    return ", ".join(f'round("{c}", {digits}) + 0.0 as "{c}"' for c in columns)
+    return ", ".join(f'round("{c}" + {nudge(digits)}, {digits}) + 0.0 as "{c}"' for c in columns)
 
 
 TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') as ts"
@@ -150,3 +158,46 @@ def answer(view: str, upto: str, body: str, *more: str) -> str:
     """SQL over a bar view carried to the named step, then further CTEs and a body."""
     ctes = [BARS[view], *_STEPS[upto], *more]
     return "with recursive" + ",".join(ctes) + "\n" + body
+
+
+# ------------------------------------------------------------- scoring answers
+def scored_steps(view: str = "brand") -> tuple[str, ...]:
+    """CTEs from labelled bars to error, probability and ensemble."""
+    from tapewatch.operators import scoring as sc
+    from tapewatch.schema import FEATURES, STORED_PARAMETERS as sp
+
+    known = " and ".join(f'"{c}" is not null' for c in FEATURES)
+    hashed = "(('0x' || substr(md5(symbol || '|' || epoch_us(ts) || '|42'), 1, 8))::bigint / 4294967296.0)"
+    dataset = f"""
+dataset as materialized (
+  select *, case when {hashed} < 0.15 then 'test' when {hashed} < 0.15 + 0.85 * 0.176 then 'validation' else 'train' end as part
+  from labelled where {known})"""
+    stats = ", ".join(
+        f'avg("{c}") as "m_{c}", case when stddev_pop("{c}") = 0 then 1 else stddev_pop("{c}") end as "s_{c}"'
+        for c in FEATURES)
+    scaler = f"""
+scaler as (select {stats} from dataset where part = 'train')"""
+    z = [f'(("{c}" - "m_{c}") / "s_{c}")' for c in FEATURES]
+    named = ", ".join(f"{e} as z{i}" for i, e in enumerate(z))
+    scaled = f"""
+scaled as materialized (select dataset.*, {named} from dataset, scaler)"""
+    flat = " + ".join(f"z{i}" for i in range(20))
+    comb = " ".join(f"{'+' if i % 2 == 0 else '-'} z{i}" for i in range(20))
+    squares = " + ".join(f"z{i} * z{i}" for i in range(20))
+    logit = " + ".join(f"{w} * z{FEATURES.index(c)}" for c, w in sc.LOGIT_WEIGHTS.items())
+    # Orthonormal directions: the residual is the norm less the two projections.
+    modelled = f"""
+modelled as materialized (
+  select *, ({squares} - ({flat}) * ({flat}) / 20 - (0 {comb}) * (0 {comb}) / 20) / 20 as error,
+    1 / (1 + exp(-({sc.LOGIT_INTERCEPT} + {logit}))) as prob from scaled)"""
+    lo, hi = sp["reconstruction_error_min"], sp["reconstruction_error_max"]
+    scored = f"""
+scored as materialized (
+  select *, {sp["best_ensemble_ae_weight"]} * greatest(0, least(1, (error - {lo}) / ({hi} - {lo})))
+      + {sp["best_ensemble_clf_weight"]} * prob as ensemble,
+    (error > {sp["autoencoder_f1_threshold"]})::int as anomaly from modelled)"""
+    return dataset, scaler, scaled, modelled, scored
+
+
+def scored_answer(body: str, *more: str, view: str = "brand") -> str:
+    return answer(view, "labelled", body, *scored_steps(view), *more)

@@ -85,9 +85,9 @@ def _(spark, folder):
 
 
 @query("src_7_message_to_bar", f"""
-select event_id, event_type as symbol, round(value, 6) + 0.0 as open, round(value, 6) + 0.0 as close, event_id % 97 + 1 as volume,
-  round(case when event_id % 12 in (4, 11) then value / 2 end, 6) + 0.0 as previous_close,
-  round(case event_id % 12 when 5 then value * 2 when 10 then value * 3 end, 6) + 0.0 as adj_close
+select event_id, event_type as symbol, round(value + 3.1e-10, 6) + 0.0 as open, round(value + 3.1e-10, 6) + 0.0 as close, event_id % 97 + 1 as volume,
+  round(case when event_id % 12 in (4, 11) then value / 2 end + 3.1e-10, 6) + 0.0 as previous_close,
+  round(case event_id % 12 when 5 then value * 2 when 10 then value * 3 end + 3.1e-10, 6) + 0.0 as adj_close
 from events where {_OK}""")
 def _(spark, folder):
     return shown(feed.good_bars(read(spark, folder), "event_id"),
@@ -108,9 +108,9 @@ def _(spark, folder):
 
 @query("src_8_payload", """
 select event_id // 10 as batch, case when event_id % 7 = 0 then 'UNKNOWN' else event_type end as symbol,
-  strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, round(value, 6) + 0.0 as close,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, round(value + 3.1e-10, 6) + 0.0 as close,
   case when event_id % 5 = 0 then 0 else event_id % 97 end as volume,
-  round(case when event_id % 3 = 0 then 0 else value / 2 end, 6) + 0.0 as previous_close
+  round(case when event_id % 3 = 0 then 0 else value / 2 end + 3.1e-10, 6) + 0.0 as previous_close
 from events""")
 def _(spark, folder):
     """Ten events per JSON array, wrapped in ``data`` or bare, with fields left out."""
@@ -162,7 +162,7 @@ _SENT = "md5(symbol || '|' || epoch(ts)::bigint)"
 
 @query("src_11_build_messages", answer("event", "bars", f"""
 select 'market-data-' || upper(symbol) as key, 'MARKET_DATA' as message_type, symbol, 'yahoo_finance' as source,
-  round(close, 6) + 0.0 as close, volume, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {_SENT} as batch_id,
+  round(close + 3.1e-10, 6) + 0.0 as close, volume, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, {_SENT} as batch_id,
   strftime(ts + interval 1 hour, '%Y-%m-%dT%H:%M:%S.%fZ') as sent from bars"""))
 def _(spark, folder):
     """Build, then read back what was built."""
@@ -214,9 +214,9 @@ def _(spark, folder):
 
 @query("src_16_quote_snapshot", """
 select o_orderkey as id, o_orderpriority as symbol, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as ts,
-  round(case when o_orderkey % 4 = 0 then 0 else o_totalprice end, 6) + 0.0 as close,
+  round(case when o_orderkey % 4 = 0 then 0 else o_totalprice end + 3.1e-10, 6) + 0.0 as close,
   case when o_orderkey % 6 = 0 then 0 else o_custkey end as volume,
-  round(case when o_orderkey % 3 <> 0 then o_totalprice / 2 end, 6) + 0.0 as previous_close
+  round(case when o_orderkey % 3 <> 0 then o_totalprice / 2 end + 3.1e-10, 6) + 0.0 as previous_close
 from orders""")
 def _(spark, folder):
     o = table(spark, folder, "orders")
@@ -254,15 +254,15 @@ def _day_lists(spark, folder):
 
 
 @query("src_17_quote_list", answer("event", "bars", """
-select symbol, round(c[-1], 6) + 0.0 as close, v[-1] as volume,
-  round(coalesce(c[-2], c[-1] * 0.99), 6) + 0.0 as previous_close from days""", _DAYS))
+select symbol, round(c[-1] + 3.1e-10, 6) + 0.0 as close, v[-1] as volume,
+  round(coalesce(c[-2], c[-1] * 0.99) + 3.1e-10, 6) + 0.0 as previous_close from days""", _DAYS))
 def _(spark, folder):
     return shown(qt.latest_of_list(_day_lists(spark, folder)), "symbol", "close", "volume", "previous_close")
 
 
 @query("src_18_chart_arrays", answer("event", "bars", """
-select symbol, (unnest(range(len(c))))::int as position, round(unnest(o), 6) + 0.0 as open,
-  round(unnest(c), 6) + 0.0 as close, unnest(v) as volume from days""", _DAYS))
+select symbol, (unnest(range(len(c))))::int as position, round(unnest(o) + 3.1e-10, 6) + 0.0 as open,
+  round(unnest(c) + 3.1e-10, 6) + 0.0 as close, unnest(v) as volume from days""", _DAYS))
 def _(spark, folder):
     charts = _day_lists(spark, folder).select(
         "symbol", F.lit(None).cast("double").alias("previous_close"),
@@ -271,7 +271,7 @@ def _(spark, folder):
 
 
 @query("src_19_standardise", """
-select o_orderkey as "Id", round(o_totalprice, 6) + 0.0 as "Close", o_custkey as "Volume" from orders""")
+select o_orderkey as "Id", round(o_totalprice + 3.1e-10, 6) + 0.0 as "Close", o_custkey as "Volume" from orders""")
 def _(spark, folder):
     raw = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("Id"), F.col("o_totalprice").alias("cLOSE"),
@@ -280,7 +280,7 @@ def _(spark, folder):
 
 
 @query("src_20_clean_bars", answer("priority", "bars", """
-select symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, round(close, 6) + 0.0 as close, volume from bars
+select symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, round(close + 3.1e-10, 6) + 0.0 as close, volume from bars
 where epoch(ts)::bigint // 86400 % 5 <> 0 and epoch(ts)::bigint // 86400 % 7 <> 0"""))
 def _(spark, folder):
     """Bars with prices and volumes knocked out by date are dropped whole."""
