@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -44,3 +44,13 @@ def calendar(ts: Column) -> dict[str, Column]:
         "IsMonday": (F.weekday(ts) == 0).cast("int"),
         "IsFriday": (F.weekday(ts) == 4).cast("int"),
     }
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that the optimizer does not copy into filters above them.
+
+    A filter on a wide expression is otherwise pushed down as a copy of it, and
+    the null checks inferred from that copy multiply with every alias below.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))

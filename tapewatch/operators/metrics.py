@@ -135,15 +135,15 @@ def strictly_above(df: DataFrame, score: str, label: str, threshold: DataFrame)
 
 def hybrid_scores(df: DataFrame, error: str, probability: str) -> DataFrame:
     """Each row under the four weight pairs, with the min-max normalised error."""
-    span = df.agg(F.min(error).alias("low"), F.max(error).alias("high"))
+    span = df.agg(F.min(error).alias("_low"), F.max(error).alias("_high"))
     pairs = F.array(*[
         F.struct(F.lit(i).alias("pair"), F.lit(a).alias("ae_weight"), F.lit(c).alias("clf_weight"))
         for i, (a, c) in enumerate(WEIGHT_PAIRS)])
-    scaled = ratio(F.col(error) - F.col("low"), F.col("high") - F.col("low"))
+    scaled = ratio(F.col(error) - F.col("_low"), F.col("_high") - F.col("_low"))
     return (
         attach(df, span).withColumn("_w", F.explode(pairs)).select("*", "_w.*")
         .withColumn("hybrid", F.col("ae_weight") * scaled + F.col("clf_weight") * F.col(probability))
-        .drop("_w", "low", "high"))
+        .drop("_w", "_low", "_high"))
 
 
 def best_weights(df: DataFrame, error: str, probability: str, label: str) -> DataFrame:

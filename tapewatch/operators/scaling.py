@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapewatch.functions.expr import hash_fraction
@@ -25,7 +27,20 @@ def bar_key() -> tuple[Column, Column]:
     return F.col("symbol"), F.unix_micros("ts")
 
 
-def scaler(df: DataFrame, columns=FEATURES) -> DataFrame:
+@dataclass(frozen=True)
+class Scaler:
+    """Fitted means and scales, one pair per feature."""
+
+    means: dict[str, float]
+    scales: dict[str, float]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``z_`` columns: (value - mean) / scale."""
+        return df.withColumns({
+            f"z_{c}": (F.col(c).cast("double") - self.means[c]) / self.scales[c] for c in self.means})
+
+
+def scaler_statistics(df: DataFrame, columns=FEATURES) -> DataFrame:
     """One row of means and population deviations; a constant column gets scale 1."""
     stats = []
     for c in columns:
@@ -36,10 +51,8 @@ def scaler(df: DataFrame, columns=FEATURES) -> DataFrame:
     return df.agg(*stats)
 
 
-def standardise(df: DataFrame, stats: DataFrame, columns=FEATURES) -> DataFrame:
-    """Add ``z_`` columns: (value - mean) / scale."""
-    z = {
-        f"z_{c}": (F.col(c).cast("double") - F.col(f"_s.{c}_mean")) / F.col(f"_s.{c}_scale")
-        for c in columns}
-    packed = stats.select(F.struct(*stats.columns)).scalar()
-    return df.withColumn("_s", packed).withColumns(z).drop("_s")
+def fit_scaler(df: DataFrame, columns=FEATURES) -> Scaler:
+    """Run the statistics and keep the two numbers per column."""
+    row = scaler_statistics(df, columns).first()
+    return Scaler(
+        {c: row[f"{c}_mean"] for c in columns}, {c: row[f"{c}_scale"] for c in columns})

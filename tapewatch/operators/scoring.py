@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapewatch.functions.expr import clamp, finite, ratio
+from tapewatch.functions.expr import clamp, computed_once, ratio
 from tapewatch.operators.features import market_data
 from tapewatch.operators.labels import SUSPICIOUS, is_suspicious, risk_level, with_alerts
 from tapewatch.schema import FEATURES, STORED_PARAMETERS
@@ -29,18 +27,16 @@ def _total(parts: list[Column]) -> Column:
 
 def closed_form_scores(df: DataFrame) -> DataFrame:
     """Add ``error`` and ``classifier_probability`` from the ``z_`` columns."""
-    z = [F.coalesce(F.col(f"z_{c}"), F.lit(0.0)) for c in FEATURES]
-    unit = 1 / math.sqrt(len(z))
-    flat = _total(z) * unit
-    comb = _total([v if i % 2 == 0 else -v for i, v in enumerate(z)]) * unit
-    rest = [
-        F.pow(v - flat * unit - comb * (unit if i % 2 == 0 else -unit), F.lit(2.0))
-        for i, v in enumerate(z)]
-    logit = F.lit(LOGIT_INTERCEPT) + _total([
-        F.lit(w) * F.coalesce(F.col(f"z_{c}"), F.lit(0.0)) for c, w in LOGIT_WEIGHTS.items()])
-    return df.withColumns({
-        "error": _total(rest) / len(z),
-        "classifier_probability": 1 / (1 + F.exp(-logit))})
+    z = [F.col(f"z_{c}") for c in FEATURES]
+    # The directions are orthonormal, so the residual is the norm less both projections.
+    flat = _total(z)
+    comb = _total([v if i % 2 == 0 else -v for i, v in enumerate(z)])
+    df = df.withColumns({"_norm": _total([v * v for v in z]), "_flat": flat, "_comb": comb})
+    n = len(z)
+    residual = F.col("_norm") - (F.col("_flat") * F.col("_flat") + F.col("_comb") * F.col("_comb")) / n
+    logit = F.lit(LOGIT_INTERCEPT) + _total([F.lit(w) * F.col(f"z_{c}") for c, w in LOGIT_WEIGHTS.items()])
+    scored = computed_once(df, error=residual / n, classifier_probability=1 / (1 + F.exp(-logit)))
+    return scored.drop("_norm", "_flat", "_comb")
 
 
 def training_ensemble(error: Column, probability: Column, threshold: Column) -> Column:
@@ -84,9 +80,10 @@ def detections(
 ) -> DataFrame:
     """Ensemble, flags, risk and alerts for rows with error and probability."""
     error, probability = F.col("error"), F.col("classifier_probability")
-    df = scored.withColumns({
-        "ensemble_score": scoring_ensemble(error, probability, parameters),
-        "anomaly_score": anomaly_flag(error, parameters, anomaly_mode)})
+    df = computed_once(
+        scored,
+        ensemble_score=scoring_ensemble(error, probability, parameters),
+        anomaly_score=anomaly_flag(error, parameters, anomaly_mode))
     df = with_alerts(df.withColumns({
         "is_suspicious": is_suspicious(F.col("ensemble_score"), threshold),
         "risk_level": risk_level(F.col("ensemble_score"))}))
@@ -95,8 +92,3 @@ def detections(
         "anomaly_score", "is_suspicious", "risk_level", market_data().alias("market_data"),
         "alerts", "alert_codes")
 
-
-def standardise_by(df: DataFrame, means: dict[str, float], scales: dict[str, float]) -> DataFrame:
-    """Standardise with stored numbers, as a stream must."""
-    return df.withColumns({
-        f"z_{c}": (F.coalesce(finite(F.col(c)), F.lit(0.0)) - means[c]) / scales[c] for c in FEATURES})

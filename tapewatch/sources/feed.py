@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tapewatch.functions.expr import filled
+from tapewatch.functions.expr import computed_once, filled
 from tapewatch.operators.series import lay_out
 from tapewatch.schema import PRICE_COLUMNS
 
@@ -55,16 +55,11 @@ PAYLOAD = T.ArrayType(T.StructType([T.StructField("data", T.StructType(_POINT)),
 
 def parse_messages(df: DataFrame, body: str = "body") -> DataFrame:
     """Add ``top`` and ``data`` key maps and ``parsed``; the raw body stays."""
-    df = _once(df, "top", F.from_json(body, MAP))
-    df = _once(df, "data", F.from_json(F.col("top")["data"], MAP))
+    df = computed_once(df, top=F.from_json(body, MAP))
+    df = computed_once(df, data=F.from_json(F.col("top")["data"], MAP))
     return df.withColumn("parsed", F.coalesce(F.size("top") > 0, F.lit(False)) | (F.trim(body) == "{}"))
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that later filters read instead of computing it again."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def _has(source: str, key: str) -> Column:
     return F.coalesce(F.map_contains_key(F.col(source), key), F.lit(False))
 
