@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapewatch.schema import BAR, BAR_COLUMNS, PRICE_COLUMNS
-from tapewatch.session import cut
 
 # Accepted spellings of the price columns.
 STANDARD_NAMES = {
@@ -138,9 +137,17 @@ def read_bars(spark: SparkSession, path: str, form: str = "parquet") -> DataFram
 
 
 def write_symbol_csvs(bars: DataFrame, path: str) -> None:
-    """One CSV folder per symbol in the layout ``read_bar_folder`` accepts."""
+    """One ``<symbol>.csv`` per symbol, the layout ``read_bar_folder`` takes."""
+    spark = bars.sparkSession
     (bars.select(
         "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Date"),
         F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"),
         F.col("close").alias("Close"), F.col("close").alias("Adj Close"), F.col("volume").alias("Volume"))
-     .write.partitionBy("symbol").option("header", True).csv(path))
+     .repartition("symbol").write.partitionBy("symbol").option("header", True).csv(f"{path}/parts"))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(f"{path}/named")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target)
+    for part in fs.globStatus(hadoop.Path(f"{path}/parts/symbol=*/part-*.csv")):
+        symbol = part.getPath().getParent().getName().split("=", 1)[1]
+        fs.rename(part.getPath(), hadoop.Path(target, f"{symbol}.csv"))
