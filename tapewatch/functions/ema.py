@@ -3,7 +3,8 @@
 With d = 1 - alpha the average is a sum of w_i * d^(n-i).  Rows are taken in blocks;
 inside a block the sum is a running sum of w * d^-j scaled back by d^j, and
 what the block before contributes is that block's final value times d^(j+1).
-Older blocks weigh less than one bit.
+Older blocks weigh less than one bit.  d^-1023 must stay a double, which holds for
+every alpha below 0.49; a larger alpha is fine on series shorter than a block.
 """
 
 from __future__ import annotations

@@ -198,7 +198,7 @@ def bars_customer(spark, folder):
     ticks = table(spark, folder, "orders").select(
         F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"), F.col("o_orderdate").alias("ts"),
         F.col("o_totalprice").alias("price"), (F.col("o_custkey") % 50).alias("qty"), "o_orderkey")
-    bars = ticks_to_bars(ticks, "day", ["o_orderkey"])
+    bars = ticks_to_bars(ticks, "day", "o_orderkey")
     return bars.withColumn("previous_close", F.when(F.col("volume") % 3 != 0, F.col("open") * 0.97))
 
 

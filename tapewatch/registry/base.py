@@ -56,7 +56,7 @@ def r(*columns: str, digits: int = 6) -> str:
 TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') as ts"
 KEY = f"symbol, {TS}"
 
-_BRAND_KEY = "{k1: l_orderkey, k2: l_linenumber, k3: l_partkey, k4: l_suppkey, k5: l_extendedprice}"
+_BRAND_KEY = "{k1: l_orderkey, k2: l_linenumber, k3: (l_partkey * 31 + l_suppkey) % 1048576}"
 BARS = {
     "brand": f"""
 bars as materialized (

@@ -50,13 +50,13 @@ for _form in ("parquet", "csv"):
 
 
 @query("src_22_result_sink", scored_answer("""
-select strftime(ts, '%Y-%m-%d') as day, case when ensemble > 0.7 then 'HIGH' when ensemble > 0.3 then 'MEDIUM' else 'LOW' end as risk_level, count(*) as n_rows
+select strftime(ts, '%Y-%m') as month, case when ensemble > 0.7 then 'HIGH' when ensemble > 0.3 then 'MEDIUM' else 'LOW' end as risk_level, count(*) as n_rows
 from scored group by 1, 2"""))
 def _(spark, folder):
     path = scratch(spark, "detections")
     sinks.write_detections(found(spark, folder), path)
     back = sinks.read_detections(spark, path)
-    return back.groupBy(F.col("day").cast("string").alias("day"), "risk_level").agg(F.count("*").alias("n_rows"))
+    return back.groupBy(F.col("month").cast("string").alias("month"), "risk_level").agg(F.count("*").alias("n_rows"))
 
 
 # ------------------------------------------------------------------- networks
@@ -224,5 +224,5 @@ def _(spark, folder):
 select {KEY}, {r("open", "high", "low", "close")}, volume from bars
 where ts + interval 1 hour <= (select max(ts) - interval 1 hour from events)"""))
 def _(spark, folder):
-    bars = feeds.tick_bars(event_tick_stream(spark, folder), "1 hour", ["event_id"])
+    bars = feeds.tick_bars(event_tick_stream(spark, folder), "1 hour", "event_id")
     return shown(_written(spark, bars, "tickbars"), "symbol", "ts", "open", "high", "low", "close", "volume")

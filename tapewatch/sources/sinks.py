@@ -12,9 +12,12 @@ from tapewatch.schema import FEATURES, require
 
 
 def write_detections(detections: DataFrame, path: str) -> None:
-    """Archive detections by day of the bar; hot days spread over several files."""
-    dated = detections.withColumn("day", F.to_date(F.timestamp_seconds("timestamp")))
-    dated.write.partitionBy("day").mode("append").parquet(path)
+    """Archive detections by month of the bar.
+
+    Rebalancing gives a small month one file and splits a large one.
+    """
+    dated = detections.withColumn("month", F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM"))
+    dated.hint("rebalance", "month").write.partitionBy("month").mode("append").parquet(path)
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tapewatch.sources.bars import ticks_to_bars
 
@@ -23,13 +23,21 @@ def brand_ticks(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_shipdate").alias("ts"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("qty"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+        line_number().alias("tick"))
+
+
+def line_number() -> Column:
+    """Order of the lines: order key and line, then part and supplier.
+
+    40 + 3 + 20 bits; the last 20 only matter where a line number repeats.
+    """
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return line * 1048576 + (F.col("l_partkey") * 31 + F.col("l_suppkey")) % 1048576
 
 
 def bars_brand(spark: SparkSession, folder: str) -> DataFrame:
     """Daily bars per brand."""
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    return ticks_to_bars(brand_ticks(spark, folder), "day", order)
+    return ticks_to_bars(brand_ticks(spark, folder), "day")
 
 
 def event_ticks(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +49,7 @@ def event_ticks(spark: SparkSession, folder: str) -> DataFrame:
 
 def bars_event(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly bars per event type."""
-    return ticks_to_bars(event_ticks(spark, folder), "hour", ["event_id"])
+    return ticks_to_bars(event_ticks(spark, folder), "hour", "event_id")
 
 
 def bars_priority(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,4 +57,4 @@ def bars_priority(spark: SparkSession, folder: str) -> DataFrame:
     ticks = table(spark, folder, "orders").select(
         F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"),
         F.col("o_totalprice").alias("price"), F.lit(1).cast("long").alias("qty"), "o_orderkey")
-    return ticks_to_bars(ticks, "day", ["o_orderkey"])
+    return ticks_to_bars(ticks, "day", "o_orderkey")

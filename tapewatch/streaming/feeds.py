@@ -38,9 +38,9 @@ def drop_repeats(stream: DataFrame, key: str = "dedup_id", time: str = "ts", wit
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
 
 
-def tick_bars(ticks: DataFrame, width: str, order: list[str], watermark: str = WATERMARK) -> DataFrame:
+def tick_bars(ticks: DataFrame, width: str, order: str, watermark: str = WATERMARK) -> DataFrame:
     """Tumbling bars; a bar appears once the watermark has passed its end."""
-    key = F.struct(*order)
+    key = F.col(order)
     return (
         ticks.withWatermark("ts", watermark)
         .groupBy("symbol", F.window("ts", width).alias("w"))
