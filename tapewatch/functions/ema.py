@@ -11,55 +11,59 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tapewatch.operators.series import BLOCK, Series
 
 
 @dataclass(frozen=True)
 class Average:
+    """``alpha`` is a number or the text of a SQL expression over the row."""
+
     name: str
     source: str
-    alpha: Column
+    alpha: float | str
     first: int = 1          # row number at which the average starts
     adjusted: bool = False  # divide by the sum of weights instead of seeding
 
     @staticmethod
     def span(name: str, source: str, span: int, **kw) -> "Average":
-        return Average(name, source, F.lit(2.0 / (span + 1)), **kw)
-
-
-def with_averages(series: Series, averages: list[Average]) -> DataFrame:
-    """Add one column per average; all share two window passes and one sort."""
-    keys = series.keys
-    frame = (
-        series.frame
-        .withColumn("_j", (F.col("rn") - 1) % BLOCK)
-        .withColumn("_block", F.floor((F.col("rn") - 1) / BLOCK))
-    )
-    inside = Window.partitionBy(*keys, "_block").orderBy("rn").rowsBetween(
-        Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_block", "rn").rowsBetween(
-        Window.unboundedPreceding, -1)
-
-    local, carried, final = {}, {}, {}
-    for a in averages:
-        keep = F.lit(1.0) - a.alpha
-        x = F.col(a.source)
-        if a.adjusted:
-            weight = x
-        else:
-            weight = F.when(F.col("rn") == a.first, x).otherwise(a.alpha * x)
-        weight = F.when(F.col("rn") >= a.first, weight).otherwise(0.0)
-        local[f"_l_{a.name}"] = (
-            F.sum(weight * F.pow(keep, -F.col("_j"))).over(inside) * F.pow(keep, F.col("_j")))
-        ended = F.when(F.col("_j") == BLOCK - 1, F.col(f"_l_{a.name}"))
-        carried[f"_c_{a.name}"] = F.last(ended, ignorenulls=True).over(before)
-        value = F.col(f"_l_{a.name}") + (
-            F.coalesce(F.col(f"_c_{a.name}"), F.lit(0.0)) * F.pow(keep, F.col("_j") + 1))
+        return Average(name, source, 2.0 / (span + 1), **kw)
+
+
+def block_columns() -> dict[str, Column]:
+    """Offset in the block and number of the block; needed by ``averages``."""
+    return {"_j": F.expr(f"(rn - 1) % {BLOCK}"), "_block": F.expr(f"(rn - 1) div {BLOCK}")}
+
+
+def averages(series: Series, wanted: list[Average]) -> tuple[Series, dict[str, Column], list[str]]:
+    """Two window passes over one sort for all averages together.
+
+    Gives the series with helper columns, the averages as expressions over them,
+    and the helpers' names to drop when done.
+    """
+    keys = ", ".join(series.keys)
+    inside = f"(partition by {keys}, _block order by rn rows between unbounded preceding and current row)"
+    before = f"(partition by {keys} order by _block, rn rows between unbounded preceding and 1 preceding)"
+    local, carried, value = {}, {}, {}
+    for a in wanted:
+        here, past, x = f"_l_{a.name}", f"_c_{a.name}", a.source
+        alpha = a.alpha if isinstance(a.alpha, str) else f"{a.alpha!r}D"
+        keep = f"(1D - {alpha})"
+        weight = x if a.adjusted else f"if(rn = {a.first}, {x}, {alpha} * {x})"
+        weight = f"if(rn >= {a.first}, {weight}, 0D)"
+        local[here] = F.expr(f"sum({weight} * pow({keep}, -_j)) over {inside} * pow({keep}, _j)")
+        carried[past] = F.expr(f"last(if(_j = {BLOCK - 1}, {here}, null), true) over {before}")
+        total = f"({here} + coalesce({past}, 0D) * pow({keep}, _j + 1))"
         if a.adjusted:
-            value = value * a.alpha / (F.lit(1.0) - F.pow(keep, F.col("rn")))
-        final[a.name] = F.when(F.col("rn") >= a.first, value)
+            total = f"{total} * {alpha} / (1D - pow({keep}, rn))"
+        value[a.name] = F.expr(f"if(rn >= {a.first}, {total}, null)")
+    frame = series.frame.withColumns(local).withColumns(carried)
+    return series.on(frame), value, [*local, *carried]
+
 
-    frame = frame.withColumns(local).withColumns(carried).withColumns(final)
-    return frame.drop("_j", "_block", *local, *carried)
+def with_averages(series: Series, wanted: list[Average]) -> DataFrame:
+    """Add one column per average."""
+    blocked = series.on(series.frame.withColumns(block_columns()))
+    done, values, helpers = averages(blocked, wanted)
+    return done.frame.withColumns(values).drop("_j", "_block", *helpers)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapewatch.functions.ema import Average, with_averages
+from tapewatch.functions.ema import Average, averages, block_columns, with_averages
 from tapewatch.functions.expr import calendar, finite, ratio
 from tapewatch.operators.series import Series, series_length
 from tapewatch.schema import FEATURES, KEY_FEATURES, require
@@ -32,20 +32,25 @@ def lagged_features(series: Series) -> Series:
         "SMA_10": F.avg("close").over(series.last_rows(10)),
         "SMA_20": F.avg("close").over(series.last_rows(20)),
         "_band_std": F.stddev_pop("close").over(series.last_rows(BAND_ROWS)),
+        **block_columns(),
     })
-    frame = frame.withColumns({
+    volume = F.col("volume").cast("double")
+    move = F.coalesce(F.col("close") - F.col("prev_close"), F.lit(0.0))
+    return series.on(frame.withColumns({
         **row_features(),
         "Price_Change": ratio(F.col("close"), F.col("prev_close")) - 1,
         "Gap": ratio(F.col("open") - F.col("prev_close"), F.col("prev_close")),
-        "Volume_Change": ratio(F.col("volume").cast("double"), F.col("prev_volume").cast("double")) - 1,
-        "Volume_Ratio": ratio(F.col("volume").cast("double"), F.col("Volume_MA")),
+        "Volume_Change": ratio(volume, F.col("prev_volume").cast("double")) - 1,
+        "Volume_Ratio": ratio(volume, F.col("Volume_MA")),
         "Price_vs_SMA10": ratio(F.col("close"), F.col("SMA_10")) - 1,
         "Price_vs_SMA20": ratio(F.col("close"), F.col("SMA_20")) - 1,
-    })
-    return series.on(frame)
+        "_up": F.greatest(move, F.lit(0.0)),
+        "_down": F.greatest(-move, F.lit(0.0)),
+    }))
 
 
 def volatility(series: Series) -> Series:
+    """Sample deviation of the price change over 10 and 20 rows."""
     return series.on(series.frame.withColumns({
         "Volatility_10d": F.stddev_samp("Price_Change").over(series.last_rows(10)),
         "Volatility_20d": F.stddev_samp("Price_Change").over(series.last_rows(20)),
@@ -55,43 +60,37 @@ def volatility(series: Series) -> Series:
 def bands(series: Series) -> Series:
     """Mean plus and minus two population deviations of the last 20 closes."""
     ready = F.col("rn") >= BAND_ROWS
-    frame = series.frame.withColumns({
-        "BB_Middle": F.when(ready, F.col("SMA_20")),
-        "BB_Upper": F.when(ready, F.col("SMA_20") + 2 * F.col("_band_std")),
-        "BB_Lower": F.when(ready, F.col("SMA_20") - 2 * F.col("_band_std")),
-    }).drop("_band_std")
-    width = F.col("BB_Upper") - F.col("BB_Lower")
-    return series.on(frame.withColumns({
-        "BB_Width": ratio(width, F.col("BB_Middle")),
-        "BB_Position": ratio(F.col("close") - F.col("BB_Lower"), width),
+    middle, reach = F.col("SMA_20"), 2 * F.col("_band_std")
+    return series.on(series.frame.withColumns({
+        "BB_Middle": F.when(ready, middle),
+        "BB_Upper": F.when(ready, middle + reach),
+        "BB_Lower": F.when(ready, middle - reach),
+        "BB_Width": F.when(ready, ratio(2 * reach, middle)),
+        "BB_Position": F.when(ready, ratio(F.col("close") - (middle - reach), 2 * reach)),
     }))
 
 
 def momentum(series: Series) -> Series:
     """RSI and MACD."""
-    move = F.coalesce(F.col("close") - F.col("prev_close"), F.lit(0.0))
-    frame = series.frame.withColumns({
-        "_up": F.greatest(move, F.lit(0.0)),
-        "_down": F.greatest(-move, F.lit(0.0)),
-    })
-    wilder = F.lit(1.0 / RSI_ROWS)
-    frame = with_averages(series.on(frame), [
-        Average("_avg_up", "_up", wilder),
-        Average("_avg_down", "_down", wilder),
-        Average.span("_fast", "close", FAST_ROWS),
-        Average.span("_slow", "close", SLOW_ROWS),
+    wilder = 1.0 / RSI_ROWS
+    series, value, helpers = averages(series, [
+        Average("up", "_up", wilder),
+        Average("down", "_down", wilder),
+        Average.span("fast", "close", FAST_ROWS),
+        Average.span("slow", "close", SLOW_ROWS),
     ])
-    rsi = F.when(F.col("_avg_down") == 0, F.lit(100.0)).otherwise(
-        100 - 100 / (1 + ratio(F.col("_avg_up"), F.col("_avg_down"))))
-    frame = frame.withColumns({
+    rsi = F.when(value["down"] == 0, F.lit(100.0)).otherwise(
+        100 - 100 / (1 + ratio(value["up"], value["down"])))
+    series = series.on(series.frame.withColumns({
         "RSI": F.when(F.col("rn") >= RSI_ROWS, rsi),
-        "MACD": F.when(F.col("rn") >= SLOW_ROWS, F.col("_fast") - F.col("_slow")),
-    }).drop("_up", "_down", "_avg_up", "_avg_down", "_fast", "_slow")
-    frame = with_averages(series.on(frame), [
-        Average.span("_signal", "MACD", SIGNAL_ROWS, first=SLOW_ROWS)])
-    signal = F.when(F.col("rn") >= SLOW_ROWS + SIGNAL_ROWS - 1, F.col("_signal"))
-    frame = frame.withColumn("MACD_Signal", signal).drop("_signal")
-    return series.on(frame.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal")))
+        "MACD": F.when(F.col("rn") >= SLOW_ROWS, value["fast"] - value["slow"]),
+    }))
+    series, value, more = averages(series, [Average.span("signal", "MACD", SIGNAL_ROWS, first=SLOW_ROWS)])
+    signal = F.when(F.col("rn") >= SLOW_ROWS + SIGNAL_ROWS - 1, value["signal"])
+    return series.on(series.frame.withColumns({
+        "MACD_Signal": signal,
+        "MACD_Histogram": F.col("MACD") - signal,
+    }).drop(*helpers, *more))
 
 
 def smoothed_closes(series: Series, short_frames: bool = False) -> Series:
@@ -100,10 +99,8 @@ def smoothed_closes(series: Series, short_frames: bool = False) -> Series:
     ``short_frames`` narrows the span to the symbol's row count, the scoring
     form of the operator.
     """
-    def alpha(span: int) -> Column:
-        if not short_frames:
-            return F.lit(2.0 / (span + 1))
-        return 2.0 / (F.least(F.lit(span), F.col("n_rows")) + 1)
+    def alpha(span: int) -> float | str:
+        return f"(2D / (least({span}, n_rows) + 1))" if short_frames else 2.0 / (span + 1)
 
     if short_frames:
         series = series_length(series)
@@ -117,7 +114,7 @@ def history_features(series: Series) -> Series:
     """All features of every bar; unknown values are NULL."""
     for step in (lagged_features, volatility, bands, momentum):
         series = step(series)
-    return series
+    return series.on(series.frame.drop("_j", "_block", "_up", "_down", "_band_std"))
 
 
 def complete_rows(df: DataFrame) -> DataFrame:

@@ -15,19 +15,18 @@ HIGH_RISK, MEDIUM_RISK, SUSPICIOUS = 0.7, 0.3, 0.5
 def rule_labels(df: DataFrame) -> DataFrame:
     """Synthetic labels of a feature row; an unknown feature never matches."""
     volume, move = F.col("Volume_Ratio"), F.abs("Price_Change")
-    df = df.withColumns({
-        "Unusual_Volume": flag((volume > 3) | (volume < 0.1)),
-        "Extreme_Price_Move": flag(move > 0.05),
+    unusual = (volume > 3) | (volume < 0.1)
+    extreme = move > 0.05
+    manipulated = (volume > 5) & (move > 0.03) & (F.col("BB_Position") > 0.95)
+    return df.withColumns({
+        "Unusual_Volume": flag(unusual),
+        "Extreme_Price_Move": flag(extreme),
         "Gap_Trading": flag(F.abs("Gap") > 0.02),
         "After_Hours_Activity": flag((F.col("Hour") < 9) | (F.col("Hour") > 16)),
-        "Potential_Manipulation": flag((volume > 5) & (move > 0.03) & (F.col("BB_Position") > 0.95)),
+        "Suspicious_Activity": flag(unusual & extreme),
+        "Potential_Manipulation": flag(manipulated),
+        "Target": flag((unusual & extreme) | manipulated),
     })
-    df = df.withColumn(
-        "Suspicious_Activity",
-        flag((F.col("Unusual_Volume") == 1) & (F.col("Extreme_Price_Move") == 1)))
-    return df.withColumn(
-        "Target",
-        flag((F.col("Suspicious_Activity") == 1) | (F.col("Potential_Manipulation") == 1)))
 
 
 def is_suspicious(score: Column, threshold: float = SUSPICIOUS) -> Column:

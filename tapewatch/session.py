@@ -19,6 +19,7 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call-site look-up per expression
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }

@@ -65,11 +65,10 @@ def test_chunked_layout_equals_whole(bars):
 
 @pytest.mark.parametrize("alpha", [1 / 14, 2 / 13, 2 / 27, 2 / 10, 0.45])
 def test_average_over_many_blocks(bars, alpha):
-    from pyspark.sql import functions as F
     closes = walk(5000, 7)
     series = lay_out(bars({"A": closes}))
     got = by_time(with_averages(series, [
-        Average("plain", "close", F.lit(alpha)), Average("weighted", "close", F.lit(alpha), adjusted=True)]))
+        Average("plain", "close", alpha), Average("weighted", "close", alpha, adjusted=True)]))
     s = pd.Series(closes)
     np.testing.assert_allclose(got["plain"], s.ewm(alpha=alpha, adjust=False).mean(), rtol=1e-10)
     np.testing.assert_allclose(got["weighted"], s.ewm(alpha=alpha, adjust=True).mean(), rtol=1e-10)

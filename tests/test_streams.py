@@ -65,9 +65,9 @@ def test_repeats_and_late_ticks(spark):
     got = written(spark, feeds.drop_repeats(files(spark, "dup", batches, TICK)))
     assert sorted(r.dedup_id for r in got.collect()) == ["x", "x", "y", "z"]  # the last x is outside the interval
 
-    batches = [[tick(1, 5, "a"), tick(2, 50, "b")], [tick(3, 300, "c")], [tick(4, 10, "late")], [tick(5, 600, "d")]]
+    batches = [[tick(1, 5, "a"), tick(2, 50, "b")], [tick(3, 300, "c")], [tick(9, 310, "e")], [tick(4, 10, "late")], [tick(5, 600, "d")]]
     bars = written(spark, feeds.tick_bars(files(spark, "late", batches, TICK), "1 hour", "event_id")).orderBy("ts").collect()
-    assert [(r.ts.hour, r.open, r.close, r.volume) for r in bars] == [(0, 1.0, 2.0, 2), (5, 3.0, 3.0, 1)]
+    assert [(r.ts.hour, r.open, r.close, r.volume) for r in bars] == [(0, 1.0, 2.0, 2), (5, 3.0, 9.0, 2)]
 
 
 def test_interval_scoring_survives_a_bad_batch(spark):
