@@ -71,7 +71,7 @@ def network_rows(spark, folder):
 def _(spark, folder):
     """Mean errors of normal and suspicious rows per part after a short fit."""
     rows, scaler, weight = network_rows(spark, folder)
-    vectors = nn.vectors(scaler.transform(rows), FEATURES, weight).persist()
+    vectors = nn.vectors(scaler.transform(rows), FEATURES, weight)
     network, _ = nn.fit_autoencoder(vectors, epochs=4)
     error = nn.reconstruction_error(network, F.col("x"))
     scored = vectors.withColumn("error", error).groupBy("part", F.col("y").cast("int").alias("target"))
@@ -82,7 +82,7 @@ def _(spark, folder):
 def _(spark, folder):
     """Mean probability of normal and suspicious rows per part after a short fit."""
     rows, scaler, weight = network_rows(spark, folder)
-    vectors = nn.vectors(scaler.transform(rows), FEATURES, weight).persist()
+    vectors = nn.vectors(scaler.transform(rows), FEATURES, weight)
     network, _ = nn.fit_classifier(vectors, epochs=4)
     scored = vectors.withColumn("p", nn.probability(network, F.col("x")))
     return scored.groupBy("part", F.col("y").cast("int").alias("target")).agg(
