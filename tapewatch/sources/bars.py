@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tapewatch.schema import BAR, BAR_COLUMNS, PRICE_COLUMNS
 
+HEADER_BYTES = 64 * 1024
+
 # Accepted spellings of the price columns.
 STANDARD_NAMES = {
     "open": "Open",
@@ -62,7 +69,7 @@ def read_bar_folder(spark: SparkSession, folder: str, limit: int | None = None)
         part = (
             spark.read.option("header", True)
             .schema(", ".join(f"`{n}` STRING" for n in names)).csv(paths)
-            .withColumn("symbol", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)))
+            .withColumn("symbol", F.regexp_extract(_file_name(), r"^(.*)\.csv$", 1)))
         raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
     return (
         raw.select(
@@ -74,16 +81,36 @@ def read_bar_folder(spark: SparkSession, folder: str, limit: int | None = None)
         .withColumn("seq", F.lit(0).cast("long")))
 
 
+def _file_name() -> Column:
+    """The file's own name; Spark reports it percent-encoded, with plus signs as they are."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        headers = []
+        for path in batch["path"]:
+            if path.startswith("file:"):
+                system, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+            else:
+                system, name = fs.FileSystem.from_uri(quote(path, safe=":/"))
+            with system.open_input_stream(name) as stream:
+                headers.append(stream.read(HEADER_BYTES).split(b"\n", 1)[0].decode("utf-8-sig").strip())
+        yield pd.DataFrame({"path": batch["path"], "header": headers})
+
+
 def _by_header(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
-    """File paths per distinct header line (column sets differ between files)."""
-    lines = (
-        spark.read.text(files)
-        .filter(F.col("value").rlike(r'^"?Date"?,'))
-        .select(F.trim("value").alias("header"), F.col("_metadata.file_path").alias("path"))
-        .distinct().collect())
+    """File paths per distinct header line, since column sets differ between files.
+
+    Tasks read the first bytes of their files only.
+    """
+    paths = spark.createDataFrame([(f,) for f in files], "path string")
+    tasks = min(len(files), spark.sparkContext.defaultParallelism)
+    lines = paths.repartition(tasks).mapInPandas(_first_lines, "path string, header string").collect()
     groups: dict[str, list[str]] = {}
     for row in sorted(lines):
-        groups.setdefault(row.header, []).append(row.path)
+        if row.header:
+            groups.setdefault(row.header, []).append(row.path)
     return groups
 
 
@@ -147,8 +174,8 @@ def write_symbol_csvs(bars: DataFrame, path: str) -> None:
      .repartition("symbol").write.partitionBy("symbol").option("header", True).csv(f"{path}/parts"))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(f"{path}/named")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(target)
-    for part in fs.globStatus(hadoop.Path(f"{path}/parts/symbol=*/part-*.csv")):
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(target)
+    for part in store.globStatus(hadoop.Path(f"{path}/parts/symbol=*/part-*.csv")):
         symbol = part.getPath().getParent().getName().split("=", 1)[1]
-        fs.rename(part.getPath(), hadoop.Path(target, f"{symbol}.csv"))
+        store.rename(part.getPath(), hadoop.Path(target, f"{symbol}.csv"))

@@ -98,9 +98,10 @@ def test_symbol_list(spark):
 def test_bar_folder(spark, tmp_path):
     (tmp_path / "AAPL.csv").write_text("Date,Open,High,Low,Close,Adj Close,Volume\n2024-01-02,1,2,0.5,1.5,1.4,100\nnonsense,1,2,0.5,1.5,1.4,100\n")
     (tmp_path / "BRK.B.csv").write_text("Date,Open,High,Low,Close,Volume\n2024-01-03,3,4,2,3.5,7.0\n")
+    (tmp_path / "X+ #1.csv").write_text("Volume,Close,Low,High,Open,Date\n9,3.5,2,4,3,2024-01-03\n")
     (tmp_path / "note.txt").write_text("Date,no\n")
     rows = br.read_bar_folder(spark, str(tmp_path)).orderBy("symbol").collect()
-    assert [(r.symbol, r.close, r.volume) for r in rows] == [("AAPL", 1.5, 100), ("BRK.B", 3.5, 7)]
+    assert [(r.symbol, r.close, r.volume) for r in rows] == [("AAPL", 1.5, 100), ("BRK.B", 3.5, 7), ("X+ #1", 3.5, 9)]
     assert br.read_bar_folder(spark, str(tmp_path), limit=1).count() == 1
     (tmp_path / "empty").mkdir()
     with pytest.raises(FileNotFoundError):
