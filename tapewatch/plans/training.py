@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tapewatch.operators import metrics as mt
+from tapewatch.operators import networks as nn
 from tapewatch.operators.features import complete_rows, history_features
 from tapewatch.operators.labels import rule_labels
 from tapewatch.operators.lookups import attach
@@ -13,6 +14,7 @@ from tapewatch.operators.scoring import closed_form_scores, training_ensemble
 from tapewatch.operators.series import lay_out
 from tapewatch.schema import FEATURES, require
 from tapewatch.session import cut
+from tapewatch.sources.sinks import Artefacts, save_artefacts
 
 ANOMALY_PERCENT = 85  # fixed value: share of normal errors below the threshold
 
@@ -106,3 +108,32 @@ def threshold_search(scores: DataFrame) -> DataFrame:
         **{name: one.scalar() for name, one in best.items()},
         "reconstruction_error_min": span.select("error_min").scalar(),
         "reconstruction_error_max": span.select("error_max").scalar()})
+
+
+def train(
+    bars: DataFrame, path: str, max_rows: int | None = None,
+    autoencoder_epochs: int = 50, classifier_epochs: int = 100,
+) -> tuple[Artefacts, DataFrame]:
+    """Bars to saved artefacts, and the evaluation of the fitted models.
+
+    The dataset and the scores are written once each; every other step is a pass
+    over one of them.
+    """
+    data = dataset(bars, max_rows)
+    fitted = train_scaler(data)
+    ready = fitted.transform(data)
+    weight = mt.class_weight(train_rows(data), "Target").first().weight or 1.0
+    rows = nn.vectors(ready, FEATURES, weight)
+    autoencoder, _ = nn.fit_autoencoder(rows, autoencoder_epochs)
+    classifier, _ = nn.fit_classifier(rows, classifier_epochs)
+
+    scores = cut(nn.network_scores(autoencoder, classifier, FEATURES)(ready))
+    tuned = threshold_search(scores).first().asDict()
+    threshold = anomaly_threshold(scores)
+    parameters = {
+        **{name: float(value) for name, value in tuned.items()},
+        "anomaly_threshold": float(threshold.first().percentile)}
+    artefacts = Artefacts(
+        FEATURES, parameters, fitted, {"autoencoder": autoencoder, "classifier": classifier})
+    save_artefacts(bars.sparkSession, artefacts, path)
+    return artefacts, evaluate(predictions(scores, threshold))

@@ -9,6 +9,7 @@ from tapewatch.operators import networks as nn
 
 from tapewatch.operators.scaling import fit_scaler
 from tapewatch.operators.single_point import simple_features, with_previous_close
+from tapewatch.operators.series import DAILY_ROWS
 from tapewatch.plans import inference as inf
 from tapewatch.plans import training as tr
 from tapewatch.registry.bar_queries import _PREVIOUS, DOUBLES, INTS
@@ -19,7 +20,7 @@ from tapewatch.schema import FEATURES, STORED_PARAMETERS
 from tapewatch.session import scratch
 from tapewatch.sources import bars as br
 from tapewatch.sources import feed, sinks
-from tapewatch.sources.tables import bars_event
+from tapewatch.sources.tables import bars_brand, bars_event
 from tapewatch.streaming import feeds, indicators, run as st
 
 
@@ -105,6 +106,13 @@ def _(spark, folder):
         F.count("*").alias("n_rows"), F.avg("ensemble_score").alias("mean_score"))
 
 
+@query("mod_11_network_evaluation")
+def _(spark, folder):
+    """The whole training plan with few epochs, and how its models do."""
+    _, report = tr.train(bars_brand(spark, folder), scratch(spark, "trained"), DAILY_ROWS, 3, 3)
+    return report
+
+
 # -------------------------------------------------------------------- streams
 def _ingested(spark, folder):
     path = scratch(spark, "ingest")

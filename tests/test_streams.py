@@ -150,3 +150,23 @@ def test_artefacts_round_trip(spark):
     sinks.save_artefacts(spark, sinks.Artefacts(FEATURES, STORED_PARAMETERS, scaler, {"autoencoder": networks["autoencoder"]}), half)
     with pytest.raises(ValueError, match="networks"):
         sinks.load_artefacts(spark, half)
+
+
+def test_training_saves_what_scoring_loads(spark):
+    from tapewatch.operators.series import DAILY_ROWS
+    from tapewatch.plans import inference, training
+    from tapewatch.sources.tables import bars_brand
+
+    bars = bars_brand(spark, "/root/testdata/sf0.001")
+    path = scratch(spark, "trained")
+    artefacts, report = training.train(bars, path, DAILY_ROWS, 2, 2)
+    models = {r.model: r for r in report.collect()}
+    assert set(models) == {"ensemble", "classifier", "autoencoder"}
+    assert models["classifier"].auc_score > 0.7
+    loaded = sinks.load_artefacts(spark, path)
+    assert loaded.parameters == artefacts.parameters
+    assert loaded.parameters["best_ensemble_ae_weight"] + loaded.parameters["best_ensemble_clf_weight"] == pytest.approx(1)
+    model = nn.network_scores(loaded.networks["autoencoder"], loaded.networks["classifier"], loaded.features)
+    found = inference.score(bars, loaded.scaler, "latest", DAILY_ROWS, model=model, parameters=loaded.parameters)
+    rows = found.collect()
+    assert len(rows) == 25 and all(0 <= r.ensemble_score <= 1 for r in rows)
