@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapewatch.operators import scoring as sc
 from tapewatch.schema import FEATURES, STORED_PARAMETERS as sp
+from tapewatch.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +20,7 @@ def query(name: str, sql: str | None = None):
         @wraps(fn)
         def run(spark: SparkSession, folder: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             return fn(spark, folder)
 
         QUERIES[name] = run

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -62,3 +64,21 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     The count is a job of its own, so ``df`` should be cheap to read.
     """
     return F.broadcast(df) if df.count() <= limit else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per application.
+
+    The archive is handed to Spark, which serves it to every executor.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, name = os.path.split(package)
+    target = os.path.join(tempfile.mkdtemp(prefix="tapewatch-"), name)
+    context.addPyFile(shutil.make_archive(target, "zip", root, name))
+    _SHIPPED.add(context.applicationId)
