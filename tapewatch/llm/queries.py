@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapewatch.llm import blob_ledger, line_chunks, quality, sharding
+from tapewatch.llm import blob_ledger, line_chunks, quality, sharding, simhash, token_files, warc
 from tapewatch.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# 1: near duplicates
+
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+# 2: archives
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = scratch(spark, "records")
+    warc.read_archives(spark, path).write.parquet(records)
+    return warc.resolved(spark.read.parquet(records), path)
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {5 * i + 1}, 5))::int >> {shift}) % 32 + 1, 1)"
+    for i in range(8) for shift in (15, 10, 5, 0))
+ORACLE["op2_warc"] = f"""
+with p as (
+    select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h, min(page_id) over (partition by coalesce(html, '')) as first
+    from pages)
+select page_id, strlen(t)::bigint as payload_bytes, {_BASE32} as payload_digest,
+    if(page_id = first, 'response', 'revisit') as record_type, if(page_id = first, null, first) as refers_to
+from p
+"""
+
+
+# 3: token ids
+
+@query
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.encoded(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_files(spark, path, "long")
+
+
 # 4: quality rules
 
 @query
