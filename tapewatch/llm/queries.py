@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapewatch.llm import blob_ledger, line_chunks, quality, sharding, simhash, token_files, warc
+from tapewatch.llm import blob_ledger, line_chunks, mixing, quality, sharding, simhash, templates, token_files, toxicity, warc
 from tapewatch.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,40 @@ from stats
 """
 
 
+# 5: mixing
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns, rows = mixing.replicated(docs)
+    return rows.select(columns["doc_id"].alias("doc_id"), columns["source"].alias("source"), "n_copies", "copy", "order_key")
+
+
+ORACLE["op5_mixing"] = f"""
+with s as (
+    select source, sum(strlen(coalesce(text, '')))::bigint as bytes from documents group by source),
+w as (
+    select source, bytes, sqrt(bytes::double) as weight, sum(bytes) over () as total, sum(sqrt(bytes::double)) over () as weights from s),
+r as (
+    select source, if(bytes > 0, weight / weights * total / bytes, 0.0) as rate from w),
+p as (
+    select source, rate, greatest(1, ceil(rate / {mixing.LARGEST_RATE}))::int as parts from r),
+c as (
+    select source, parts, k, sum(exp(-rate / parts) * pow(rate / parts, k) / gamma(k + 1)) over (partition by source order by k) as cumulated
+    from p, (select unnest(range({mixing.STEPS})) as k)),
+d as (
+    select row_number() over () as row, doc_id, source, md5(coalesce(text, '')) as t from documents),
+u as (
+    select row, d.source, ('0x' || substr(md5('{mixing.SEED}:' || j || ':' || coalesce(doc_id::varchar, '') || ':' || t), 1, 13))::bigint
+        / 4503599627370496.0::double as u
+    from d join (select source, unnest(range(parts)) as j from p) x on d.source is not distinct from x.source),
+n as (
+    select row, count(*)::int as n_copies from u join c on u.source is not distinct from c.source where cumulated <= u group by row)
+select doc_id, source, n_copies, copy::int as copy, md5('order {mixing.SEED}:' || coalesce(doc_id::varchar, '') || ':' || t || ':' || copy) as order_key
+from (select doc_id, source, t, n_copies, unnest(range(1, n_copies + 1)) as copy from d join n using (row))
+"""
+
+
 # 6: sharding
 
 @query
@@ -125,6 +159,73 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+# 7: benchmark decontamination
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("t")
+
+
+_SQL_UNITS = ", ".join(f"'{u}'" for u in templates.UNITS)
+_SQL_TOKENS = rf"""
+    select id, raw, i, case
+        when regexp_full_match(raw, '\p{{N}}.*') then '{templates.NUMBER}'
+        when lower(raw) in ({_SQL_UNITS}) then '{templates.UNIT}'
+        when not start and regexp_full_match(raw, '\p{{Lu}}\p{{L}}+') then '{templates.NAME}'
+        else lower(raw) end as token
+    from (
+        select id, raw, start, row_number() over (partition by id order by k) - 1 as i
+        from (
+            select id, raw, k, coalesce(lag(raw) over (partition by id order by k) in ('.', '!', '?', chr(10)), true) as start
+            from (select id, unnest(l) as raw, unnest(range(len(l))) as k
+                  from (select id, regexp_extract_all(text, '{templates.TOKEN.replace(chr(92) + "n", "' || chr(10) || '")}') as l from x)))
+        where raw not in ('.', '!', '?', chr(10)))
+"""
+_SQL_WINDOWS = f"""
+    select id, i as at, size, array_to_string(ts[1:size], ' ') as template,
+        list_filter(list_transform(range(1, size + 1), lambda k: if(ts[k] in ('{templates.NUMBER}', '{templates.UNIT}', '{templates.NAME}'),
+            ts[k] || ' ' || lower(rs[k]), null)), lambda s: s is not null) as slots
+    from (
+        select id, i, least({templates.WINDOW}, n) as size, ts, rs
+        from (
+            select id, i, count(*) over (partition by id) as n, list(token) over w as ts, list(raw) over w as rs
+            from t window w as (partition by id order by i rows between current row and {templates.WINDOW - 1} following))
+        where i <= n - least({templates.WINDOW}, n))
+"""
+# items of the given tables are longer than a window, so documents need windows of one size only
+ORACLE["op7_decontamination"] = f"""
+with b as (
+    with x as (select min(item_id) as id, text from benchmark group by text), t as ({_SQL_TOKENS}) {_SQL_WINDOWS}),
+bw as (
+    select *, count(*) over (partition by id) as n_windows from b where size - len(slots) >= least({templates.LEAST_WORDS}, size)),
+dw as (
+    with x as (select doc_id as id, text from documents), t as ({_SQL_TOKENS}) {_SQL_WINDOWS}),
+m as (
+    select dw.id as doc_id, bw.id as item_id, n_windows, dw.at - bw.at as diagonal, bw.at as item_at, bw.slots as item_slots, dw.slots as doc_slots
+    from dw join bw using (template, size)),
+pairs as (
+    select distinct doc_id, item_id, diagonal, unnest(item_slots) as item_slot, unnest(doc_slots) as doc_slot from m),
+judged as (
+    select doc_id, item_id, diagonal, bool_or(item_slot != doc_slot) as other,
+        count(distinct item_slot) = count(*) and count(distinct doc_slot) filter (starts_with(item_slot, '{templates.NAME}'))
+            = count(*) filter (starts_with(item_slot, '{templates.NAME}')) as good
+    from pairs group by all),
+kept as (
+    select m.*, coalesce(other, false) as other from m left join judged using (doc_id, item_id, diagonal) where coalesce(good, true))
+select doc_id, item_id, n_windows::int as n_windows, count(distinct item_at)::int as n_found, bool_or(other) as new_values
+from kept group by doc_id, item_id, n_windows having count(distinct item_at) >= {templates.LEAST_SHARE} * n_windows
+"""
+
+
+# 8: toxicity
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 # 9: secret scans
 
 @query
