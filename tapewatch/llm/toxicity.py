@@ -5,7 +5,8 @@ room for differences.  One dictionary is trained on windows of ordinary document
 windows that mark toxic documents: those in far more toxic than ordinary ones.  Each window is
 compressed with both.  Its bytes, and its lengths under the two, put it in a cell; how much more often a cell occurs in
 toxic documents of the training rows is the calibrated weight of its windows, and a logistic curve over
-the two largest weights of a document is its score.
+the two largest weights of a document and the number of its windows (of which chance finds more in
+long texts) is its score.
 
 Training takes ``SAMPLE_ROWS`` labelled documents at most, chosen by a hash of their ids; counting runs in tasks,
 and the driver gets the most frequent windows and the cells only.  All else covers all
@@ -34,7 +35,7 @@ MARKING_WINDOWS = 4_096
 DICTIONARY_BYTES = 1 << 16
 LONGEST = 24  # longer windows share the cells of this length
 # A marking window is in so many toxic documents, at least, and so many times as frequent there.
-LEAST_DOCUMENTS, LEAST_SHARE, LEAST_RATIO = 3, 0.005, 20.0
+LEAST_DOCUMENTS, LEAST_SHARE, LEAST_RATIO = 3, 0.01, 20.0
 REMEMBERED = 400_000
 MARKS = ".,;:!?|"
 
@@ -63,7 +64,7 @@ class Model:
     ordinary: bytes
     toxic: bytes
     weights: dict[tuple[int, int, int], float]
-    curve: tuple[float, float, float]
+    curve: tuple[float, float, float, float]
     floor: float
 
 
@@ -102,12 +103,14 @@ class Scorer:
             return self.model.floor
         return self.model.weights.get((n, len(self._ordinary.compress(text)), toxic), self.model.floor)
 
-    def largest(self, text: str | None) -> tuple[float, float]:
-        """The two largest weights of a text; a text without words has the floor."""
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """The two largest weights of a text and the logarithm of its number of windows; a text without
+        words has the floor."""
         if len(self._weights) > REMEMBERED:
             self._weights = {}
         known, first, second = self._weights, self.model.floor, self.model.floor
-        for token in tokens(text):
+        distinct = tokens(text)
+        for token in distinct:
             weight = known.get(token)
             if weight is None:
                 weight = known[token] = self._weight(token)
@@ -115,7 +118,7 @@ class Scorer:
                 first, second = weight, first
             elif weight > second:
                 second = weight
-        return first, second
+        return first, second, math.log1p(len(distinct))
 
 
 def _scorer(key: int, model: Model) -> Scorer:
@@ -183,29 +186,29 @@ def _cells(rows: DataFrame, model: Model) -> DataFrame:
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def _largest(rows: DataFrame, model: Model) -> DataFrame:
-    """first, second (weights to a quarter) and how many documents of each kind have them."""
+def _features(rows: DataFrame, model: Model) -> DataFrame:
+    """first, second, size (to a quarter) and how many documents of each kind have them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            found = [scorer.largest(t) for t in batch.column("text").to_pylist()]
+            found = [scorer.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([round(4 * f[i]) / 4 for f in found], pa.float64()) for i in range(2)] + [batch.column("toxic").cast(pa.int32())],
-                ["first", "second", "toxic"])
+                [pa.array([round(4 * f[i]) / 4 for f in found], pa.float64()) for i in range(3)]
+                + [batch.column("toxic").cast(pa.int32())], ["first", "second", "size", "toxic"])
 
-    return rows.mapInArrow(run, "first double, second double, toxic int").groupBy("first", "second").agg(
+    return rows.mapInArrow(run, "first double, second double, size double, toxic int").groupBy("first", "second", "size").agg(
         F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("ordinary"))
 
 
-def _curve(points: list) -> tuple[float, float, float]:
-    """Logistic regression on two weights by Newton's steps, with a slight pull to zero."""
-    x = np.array([[1.0, p["first"], p["second"]] for p in points])
+def _curve(points: list) -> tuple[float, float, float, float]:
+    """Logistic regression on the features by Newton's steps, with a slight pull to zero."""
+    x = np.array([[1.0, p["first"], p["second"], p["size"]] for p in points])
     yes, no = (np.array([float(p[k]) for p in points]) for k in ("toxic", "ordinary"))
-    beta = np.zeros(3)
+    beta = np.zeros(4)
     for _ in range(50):
         guess = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         slope = x.T @ (yes - (yes + no) * guess) - 0.01 * beta
-        bend = (x * ((yes + no) * guess * (1 - guess))[:, None]).T @ x + 0.01 * np.eye(3)
+        bend = (x * ((yes + no) * guess * (1 - guess))[:, None]).T @ x + 0.01 * np.eye(4)
         step = np.linalg.solve(bend, slope)
         beta += step
         if np.abs(step).max() < 1e-9:
@@ -231,13 +234,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
     ordinary = [bytes(r.window) for r in counted.where("ordinary > 0").orderBy(F.col("ordinary").desc(), "window").limit(ORDINARY_WINDOWS).collect()]
     if not marking:
         return n_toxic / n_all
-    model = Model(train(ordinary, DICTIONARY_BYTES), train(marking, min(DICTIONARY_BYTES, 2 * sum(map(len, marking)) + 2048)), {}, (0, 0, 0), 0.0)
+    model = Model(train(ordinary, DICTIONARY_BYTES), train(marking, min(DICTIONARY_BYTES, 2 * sum(map(len, marking)) + 2048)), {}, (0, 0, 0, 0), 0.0)
     weights = {
         (c.n, c.o, c.t): math.log((c.toxic + 0.3) / n_toxic / ((c.ordinary + 1.0) / n_ordinary))
         for c in _cells(sample, model).collect()}
     floor = 0.0  # what speaks for ordinary text is left out: almost every window does, a little
-    weighted = Model(model.ordinary, model.toxic, {c: w for c, w in weights.items() if w > floor}, (0, 0, 0), floor)
-    points = _largest(sample, weighted).collect()
+    weighted = Model(model.ordinary, model.toxic, {c: w for c, w in weights.items() if w > floor}, (0, 0, 0, 0), floor)
+    points = _features(sample, weighted).collect()
     return Model(weighted.ordinary, weighted.toxic, weighted.weights, _curve(points), floor)
 
 
@@ -252,12 +255,12 @@ def score(docs: DataFrame, model: Model | float, doc_id: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(key, shipped.value)
-        a, b, c = shipped.value.curve
+        base, *slopes = shipped.value.curve
         for batch in batches:
             scores = []
             for text in batch.column("text"):
-                first, second = scorer.largest(text.as_py())
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * first + c * second)))))
+                found = base + sum(b * x for b, x in zip(slopes, scorer.features(text.as_py()), strict=True))
+                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, found)))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
