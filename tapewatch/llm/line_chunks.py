@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapewatch.llm.columns import SPACE, Carried, bind, pick, same
+from tapewatch.llm.columns import Carried, bind, pick, same
 from tapewatch.session import scratch
 
 LONG_LINE_WORDS = 50
@@ -29,42 +29,40 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
 
 
-def chunk_starts(lines: Column, long_line: int = LONG_LINE_WORDS) -> Column:
-    """Numbers of the lines that begin a chunk, with the end of the text as the last entry."""
-    n = F.size(lines)
-    hashed = F.transform(lines, lambda x: F.struct(
-        line_hash(x).alias("h"),
-        (F.size(F.array_remove(F.split(x, SPACE), "")) >= long_line).alias("long")))
+def _is_long(line: Column, words: int) -> Column:
+    """So many words, at least, taken as one more than the spaces."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= words - 1
 
-    def cut(h: Column) -> Column:
-        # r[i]: of lines i - 1 and i, from 40 bits of each so that it stays within a long
-        rolled = F.transform(h, lambda x, i: F.coalesce(F.get(h, i - 1)["h"], F.lit(0)) % (1 << 40) * FACTOR + x["h"] % (1 << 40))
-        return bind(rolled, lambda r: F.filter(
-            F.sequence(F.lit(0), n),
-            lambda i: (i == 0) | (i == n) | F.get(h, i)["long"] | F.get(h, i - 1)["long"]
-            | ((i >= 2) & (F.get(r, i - 1) < F.get(r, i - 2)) & (F.get(r, i - 1) < F.get(r, i)))))
 
-    return bind(hashed, cut)
+def _starts(hashed: Column) -> Column:
+    """Numbers of the lines that begin a chunk, with the end of the text as the last entry."""
+    # r[i]: of lines i - 1 and i, from 40 bits of each so that it stays within a long
+    rolled = F.transform(hashed, lambda x, i: F.coalesce(F.get(hashed, i - 1)["h"], F.lit(0)) % (1 << 40) * FACTOR + x["h"] % (1 << 40))
+    return bind(rolled, lambda r: F.filter(
+        F.sequence(F.lit(0), F.size(hashed)),
+        lambda i: (i == 0) | (i == F.size(hashed)) | F.get(hashed, i)["long"] | F.get(hashed, i - 1)["long"]
+        | ((i >= 2) & (F.get(r, i - 1) < F.get(r, i - 2)) & (F.get(r, i - 1) < F.get(r, i)))))
 
 
 def with_chunks(lines: Column, long_line: int = LONG_LINE_WORDS) -> Column:
     """The chunks of a text in order: struct(text, n_lines, counts)."""
-    def build(starts: Column) -> Column:
+    hashed = F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), _is_long(x, long_line).alias("long")))
+
+    def build(h: Column, starts: Column) -> Column:
         def one(i: Column, k: Column) -> Column:
-            long = F.get(starts, k + 1) - i
-            return F.struct(F.array_join(F.slice(lines, i + 1, long), "\n").alias("text"), long.alias("n_lines"))
-        chunks = F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), one)
-        return F.transform(chunks, lambda c: F.struct(
-            c["text"].alias("text"), c["n_lines"].alias("n_lines"),
-            ((c["n_lines"] > 1) | (F.size(F.array_remove(F.split(c["text"], SPACE), "")) >= long_line)).alias("counts")))
-    return bind(chunk_starts(lines, long_line), build)
+            n = F.get(starts, k + 1) - i
+            return F.struct(
+                F.array_join(F.slice(lines, i + 1, n), "\n").alias("text"), n.alias("n_lines"),
+                ((n > 1) | F.get(h, i)["long"]).alias("counts"))
+        return F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), one)
+
+    return bind(hashed, lambda h: bind(_starts(h), lambda starts: build(h, starts)))
 
 
-def chunked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_line: int = LONG_LINE_WORDS) -> DataFrame:
-    """doc_id, t (hash of the text), chunks of each row."""
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, t (hash of the text), lines of each row."""
     rows = pick(docs, doc_id=doc_id, text=text)
-    lines = rows.select("doc_id", F.xxhash64("text").alias("t"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    return lines.select(*ROW, with_chunks(F.col("lines"), long_line).alias("chunks"))
+    return rows.select("doc_id", F.xxhash64("text").alias("t"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_line: int = LONG_LINE_WORDS) -> DataFrame:
@@ -74,8 +72,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_li
     stays.  Rows equal in id and text are the same document here: they keep or lose the same chunks.
     """
     spark = docs.sparkSession
-    pieces = chunked(docs, doc_id, text, long_line)
-    exploded = pieces.select(*ROW, F.posexplode("chunks").alias("k", "c")).where("c.counts")
+    rows, chunks = _rows(docs, doc_id, text), with_chunks(F.col("lines"), long_line)
+    exploded = rows.select(*ROW, F.posexplode(chunks).alias("k", "c")).where("c.counts")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "k")
     hashes = exploded.select(*ROW, "k", F.xxhash64("c.text").alias("h"))
     path = scratch(spark, "chunk-hashes")
@@ -85,7 +83,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_li
     wanted = hashes.join(seen, "h").groupBy(*ROW).agg(F.collect_set("k").alias("ks"))
 
     # The texts of those chunks alone go on, to be compared byte by byte.
-    texts = same(pieces, wanted, ROW).select(*ROW, "ks", F.posexplode("chunks").alias("k", "c")).where(
+    texts = same(rows, wanted, ROW).select(*ROW, "ks", F.posexplode(chunks).alias("k", "c")).where(
         F.array_contains("ks", F.col("k")))
     path = scratch(spark, "chunk-texts")
     texts.select(*ROW, "k", F.col("c.text").alias("chunk")).write.parquet(path)

@@ -280,7 +280,7 @@ lines as (
     select row, doc_id, unnest(l) as line, unnest(range(1, len(l) + 1)) as i, len(l) as n from d where text is not null),
 hashed as (
     select *, ('0x' || substr(md5(line), 1, 15))::bigint % 1099511627776 as h,
-        len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {line_chunks.LONG_LINE_WORDS} as long
+        length(line) - length(replace(line, ' ', '')) >= {line_chunks.LONG_LINE_WORDS - 1} as long
     from lines),
 rolled as (
     select *, coalesce(lag(h) over w, 0) * {line_chunks.FACTOR} + h as r from hashed window w as (partition by row order by i)),
