@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapewatch.llm.columns import Carried, pick, same
+from tapewatch.llm.columns import pick
 from tapewatch.llm.components import components
 from tapewatch.session import scratch, ship_package
 
@@ -37,12 +37,16 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _PIECE = 255 << 8  # shingles whose bits are unpacked at once
 
 
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(_LOWER).split()  # split() knows the same six separators
+
+
 def shingle_hashes(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
     """Unsigned hashes of all runs of ``words`` words of an UTF-8 text, repeats included.
 
     A text with fewer words is one run; one without words has none.
     """
-    joined = b" ".join(text.translate(_LOWER).split())  # split() knows the same six separators
+    joined = b" ".join(words_of(text))
     if not joined:
         return np.empty(0, dtype="<u8")
     gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
@@ -56,9 +60,8 @@ def shingle_hashes(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) ->
     return np.array([digest(joined[i:j], seed) for i, j in zip(begin.tolist(), end.tolist())], dtype="<u8")  # noqa: B905
 
 
-def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+def majority(hashes: np.ndarray) -> int:
     """64 bits, each set if over half of the hashes have it set; as a signed number."""
-    hashes = shingle_hashes(text, words, seed)
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), _PIECE):
         bits = np.unpackbits(hashes[i:i + _PIECE].view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
@@ -68,6 +71,10 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> in
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, t (hash of the text), fp of each row; a null text has fingerprint zero, as an empty one."""
     ship_package(docs.sparkSession)

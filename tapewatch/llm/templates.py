@@ -14,8 +14,10 @@ almost all windows that cannot match from leaving the task.  The join decides, o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -207,13 +209,11 @@ def window_filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(stretches), pa.int32()), pa.array([bytes(b) for b in stretches.values()], pa.binary())], ["at", "bits"])
 
-    def union(left: tuple, frame) -> object:
-        import pandas as pd
-
+    def union(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         merged = np.zeros(len(frame["bits"].iloc[0]), dtype=np.uint8)
         for part in frame["bits"]:
             merged |= np.frombuffer(part, dtype=np.uint8)
-        return pd.DataFrame({"at": [left[0]], "bits": [merged.tobytes()]})
+        return pd.DataFrame({"at": [key[0]], "bits": [merged.tobytes()]})
 
     out = np.zeros(bits // 8, dtype=np.uint8)
     rows = windows.select("template").distinct().mapInArrow(run, "at int, bits binary").groupBy("at").applyInPandas(union, "at int, bits binary").collect()
