@@ -41,8 +41,8 @@ BLOCK_IDS = 1 << 16
 CHECKPOINT_IDS = 256
 # Blocks that are decoded in step.
 BLOCKS_AT_ONCE = 8
-# Words whose ids a worker remembers.
-REMEMBERED = 400_000
+# Words whose ids a worker remembers, and the bytes of the longest one of them: some 200 MB.
+REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 64
 # Text that is cut in words at once.
 TEXT_BYTES = 4 << 20
 
@@ -98,12 +98,14 @@ class WordIds:
                 plain.append((word, match[1].lower(), match[2]))
             else:
                 other.append((word, text))
-        parts = self._parts(sorted({p for _, core, tail in plain for p in (core, tail) if p}))
+        # parts are words themselves, and may be known as such
+        parts = {p: self._known.get(p.encode()) for _, core, tail in plain for p in (core, tail) if p}
+        missing = self._parts(sorted(p for p, ids in parts.items() if ids is None))
+        parts |= missing
         parts[""] = b""
-        for word, core, tail in plain:
-            self._known[word] = parts[core] + parts[tail]
-        for (word, _), ids in zip(other, self._encode([t for _, t in other]), strict=True):
-            self._known[word] = ids
+        self._known.update((p.encode(), ids) for p, ids in missing.items())
+        self._known.update((word, parts[core] + parts[tail]) for word, core, tail in plain)
+        self._known.update(zip((w for w, _ in other), self._encode([t for _, t in other]), strict=True))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes."""
@@ -117,7 +119,11 @@ class WordIds:
             new = set().union(*cut)
         self._learn(new)
         known = self._known
-        return [b"".join([known[w] for w in words]) for words in cut]
+        ids = [b"".join([known[w] for w in words]) for words in cut]
+        for word in new:
+            if len(word) > LONGEST_REMEMBERED:
+                del known[word]
+        return ids
 
 
 def _word_ids(serialized: str) -> WordIds:
