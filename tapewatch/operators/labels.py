@@ -4,25 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapewatch.functions.expr import flag
+from tapewatch.functions.expr import finite, flag
 
 # ---------------------------------------------------------------- fixed values
-# Thresholds and wording of labels, risk levels and alerts.
+# Thresholds of labels, risk levels and alerts, and the wording of alerts.
 HIGH_RISK, MEDIUM_RISK, SUSPICIOUS = 0.7, 0.3, 0.5
+VOLUME_HIGH, VOLUME_EXTREME, VOLUME_LOW = 3.0, 5.0, 0.1
+LARGE_MOVE, MANIPULATED_MOVE, LARGE_GAP = 0.05, 0.03, 0.02
+BAND_UPPER, BAND_LOWER = 0.95, 0.05
+OPENING_HOUR, CLOSING_HOUR = 9, 16
+OVERBOUGHT, OVERSOLD, VOLATILE = 80.0, 20.0, 0.05
+SCORE_HIGH, SCORE_MEDIUM, CLASSIFIER_SURE = 0.8, 0.6, 0.9
+TEXTS = {
+    "VOLUME_EXTREME": "Extremely high volume: %.2fx normal",
+    "VOLUME_HIGH": "High volume detected: %.2fx normal",
+    "VOLUME_LOW": "Unusually low volume: %.2fx normal",
+    "PRICE_MOVE": "Large price %s: %.2f%%",
+    "OVERBOUGHT": "Overbought condition (RSI: %.1f)",
+    "OVERSOLD": "Oversold condition (RSI: %.1f)",
+    "BAND_UPPER": "Price near upper Bollinger Band (potential reversal)",
+    "BAND_LOWER": "Price near lower Bollinger Band (potential reversal)",
+    "VOLATILE": "High volatility detected: %.2f%%",
+    "GAP": "Gap %s: %.2f%%",
+    "RISK_HIGH": "HIGH RISK: Multiple fraud indicators detected",
+    "RISK_MEDIUM": "MEDIUM RISK: Suspicious trading pattern",
+    "ANOMALY": "Anomaly detected: Trading pattern deviates from normal",
+    "CLASSIFIER": "Classifier: Very high probability of suspicious activity",
+}
 # ------------------------------------------------------------ end fixed values
 
 
 def rule_labels(df: DataFrame) -> DataFrame:
-    """Synthetic labels of a feature row; an unknown feature never matches."""
-    volume, move = F.col("Volume_Ratio"), F.abs("Price_Change")
-    unusual = (volume > 3) | (volume < 0.1)
-    extreme = move > 0.05
-    manipulated = (volume > 5) & (move > 0.03) & (F.col("BB_Position") > 0.95)
+    """Synthetic labels of a feature row; an unknown feature, NaN and infinite ones included, never matches."""
+    volume, move = finite(F.col("Volume_Ratio")), F.abs(finite(F.col("Price_Change")))
+    unusual = (volume > VOLUME_HIGH) | (volume < VOLUME_LOW)
+    extreme = move > LARGE_MOVE
+    manipulated = (
+        (volume > VOLUME_EXTREME) & (move > MANIPULATED_MOVE) & (finite(F.col("BB_Position")) > BAND_UPPER))
     return df.withColumns({
         "Unusual_Volume": flag(unusual),
         "Extreme_Price_Move": flag(extreme),
-        "Gap_Trading": flag(F.abs("Gap") > 0.02),
-        "After_Hours_Activity": flag((F.col("Hour") < 9) | (F.col("Hour") > 16)),
+        "Gap_Trading": flag(F.abs(finite(F.col("Gap"))) > LARGE_GAP),
+        "After_Hours_Activity": flag((F.col("Hour") < OPENING_HOUR) | (F.col("Hour") > CLOSING_HOUR)),
         "Suspicious_Activity": flag(unusual & extreme),
         "Potential_Manipulation": flag(manipulated),
         "Target": flag((unusual & extreme) | manipulated),
@@ -38,33 +61,27 @@ def risk_level(score: Column) -> Column:
 
 
 def _alert_rules() -> list[list[tuple[Column, str, Column]]]:
-    """Groups in order; in a group the first true condition wins."""
-    volume, move = F.col("Volume_Ratio"), F.col("Price_Change")
-    rsi, position = F.col("RSI"), F.col("BB_Position")
-    shaky, gap = F.col("Volatility_10d"), F.col("Gap")
-    score, anomaly, classifier = (
-        F.col("ensemble_score"), F.col("anomaly_score"), F.col("classifier_probability"))
+    """Groups of (condition, code, text) in order; in a group the first true condition wins."""
+    volume, move, rsi, position, shaky, gap, score, anomaly, classifier = (finite(F.col(c)) for c in (
+        "Volume_Ratio", "Price_Change", "RSI", "BB_Position", "Volatility_10d", "Gap",
+        "ensemble_score", "anomaly_score", "classifier_probability"))
 
-    def text(pattern: str, *values: Column) -> Column:
-        return F.format_string(pattern, *values) if values else F.lit(pattern)
+    def rule(condition: Column, code: str, *values: Column) -> tuple[Column, str, Column]:
+        return condition, code, F.format_string(TEXTS[code], *values) if values else F.lit(TEXTS[code])
 
     return [
-        [(volume > 5.0, "VOLUME_EXTREME", text("Extremely high volume: %.2fx normal", volume)),
-         (volume > 3.0, "VOLUME_HIGH", text("High volume detected: %.2fx normal", volume)),
-         (volume < 0.1, "VOLUME_LOW", text("Unusually low volume: %.2fx normal", volume))],
-        [(F.abs(move) > 0.05, "PRICE_MOVE", text(
-            "Large price %s: %.2f%%", F.when(move > 0, "increase").otherwise("decrease"), F.abs(move) * 100))],
-        [(rsi > 80, "OVERBOUGHT", text("Overbought condition (RSI: %.1f)", rsi)),
-         (rsi < 20, "OVERSOLD", text("Oversold condition (RSI: %.1f)", rsi))],
-        [(position > 0.95, "BAND_UPPER", text("Price near upper Bollinger Band (potential reversal)")),
-         (position < 0.05, "BAND_LOWER", text("Price near lower Bollinger Band (potential reversal)"))],
-        [(shaky > 0.05, "VOLATILE", text("High volatility detected: %.2f%%", shaky * 100))],
-        [(F.abs(gap) > 0.02, "GAP", text(
-            "Gap %s: %.2f%%", F.when(gap > 0, "up").otherwise("down"), F.abs(gap) * 100))],
-        [(score > 0.8, "RISK_HIGH", text("HIGH RISK: Multiple fraud indicators detected")),
-         (score > 0.6, "RISK_MEDIUM", text("MEDIUM RISK: Suspicious trading pattern"))],
-        [(anomaly == 1, "ANOMALY", text("Anomaly detected: Trading pattern deviates from normal"))],
-        [(classifier > 0.9, "CLASSIFIER", text("Classifier: Very high probability of suspicious activity"))],
+        [rule(volume > VOLUME_EXTREME, "VOLUME_EXTREME", volume),
+         rule(volume > VOLUME_HIGH, "VOLUME_HIGH", volume),
+         rule(volume < VOLUME_LOW, "VOLUME_LOW", volume)],
+        [rule(F.abs(move) > LARGE_MOVE, "PRICE_MOVE",
+              F.when(move > 0, "increase").otherwise("decrease"), F.abs(move) * 100)],
+        [rule(rsi > OVERBOUGHT, "OVERBOUGHT", rsi), rule(rsi < OVERSOLD, "OVERSOLD", rsi)],
+        [rule(position > BAND_UPPER, "BAND_UPPER"), rule(position < BAND_LOWER, "BAND_LOWER")],
+        [rule(shaky > VOLATILE, "VOLATILE", shaky * 100)],
+        [rule(F.abs(gap) > LARGE_GAP, "GAP", F.when(gap > 0, "up").otherwise("down"), F.abs(gap) * 100)],
+        [rule(score > SCORE_HIGH, "RISK_HIGH"), rule(score > SCORE_MEDIUM, "RISK_MEDIUM")],
+        [rule(anomaly == 1, "ANOMALY")],
+        [rule(classifier > CLASSIFIER_SURE, "CLASSIFIER")],
     ]
 
 

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from tapewatch.functions.expr import finite
+from tapewatch.schema import PRICE_COLUMNS
 from tapewatch.session import cut, small_side
 
 # A moving average forgets a row by the factor d^1024, below 1e-32 for every
@@ -48,16 +50,40 @@ class Series:
         return frame
 
 
+def is_priced(columns) -> Column:
+    """Whether all prices and the volume, as far as ``columns`` has them, are known and finite."""
+    known = F.lit(True)
+    for c in PRICE_COLUMNS:
+        if c in columns:
+            known = known & finite(F.col(c)).isNotNull()
+    return known
+
+
+def priced(bars: DataFrame) -> DataFrame:
+    """The bars that a history can be made of."""
+    return bars.filter(is_priced(bars.columns))
+
+
+def price_gaps(bars: DataFrame) -> DataFrame:
+    """How many bars each symbol has, and how many of them a history leaves out."""
+    return bars.groupBy("symbol").agg(
+        F.count("*").alias("n_bars"), F.count_if(~is_priced(bars.columns)).alias("n_left_out"))
+
+
 def lay_out(
     bars: DataFrame,
     max_rows: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    only_priced: bool = True,
 ) -> Series:
     """Number the rows of each symbol by (ts, seq).
 
-    ``max_rows`` is a bound on the rows of any symbol that the caller can prove;
-    without one the longest symbol is counted first.
+    Bars without a known, finite price or volume are left out: averages and changes over
+    them would be wrong for all later rows.  ``price_gaps`` counts them.  ``max_rows`` is a bound on the rows of
+    any symbol that the caller can prove; without one the longest symbol is counted first.
     """
+    if only_priced:
+        bars = priced(bars)
     if max_rows is None:
         counted = bars.groupBy("symbol").agg(F.count("*").alias("n"))
         max_rows = counted.agg(F.max("n")).first()[0] or 0

@@ -9,7 +9,7 @@ from tapewatch.operators import features as ft
 from tapewatch.operators import labels as lb
 from tapewatch.operators import single_point as sp
 from tapewatch.operators.lookups import attach
-from tapewatch.operators.series import DAILY_ROWS, lay_out, number_by_sort
+from tapewatch.operators.series import DAILY_ROWS, lay_out, number_by_sort, price_gaps
 from tapewatch.registry.base import KEY, answer, nudge, query, r, shown
 from tapewatch.schema import FEATURES
 from tapewatch.sources.bars import ticks_to_bars
@@ -173,9 +173,31 @@ def _(spark, folder):
     return shown(dataset(spark, folder), "symbol", "ts", *FEATURES, "Target")
 
 
-def dataset(spark, folder):
+def with_gaps(bars):
+    """Bars with closes, highs and volumes knocked out by date: NULL, NaN and infinite."""
+    day = F.floor(F.unix_seconds("ts") / 86400)
+    return bars.withColumns({
+        "close": F.when(day % 11 == 3, None).when(day % 11 == 5, float("nan")).otherwise(F.col("close")),
+        "high": F.when(day % 13 == 2, float("inf")).otherwise(F.col("high")),
+        "volume": F.when(day % 17 != 1, F.col("volume"))})
+
+
+@query("fea_16_dataset_with_gaps", answer("gaps", "labelled", f"""
+select {KEY}, {r(*DOUBLES)}{_ints(INTS)}, "Target" from labelled where {_KNOWN}"""))
+def _(spark, folder):
+    """Spoiled bars leave the series as if they had not been there."""
+    return shown(dataset(spark, folder, with_gaps), "symbol", "ts", *FEATURES, "Target")
+
+
+@query("src_20_price_gaps", answer("gaps", "bars", """
+select symbol, count(*) as n_bars, count(*) filter ((symbol, ts) not in (select (symbol, ts) from bars)) as n_left_out from whole group by 1"""))
+def _(spark, folder):
+    return price_gaps(with_gaps(bars_brand(spark, folder)))
+
+
+def dataset(spark, folder, spoil=lambda bars: bars):
     """Complete training rows: key, features and label."""
-    rows = ft.complete_rows(_labelled(daily(spark, folder)).rows())
+    rows = ft.complete_rows(_labelled(lay_out(spoil(bars_brand(spark, folder)), DAILY_ROWS)).rows())
     return rows.select("symbol", "ts", "seq", "open", "high", "low", "close", "volume", *FEATURES, "Target").dropna(
         subset=list(FEATURES))
 
@@ -268,9 +290,9 @@ select {KEY}, round(coalesce(previous_close, close) + 3.1e-10, 6) + 0.0 as featu
 from pointed""", _PREVIOUS))
 def _(spark, folder):
     bars = sp.with_previous_close(bars_event(spark, folder))
-    both = sp.previous_close_or(bars, "close").withColumnRenamed("previous_close", "feature_rule").join(
-        sp.previous_close_or(bars, 0.0).select("symbol", "ts", F.col("previous_close").alias("loader_rule")), ["symbol", "ts"])
-    return shown(both, "symbol", "ts", "feature_rule", "loader_rule")
+    rules = {"feature_rule": "close", "loader_rule": 0.0}
+    both = bars.withColumns({name: sp.previous_close(other) for name, other in rules.items()})
+    return shown(both, "symbol", "ts", *rules)
 
 
 def _mode_answer(mode):

@@ -61,7 +61,7 @@ def r(*columns: str, digits: int = 6) -> str:
 TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') as ts"
 KEY = f"symbol, {TS}"
 
-_BRAND_KEY = "{k1: l_orderkey, k2: l_linenumber, k3: (l_partkey * 31 + l_suppkey) % 1048576}"
+_BRAND_KEY = "{k1: l_orderkey, k2: l_linenumber, k3: l_partkey, k4: l_suppkey, k5: l_extendedprice}"
 BARS = {
     "brand": f"""
 bars as materialized (
@@ -85,6 +85,11 @@ bars as materialized (
   from orders group by 1, 2)""",
 }
 
+# Brand bars without those that ``bar_queries.with_gaps`` spoils.
+_DAY = "(epoch(ts)::bigint // 86400)"
+BARS["gaps"] = BARS["brand"].replace("bars as materialized", "whole as materialized", 1) + f""",
+bars as materialized (select * from whole where {_DAY} % 11 not in (3, 5) and {_DAY} % 13 <> 2 and {_DAY} % 17 <> 1)"""
+
 # Step-by-step recursion: not the block sums the engine uses.
 _NUMBERED = """
 numbered as materialized (

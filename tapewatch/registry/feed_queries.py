@@ -127,6 +127,29 @@ def _(spark, folder):
                  "batch", "symbol", "ts", "close", "volume", "previous_close")
 
 
+@query("src_8_quarantine", """
+with e as (
+  select event_id, event_id // 10 as batch, event_id // 10 % 10 = 3 as broken, case event_id % 8
+    when 0 then 'not_convertible' when 1 then 'not_convertible' when 2 then 'not_convertible' when 6 then 'not_an_object'
+    when 7 then 'not_convertible' else '' end as reasons from events)
+select batch, reasons, count(*) as n from e where not broken group by 1, 2
+union all select distinct batch, 'not_json', 1 from e where broken""")
+def _(spark, folder):
+    """Volumes NaN, 1e30, "abc", 5.0 and left out, elements that are numbers, and arrays cut off."""
+    i = F.col("event_id")
+    volume = (
+        F.when(i % 8 == 0, '"NaN"').when(i % 8 == 1, "1e30").when(i % 8 == 2, '"abc"').when(i % 8 == 3, "5.0")
+        .when(i % 8 == 7, "null"))
+    close = F.concat(F.lit('"close":'), F.col("value").cast("string"))
+    record = F.when(i % 8 == 6, i.cast("string")).otherwise(
+        F.concat(F.lit("{"), F.concat_ws(",", close, F.concat(F.lit('"volume":'), volume)), F.lit("}")))
+    batches = table(spark, folder, "events").groupBy(F.floor(i / 10).alias("batch")).agg(
+        F.concat(F.lit("["), F.concat_ws(",", F.collect_list(record)), F.lit("]")).alias("payload"))
+    cut = F.when(F.col("batch") % 10 == 3, F.expr("substr(payload, 1, length(payload) - 3)")).otherwise(F.col("payload"))
+    records = feed.payload_records(batches.withColumn("payload", cut), "payload", "batch")
+    return records.groupBy("batch", F.concat_ws(",", "reasons").alias("reasons")).agg(F.count("*").alias("n"))
+
+
 def queue_events(spark, folder):
     """At most ten messages per queue event, as the broker delivers them."""
     m = messages(spark, folder)
@@ -151,6 +174,19 @@ def _(spark, folder):
         F.col("message_attributes")["Symbol"]["stringValue"].alias("symbol"), "parsed")
 
 
+@query("src_9_quarantine", f"""
+with e as (
+  select event_id, event_id // 10 as batch, event_id // 10 % 9 = 4 as broken, ({_OK}) as ok from events)
+select (count(*) filter (not broken) + count(distinct batch) filter (broken))::bigint as processed,
+  count(*) filter (ok and not broken) as ok, (count(*) filter (not ok and not broken) + count(distinct batch) filter (broken))::bigint as failed
+from e""")
+def _(spark, folder):
+    """Events cut off halfway count as one failed message each."""
+    events = queue_events(spark, folder)
+    cut = F.when(F.col("batch") % 9 == 4, F.expr("substr(event, 1, length(event) div 2)")).otherwise(F.col("event"))
+    return feed.accounting(feed.read_messages(feed.flatten_queue_events(events.withColumn("event", cut), "event")))
+
+
 def event_messages(spark, folder):
     bars = bars_event(spark, folder).withColumn("previous_close", F.lit(None).cast("double"))
     batch = F.md5(F.concat_ws("|", "symbol", F.unix_seconds("ts").cast("string")))

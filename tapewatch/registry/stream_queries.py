@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tapewatch.operators import metrics as mt
 from tapewatch.operators import networks as nn
@@ -25,29 +25,49 @@ from tapewatch.streaming import feeds, indicators, run as st
 
 
 # ------------------------------------------------------------ folders and sinks
-@query("src_1_bar_folder", answer("event", "bars", f"select {KEY}, {r('open', 'high', 'low', 'close')}, volume from bars"))
+_PRICED = f"select {KEY}, {r('open', 'high', 'low', 'close')}, volume from bars"
+
+
+@query("src_1_bar_folder", answer("brand", "bars", _PRICED))
 def _(spark, folder):
     path = scratch(spark, "csv")
-    br.write_symbol_csvs(bars_event(spark, folder), path)
+    br.write_symbol_csvs(bars_brand(spark, folder), path)
     return shown(br.read_bar_folder(spark, f"{path}/named"), "symbol", "ts", "open", "high", "low", "close", "volume")
 
 
-@query("src_2_file_limit", answer("event", "bars", """
+@query("src_1_repeated_dates", answer("brand", "bars", """
+select symbol, ts, close, previous from (
+  select symbol, strftime(ts, '%Y-%m-%d') as ts, k, round(close + k + 3.1e-10, 6) + 0.0 as close,
+    round(lag(close + k) over (partition by symbol order by ts, k) + 3.1e-10, 6) + 0.0 as previous
+  from bars, (select unnest([0, 1]) as k))"""))
+def _(spark, folder):
+    """Two rows of each date stay in the order of the file."""
+    path = scratch(spark, "csv")
+    twice = bars_brand(spark, folder).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    br.write_symbol_csvs(twice.withColumns({"close": F.col("close") + F.col("k"), "seq": F.col("k")}), path)
+    order = Window.partitionBy("symbol").orderBy("ts", "seq")
+    bars = br.read_bar_folder(spark, f"{path}/named").withColumns({
+        "previous": F.lag("close").over(order), "ts": F.date_format("ts", "yyyy-MM-dd")})
+    return shown(bars, "symbol", "ts", "close", "previous")
+
+
+@query("src_2_file_limit", answer("brand", "bars", """
 select symbol, count(*) as n_bars from bars where symbol in (select distinct symbol from bars order by 1 limit 3) group by 1"""))
 def _(spark, folder):
     path = scratch(spark, "csv")
-    br.write_symbol_csvs(bars_event(spark, folder), path)
+    br.write_symbol_csvs(bars_brand(spark, folder), path)
     return br.read_bar_folder(spark, f"{path}/named", limit=3).groupBy("symbol").agg(F.count("*").alias("n_bars"))
 
 
 for _form in ("parquet", "csv"):
     def _round_trip(spark, folder, form=_form):
         path = scratch(spark, "bars")
-        br.write_bars(bars_event(spark, folder), path, form)
-        return shown(br.read_bars(spark, path, form), "symbol", "ts", "open", "high", "low", "close", "volume")
+        br.write_bars(with_previous_close(bars_brand(spark, folder)).withColumn("seq", F.col("volume")), path, form)
+        return shown(br.read_bars(spark, path, form), "symbol", "ts", "open", "high", "low", "close", "volume", "previous_close", "seq")
 
-    query(f"src_3_persist_{_form}", answer(
-        "event", "bars", f"select {KEY}, {r('open', 'high', 'low', 'close')}, volume from bars"))(_round_trip)
+    query(f"src_3_persist_{_form}", answer("brand", "bars", f"""
+select {KEY}, {r('open', 'high', 'low', 'close', 'previous_close')}, volume, volume as seq
+from (select *, lag(close) over (partition by symbol order by ts, seq) as previous_close from bars)"""))(_round_trip)
 
 
 @query("src_22_result_sink", scored_answer("""

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tapewatch.functions.expr import finite
+from tapewatch.operators.series import priced
 from tapewatch.schema import BAR, BAR_COLUMNS, PRICE_COLUMNS
+from tapewatch.session import ship_package
 
-HEADER_BYTES = 64 * 1024
+READ_BYTES = 64 * 1024  # read at a time until the header line ends
 
 # Accepted spellings of the price columns.
 STANDARD_NAMES = {
@@ -30,7 +34,8 @@ def ticks_to_bars(ticks: DataFrame, unit: str, order: str = "tick") -> DataFrame
 
     ``ticks`` has symbol, ts, price and qty; the number ``order`` decides the first
     and the last tick of a bar.  Ticks of one bar are combined before the shuffle,
-    by hash and without a sort because every buffer is a plain number.
+    by hash and without a sort where ``order`` is a plain number; a struct of several
+    columns works as well.
     """
     key = F.col(order)
     return (
@@ -55,8 +60,9 @@ def csv_files(spark: SparkSession, folder: str) -> list[str]:
 def read_bar_folder(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
     """All per-symbol CSV files of a folder as one frame.
 
-    The symbol is the file name.  Rows whose date cannot be read are dropped, an
-    adjusted close is ignored, and ``limit`` keeps the first files by name.
+    The symbol is the file name, ``seq`` grows with the place in the file, so rows of one date keep
+    their order.  Rows whose date cannot be read are dropped, an adjusted close is ignored, prices that are
+    no finite number are NULL, and ``limit`` keeps the first files by name.
     """
     files = csv_files(spark, folder)
     if not files:
@@ -65,20 +71,24 @@ def read_bar_folder(spark: SparkSession, folder: str, limit: int | None = None)
         files = files[:limit]
     raw = None
     for header, paths in _by_header(spark, files).items():
-        names = [name.strip().strip('"') for name in header.split(",")]
+        names = [name.strip() for name in next(csv.reader([header]))]
         part = (
-            spark.read.option("header", True)
-            .schema(", ".join(f"`{n}` STRING" for n in names)).csv(paths)
-            .withColumn("symbol", F.regexp_extract(_file_name(), r"^(.*)\.csv$", 1)))
+            spark.read.option("header", True).option("enforceSchema", True)
+            .schema(", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)).csv(paths)
+            .withColumns({
+                "symbol": F.regexp_extract(_file_name(), r"^(.*)\.csv$", 1),
+                "seq": F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
         raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    if raw is None:
+        raise ValueError(f"no CSV file in {folder} has a header")
     return (
         raw.select(
             "symbol",
             F.try_to_timestamp("Date").alias("ts"),
-            *[F.col(c.title()).try_cast("double").alias(c) for c in PRICE_COLUMNS])
+            *[finite(F.col(c.title()).try_cast("double")).alias(c) for c in PRICE_COLUMNS], "seq")
         .filter(F.col("ts").isNotNull())
-        .withColumn("volume", F.col("volume").cast("long"))
-        .withColumn("seq", F.lit(0).cast("long")))
+        .withColumn("volume", F.col("volume").try_cast("long"))
+        .select("symbol", "ts", *PRICE_COLUMNS, "seq"))
 
 
 def _file_name() -> Column:
@@ -86,24 +96,34 @@ def _file_name() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
+def _first_line(path: str) -> str:
+    """The first line of a file that isn't blank."""
+    if path.startswith("file:"):
+        system, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        uri = quote(path, safe=":/")
+        system, name = fs.FileSystem.from_uri(uri.replace(uri.split(":", 1)[0], "s3", 1) if uri.startswith(("s3a:", "s3n:")) else uri)
+    with system.open_input_stream(name) as stream:
+        data = b""
+        while True:
+            more = stream.read(READ_BYTES)
+            data = (data + more).lstrip(b"\xef\xbb\xbf\r\n \t") if not data else data + more
+            line, ended, _ = data.partition(b"\n")
+            if ended or not more:
+                return line.decode("utf-8-sig").strip()
+
+
 def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        headers = []
-        for path in batch["path"]:
-            if path.startswith("file:"):
-                system, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-            else:
-                system, name = fs.FileSystem.from_uri(quote(path, safe=":/"))
-            with system.open_input_stream(name) as stream:
-                headers.append(stream.read(HEADER_BYTES).split(b"\n", 1)[0].decode("utf-8-sig").strip())
-        yield pd.DataFrame({"path": batch["path"], "header": headers})
+        yield pd.DataFrame({"path": batch["path"], "header": [_first_line(path) for path in batch["path"]]})
 
 
 def _by_header(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
     """File paths per distinct header line, since column sets differ between files.
 
-    Tasks read the first bytes of their files only.
+    Tasks read the first line of their files only; files without any line are left out.
     """
+    ship_package(spark)
     paths = spark.createDataFrame([(f,) for f in files], "path string")
     tasks = min(len(files), spark.sparkContext.defaultParallelism)
     lines = paths.repartition(tasks).mapInPandas(_first_lines, "path string, header string").collect()
@@ -119,12 +139,12 @@ def standardise_columns(df: DataFrame) -> DataFrame:
     renamed = df.withColumnsRenamed({
         c: STANDARD_NAMES[c.lower()] for c in df.columns if c.lower() in STANDARD_NAMES})
     if "Volume" in renamed.columns:
-        renamed = renamed.withColumn("Volume", F.col("Volume").try_cast("double").cast("long"))
+        renamed = renamed.withColumn("Volume", F.col("Volume").try_cast("double").try_cast("long"))
     return renamed
 
 
 def clean_bars(df: DataFrame) -> DataFrame:
-    """Canonical bars: complete prices and volume, volume as integer.
+    """Canonical bars: known, finite prices and volume, volume as integer.
 
     A frame without a required column gives no rows.
     """
@@ -136,11 +156,11 @@ def clean_bars(df: DataFrame) -> DataFrame:
     bars = df.select(
         F.col(names["symbol"]).alias("symbol"),
         F.col(names["ts"]).cast("timestamp").alias("ts"),
-        *[F.col(names[c]).cast("double").alias(c) for c in PRICE_COLUMNS],
+        *[F.col(names[c]).try_cast("double").alias(c) for c in PRICE_COLUMNS],
         *[(F.col(names[c]) if c in names else F.lit(None)).cast(t).alias(c) for c, t in optional.items()])
     return (
-        bars.dropna(subset=list(PRICE_COLUMNS))
-        .withColumn("volume", F.col("volume").cast("long"))
+        priced(bars)
+        .withColumn("volume", F.col("volume").try_cast("long")).dropna(subset=["volume"])
         .withColumn("seq", F.coalesce("seq", F.lit(0).cast("long")))
         .select(*BAR_COLUMNS))
 
@@ -156,26 +176,36 @@ def write_bars(bars: DataFrame, path: str, form: str = "parquet") -> None:
 
 
 def read_bars(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """What ``write_bars`` wrote; of CSV files the columns are found by their names."""
     if form == "csv":
-        schema = "symbol string, ts timestamp, open double, high double, low double, close double, volume long, seq long"
-        return (
-            spark.read.schema(schema).option("header", True)
-            .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path))
+        text = spark.read.option("header", True).csv(path)
+        kinds = {f.name: f.dataType for f in BAR}
+        return text.select(*[
+            (F.to_timestamp(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if c == "ts" else F.col(c).cast(kinds[c])).alias(c)
+            for c in text.columns])
     return spark.read.parquet(path)
 
 
 def write_symbol_csvs(bars: DataFrame, path: str) -> None:
-    """One ``<symbol>.csv`` per symbol, the layout ``read_bar_folder`` takes."""
+    """One ``<symbol>.csv`` per symbol, rows by time, the layout ``read_bar_folder`` takes.
+
+    Rows of one time keep the order of ``seq`` if there is one, else that of their columns.
+    """
+    order = [c for c in ("ts", "seq", *PRICE_COLUMNS) if c in bars.columns]
     spark = bars.sparkSession
-    (bars.select(
+    (bars.repartition("symbol").sortWithinPartitions("symbol", *order).select(
         "symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Date"),
         F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"),
         F.col("close").alias("Close"), F.col("close").alias("Adj Close"), F.col("volume").alias("Volume"))
-     .repartition("symbol").write.partitionBy("symbol").option("header", True).csv(f"{path}/parts"))
+     .write.partitionBy("symbol").option("header", True).csv(f"{path}/parts"))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(f"{path}/named")
     store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     store.mkdirs(target)
     for part in store.globStatus(hadoop.Path(f"{path}/parts/symbol=*/part-*.csv")):
-        symbol = part.getPath().getParent().getName().split("=", 1)[1]
-        store.rename(part.getPath(), hadoop.Path(target, f"{symbol}.csv"))
+        # the folder's name is the symbol, percent-encoded where a path needs it
+        symbol = unquote(part.getPath().getParent().getName().split("=", 1)[1])
+        if "/" in symbol:
+            raise ValueError(f"{symbol!r} cannot be a file's name")
+        if not store.rename(part.getPath(), hadoop.Path(target, f"{symbol}.csv")):
+            raise OSError(f"could not name the file of {symbol}")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tapewatch.functions.expr import computed_once, filled
+from tapewatch.functions.expr import computed_once, filled, finite
 from tapewatch.operators.series import lay_out
 from tapewatch.schema import PRICE_COLUMNS
 
@@ -40,24 +40,15 @@ QUEUE_EVENT = T.StructType([
     ]))),
 ])
 
-_POINT = [
-    T.StructField("symbol", T.StringType()),
-    T.StructField("timestamp", T.StringType()),
-    T.StructField("open", T.DoubleType()),
-    T.StructField("high", T.DoubleType()),
-    T.StructField("low", T.DoubleType()),
-    T.StructField("close", T.DoubleType()),
-    T.StructField("volume", T.LongType()),
-    T.StructField("previous_close", T.DoubleType()),
-]
-PAYLOAD = T.ArrayType(T.StructType([T.StructField("data", T.StructType(_POINT)), *_POINT]))
+PAYLOAD = T.ArrayType(T.StringType())  # elements as text, so that a bad one spoils no other
 
 
 def parse_messages(df: DataFrame, body: str = "body") -> DataFrame:
     """Add ``top`` and ``data`` key maps and ``parsed``; the raw body stays."""
     df = computed_once(df, top=F.from_json(body, MAP))
     df = computed_once(df, data=F.from_json(F.col("top")["data"], MAP))
-    return df.withColumn("parsed", F.coalesce(F.size("top") > 0, F.lit(False)) | (F.trim(body) == "{}"))
+    return df.withColumn(
+        "parsed", F.coalesce(F.size("top") > 0, F.lit(False)) | F.coalesce(F.trim(body) == "{}", F.lit(False)))
 
 
 def _has(source: str, key: str) -> Column:
@@ -92,7 +83,7 @@ def convert_messages(validated: DataFrame) -> DataFrame:
     data = F.col("data")
 
     def number(key: str) -> Column:
-        return data[key].try_cast("double")
+        return finite(data[key].try_cast("double"))
 
     nested = _has("data", "symbol")
     adjusted = F.when(nested, number("adj_close")).otherwise(number("adjClose"))
@@ -101,7 +92,7 @@ def convert_messages(validated: DataFrame) -> DataFrame:
         F.when(nested, data["symbol"]).otherwise(F.col("top")["symbol"]).alias("symbol"),
         message_time().alias("ts"),
         *[number(c).alias(c) for c in ("open", "high", "low", "close")],
-        number("volume").cast("long").alias("volume"),
+        number("volume").try_cast("long").alias("volume"),
         F.when(nested & number("adj_close").isNull(), number("previous_close")).alias("previous_close"),
         adjusted.alias("adj_close"))
     complete = F.col("ts").isNotNull()
@@ -133,29 +124,67 @@ def accounting(messages: DataFrame) -> DataFrame:
         F.count_if(F.size("reasons") > 0).alias("failed"))
 
 
-def explode_payload(df: DataFrame, payload: str, *keep: str) -> DataFrame:
-    """Records of a JSON array; each is a bar or holds one under ``data``."""
-    record = df.select(*keep, F.explode(F.from_json(payload, PAYLOAD)).alias("_r"))
+def payload_records(df: DataFrame, payload: str, *keep: str) -> DataFrame:
+    """Records of a JSON array; each is a bar or holds one under ``data``.
 
-    def pick(name: str) -> Column:
-        return F.when(F.col("_r.data").isNotNull(), F.col(f"_r.data.{name}")).otherwise(F.col(f"_r.{name}"))
+    Keys that are not there get the format's defaults; a key that is there with something that
+    is not a number, or a time that is none, makes the record ``not_convertible``.  A payload that is no
+    array gives one row ``not_json``, an element that is no object one ``not_an_object``.  Nothing
+    is dropped: ``reasons`` tells good rows from bad ones.
+    """
+    listed = df.select(*keep, F.from_json(payload, PAYLOAD).alias("_all"))
+    nothing = F.array(F.lit(None).cast("string"))
+    record = listed.select(
+        *keep, F.col("_all").isNull().alias("_unread"), F.explode(F.coalesce("_all", nothing)).alias("_text"))
+    record = computed_once(record, _top=F.from_json("_text", MAP))
+    record = computed_once(record, _data=F.from_json(F.col("_top")["data"], MAP))
+    record = computed_once(record, _r=F.coalesce("_data", "_top"))
 
-    return record.select(
-        *keep,
-        F.coalesce(pick("symbol"), F.lit("UNKNOWN")).alias("symbol"),
-        F.coalesce(F.try_to_timestamp(filled(pick("timestamp"))), F.current_timestamp()).alias("ts"),
-        *[F.coalesce(pick(c), F.lit(0.0)).alias(c) for c in ("open", "high", "low", "close")],
-        F.coalesce(pick("volume"), F.lit(0).cast("long")).alias("volume"),
-        F.coalesce(pick("previous_close"), F.lit(0.0)).alias("previous_close"))
+    def has(key: str) -> Column:
+        return F.coalesce(F.map_contains_key("_r", F.lit(key)), F.lit(False))
+
+    def number(key: str) -> Column:
+        return F.when(has(key), finite(F.col("_r")[key].try_cast("double"))).otherwise(0.0)
+
+    volume, text = number("volume"), filled(F.col("_r")["timestamp"])
+    time = F.when(text.isNull(), F.current_timestamp()).otherwise(F.try_to_timestamp(text))
+    bars = record.select(
+        "*",
+        F.coalesce(F.col("_r")["symbol"], F.lit("UNKNOWN")).alias("symbol"),
+        time.alias("ts"),
+        *[number(c).alias(c) for c in ("open", "high", "low", "close")],
+        F.when(volume == F.floor(volume), volume.try_cast("long")).alias("volume"),
+        number("previous_close").alias("previous_close"))
+    complete = F.col("ts").isNotNull() & F.col("previous_close").isNotNull()
+    for c in PRICE_COLUMNS:
+        complete = complete & F.col(c).isNotNull()
+    reason = (
+        F.when(F.col("_unread"), F.lit("not_json"))
+        .when(~F.coalesce(F.startswith(F.ltrim("_text"), F.lit("{")), F.lit(False)), F.lit("not_an_object"))
+        .when(~complete, F.lit("not_convertible")))
+    return bars.withColumn("reasons", F.array_compact(F.array(reason))).drop("_unread", "_text", "_top", "_data", "_r")
+
+
+def explode_payload(df: DataFrame, payload: str, *keep: str) -> DataFrame:
+    """The good records of a JSON array."""
+    return payload_records(df, payload, *keep).filter(F.size("reasons") == 0).drop("reasons")
 
 
 def flatten_queue_events(df: DataFrame, event: str) -> DataFrame:
-    """One row per queue record."""
-    record = df.select(F.explode(F.from_json(event, QUEUE_EVENT)["Records"]).alias("r"))
+    """One row per queue record.
+
+    An event that cannot be read, or has no list of records, goes on as a body of its own, so
+    that validation counts and quarantines it.
+    """
+    records = F.from_json(event, QUEUE_EVENT)["Records"]
+    kind = QUEUE_EVENT["Records"].dataType
+    nothing = F.array(F.lit(None).cast(kind.elementType))
+    record = df.select(
+        F.when(records.isNull(), F.col(event)).alias("_event"), F.explode(F.coalesce(records, nothing)).alias("r"))
     return record.select(
         F.col("r.messageId").alias("message_id"),
         F.col("r.receiptHandle").alias("receipt_handle"),
-        F.col("r.body").alias("body"),
+        F.coalesce("_event", "r.body").alias("body"),
         F.col("r.attributes").alias("attributes"),
         F.col("r.messageAttributes").alias("message_attributes"))
 
@@ -217,7 +246,7 @@ def chunk_messages(df: DataFrame, size: int = BATCH_SIZE, **layout) -> DataFrame
 
     Expects columns symbol (the group), ts and seq.
     """
-    numbered = lay_out(df, **layout).rows()
+    numbered = lay_out(df, only_priced=False, **layout).rows()
     return numbered.withColumn("batch_no", F.floor((F.col("rn") - 1) / size)).drop("rn")
 
 

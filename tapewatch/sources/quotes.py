@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Fixed value: stand-in for an unknown previous close.
 APPROXIMATE_PREVIOUS = 0.99
@@ -40,20 +40,18 @@ def latest_of_list(df: DataFrame, quotes: str = "quotes") -> DataFrame:
 
 
 def latest_of_table(bars: DataFrame) -> DataFrame:
-    """The table form: last bar per symbol and the close of the one before.
+    """The table form: last bar per symbol and the close of the one before, also where both
+    have one time and ``seq``.
 
-    The two newest bars are found by aggregation, the second over what is left.
+    Each task keeps the two newest bars of a symbol before anything is shuffled.
     """
     columns = ["ts", "seq", "open", "high", "low", "close", "volume"]
-    pair = F.struct("ts", "seq")
-    last = bars.groupBy("symbol").agg(F.max_by(F.struct(*columns), pair).alias("l"), F.max(pair).alias("at"))
-    before = (
-        bars.join(last.select("symbol", "at"), "symbol")
-        .filter(F.struct("ts", "seq") < F.col("at"))
-        .groupBy("symbol").agg(F.max_by("close", pair).alias("before")))
-    return (
-        last.join(before, "symbol", "left")
-        .select("symbol", "l.*", F.coalesce("before", F.col("l.close") * APPROXIMATE_PREVIOUS).alias("previous_close")))
+    back = Window.partitionBy("symbol").orderBy(*(F.col(c).desc() for c in ("ts", "seq", *columns[2:])))
+    newest = bars.select("symbol", *columns).withColumn("back", F.row_number().over(back)).filter("back <= 2")
+    pair = newest.groupBy("symbol").agg(
+        F.max_by(F.struct(*columns), -F.col("back")).alias("l"),
+        F.max(F.when(F.col("back") == 2, F.col("close"))).alias("before"))
+    return pair.select("symbol", "l.*", F.coalesce("before", F.col("l.close") * APPROXIMATE_PREVIOUS).alias("previous_close"))
 
 
 def chart_to_bars(charts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapewatch.sources.bars import ticks_to_bars
 
@@ -23,16 +23,7 @@ def brand_ticks(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_shipdate").alias("ts"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("qty"),
-        line_number().alias("tick"))
-
-
-def line_number() -> Column:
-    """Order of the lines: order key and line, then part and supplier.
-
-    40 + 3 + 20 bits; the last 20 only matter where a line number repeats.
-    """
-    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return line * 1048576 + (F.col("l_partkey") * 31 + F.col("l_suppkey")) % 1048576
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("tick"))
 
 
 def bars_brand(spark: SparkSession, folder: str) -> DataFrame:
