@@ -105,8 +105,8 @@ def smoothed_closes(series: Series, short_frames: bool = False) -> Series:
     if short_frames:
         series = series_length(series)
     return series.on(with_averages(series, [
-        Average("EMA_12", "close", alpha(FAST_ROWS), adjusted=True),
-        Average("EMA_26", "close", alpha(SLOW_ROWS), adjusted=True),
+        Average("EMA_12", "close", alpha(FAST_ROWS), adjusted=True, least_alpha=2.0 / (FAST_ROWS + 1)),
+        Average("EMA_26", "close", alpha(SLOW_ROWS), adjusted=True, least_alpha=2.0 / (SLOW_ROWS + 1)),
     ]))
 
 

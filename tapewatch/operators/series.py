@@ -16,8 +16,8 @@ from tapewatch.functions.expr import finite
 from tapewatch.schema import PRICE_COLUMNS
 from tapewatch.session import cut, small_side
 
-# A moving average forgets a row by the factor d^1024, below 1e-32 for every
-# smoothing factor in use, so one block of look-back is exact in doubles.
+# Rows that sums over blocks take together.  The indicators' own averages forget more than a
+# double can tell within one such block, so it is the halo, too, where none is asked for.
 BLOCK = 1024
 ROWS_PER_TASK = 4096 * BLOCK
 # One bar per symbol and calendar day, over every year a timestamp can express.
@@ -32,6 +32,7 @@ class Series:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     chunked: bool
+    halo: int = BLOCK
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*self.order)
@@ -40,7 +41,7 @@ class Series:
         return self.window().rowsBetween(-(n - 1), 0)
 
     def on(self, frame: DataFrame) -> "Series":
-        return Series(frame, self.keys, self.order, self.chunked)
+        return Series(frame, self.keys, self.order, self.chunked, self.halo)
 
     def rows(self) -> DataFrame:
         """The bars without halo copies and layout columns."""
@@ -75,12 +76,14 @@ def lay_out(
     max_rows: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
     only_priced: bool = True,
+    halo: int = BLOCK,
 ) -> Series:
     """Number the rows of each symbol by (ts, seq).
 
     Bars without a known, finite price or volume are left out: averages and changes over
     them would be wrong for all later rows.  ``price_gaps`` counts them.  ``max_rows`` is a bound on the rows of
     any symbol that the caller can prove; without one the longest symbol is counted first.
+    ``halo`` rows before a chunk are copied into it; averages with a long memory need more than BLOCK.
     """
     if only_priced:
         bars = priced(bars)
@@ -91,16 +94,16 @@ def lay_out(
         order = Window.partitionBy("symbol").orderBy("ts", "seq")
         frame = bars.withColumn("rn", F.row_number().over(order).cast("long"))
         return Series(frame, ("symbol",), ("ts", "seq"), False)
-    return _chunked(bars, rows_per_task)
+    return _chunked(bars, rows_per_task, halo)
 
 
-def _chunked(bars: DataFrame, rows_per_chunk: int) -> Series:
-    if rows_per_chunk % BLOCK or rows_per_chunk <= BLOCK:
-        raise ValueError(f"rows_per_task must be a multiple of {BLOCK} above it")
+def _chunked(bars: DataFrame, rows_per_chunk: int, halo: int) -> Series:
+    if rows_per_chunk % BLOCK or halo % BLOCK or not 0 < halo < rows_per_chunk:
+        raise ValueError(f"rows_per_task and halo must be multiples of {BLOCK}, the halo the smaller one")
     numbered = number_by_sort(bars, ["symbol"], ["ts", "seq"])
     place = F.col("rn") - 1
     home = F.floor(place / rows_per_chunk)
-    in_halo = place % rows_per_chunk >= rows_per_chunk - BLOCK
+    in_halo = place % rows_per_chunk >= rows_per_chunk - halo
     frame = (
         numbered.withColumn("home", home)
         .withColumn("chunk", F.explode(
@@ -108,7 +111,7 @@ def _chunked(bars: DataFrame, rows_per_chunk: int) -> Series:
         .withColumn("halo", F.col("chunk") != F.col("home"))
         .drop("home")
     )
-    return Series(frame, ("symbol", "chunk"), ("rn",), True)
+    return Series(frame, ("symbol", "chunk"), ("rn",), True, halo)
 
 
 def placed(df: DataFrame, order: list[str]) -> DataFrame:

@@ -313,7 +313,7 @@ for _batch, _mode in ((False, "simple"), (True, "enhanced")):
 
 
 # -------------------------------------------------------------------- windows
-def tick_series(spark, folder, rows_per_task=2048):
+def tick_series(spark, folder, rows_per_task=2048, halo=1024):
     """Single ticks per type and, as one hot symbol, of all types together.
 
     The small ``rows_per_task`` makes the hot one go through the chunked layout.
@@ -321,7 +321,7 @@ def tick_series(spark, folder, rows_per_task=2048):
     ticks = event_ticks(spark, folder).select(
         F.explode(F.array("symbol", F.lit("ALL"))).alias("symbol"), "ts", F.col("event_id").alias("seq"),
         F.col("price").alias("close"), F.col("qty").alias("volume"))
-    return lay_out(ticks, rows_per_task=rows_per_task)
+    return lay_out(ticks, rows_per_task=rows_per_task, halo=halo)
 
 
 _TICKS = """
@@ -342,6 +342,21 @@ def _(spark, folder):
     return shown(df, "symbol", "seq", "rn", "ema")
 
 
+@query("win_8_ema_spans", "with recursive" + _TICKS.split("walk as (")[0] + ", ".join(f"""
+walk{s} as (
+  select symbol, seq, rn, close as ema from ticks where rn = 1
+  union all
+  select t.symbol, t.seq, t.rn, w.ema * {s - 1} / {s + 1}::double + t.close * 2 / {s + 1} from walk{s} w join ticks t on t.symbol = w.symbol and t.rn = w.rn + 1)"""
+    for s in (2, 100, 200)) + """
+select symbol, seq, rn, """ + ", ".join(f"round(walk{s}.ema + 3.1e-10, 6) + 0.0 as ema_{s}" for s in (2, 100, 200)) + """
+from walk2 join walk100 using (symbol, seq, rn) join walk200 using (symbol, seq, rn)""")
+def _(spark, folder):
+    """Short and long memories, over chunks with a halo that suits the longest."""
+    series = tick_series(spark, folder, 8192, 4096)
+    df = series.on(with_averages(series, [Average.span(f"ema_{s}", "close", s) for s in (2, 100, 200)])).rows()
+    return shown(df, "symbol", "seq", "rn", "ema_2", "ema_100", "ema_200")
+
+
 def _adjusted(span, short):
     n = f"least({span}, n_rows)" if short else str(span)
     keep = f"(1 - 2.0::double / ({n} + 1))"

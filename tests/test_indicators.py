@@ -112,3 +112,32 @@ def test_latest_equals_last_of_filled(bars):
         row = by_time(ft.fill_defaults(series), symbol).iloc[-1]
         for c in FEATURES:
             assert last[symbol][c] == pytest.approx(row[c], rel=1e-9, abs=1e-9), c
+
+
+@pytest.mark.parametrize("chunks", [None, 8192])
+@pytest.mark.parametrize("adjusted", [False, True])
+def test_averages_of_any_span_equal_pandas(spark, chunks, adjusted):
+    import numpy as np
+    import pandas as pd
+    draw = np.random.default_rng(3).normal(100, 5, 30_000)
+    start = pd.Timestamp("2024-01-01")
+    frame = pd.DataFrame({"symbol": "A", "ts": start + pd.to_timedelta(np.arange(30_000), "s"), "seq": 0, "close": draw})
+    spans = (1, 2, 12, 50, 100, 200) if chunks else (1, 2, 12, 50, 100, 200, 3000, 50_000)
+    layout = {"rows_per_task": chunks, "halo": 4096} if chunks else {}
+    series = lay_out(spark.createDataFrame(frame), **layout)
+    assert series.chunked == bool(chunks)
+    wanted = [Average.span(f"e{s}", "close", s, adjusted=adjusted) for s in spans]
+    got = series.on(with_averages(series, wanted)).rows().orderBy("ts").toPandas()
+    for s in spans:
+        want = pd.Series(draw).ewm(span=s, adjust=adjusted).mean()
+        assert np.abs(got[f"e{s}"] - want).max() < 1e-9, s
+
+
+def test_averages_refuse_what_they_cannot_do(spark):
+    with pytest.raises(ValueError):
+        Average("e", "close", 1.5)
+    with pytest.raises(ValueError):
+        Average("e", "close", "2D / n_rows")
+    ticks = spark.range(5000).selectExpr("'A' as symbol", "timestamp_seconds(id) as ts", "0L as seq", "1D as close")
+    with pytest.raises(ValueError, match="halo"):
+        with_averages(lay_out(ticks, rows_per_task=2048), [Average.span("e", "close", 200)])
