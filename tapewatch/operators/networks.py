@@ -1,20 +1,19 @@
-"""The two dense networks, fitted over partitions and applied in batches.
+"""The two dense networks, fitted on a bounded sample and applied in batches.
 
-An epoch is one pass: every partition takes its rows through mini-batch Adam
-steps from the same weights, and the weights come back averaged by row count.
-Averaging runs as a grouped aggregation; what reaches the driver has the size
-of the network, whatever the data.
+Networks of this size learn from a bounded sample: ``MAX_LABELLED_ROWS`` rows, chosen by a hash
+over all partitions, on which one task runs mini-batch Adam.  Scoring covers all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tapewatch.session import ship_package
+
 # Layer widths, dropout, batch size, patience, learning rates.
 AUTOENCODER = (20, 20, 10, 20, 20)
 AUTOENCODER_DROPOUT = (0.2, 0.0, 0.2)
@@ -26,6 +25,10 @@ AUTOENCODER_PATIENCE, AUTOENCODER_RATE_PATIENCE, AUTOENCODER_MIN_RATE = 15, 7, 0
 CLASSIFIER_PATIENCE, CLASSIFIER_RATE_PATIENCE, CLASSIFIER_MIN_RATE = 20, 10, 0.00001
 
 
+# Rows that a fit takes at most, and as many to hold it against.
+MAX_LABELLED_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class Network:
     """Dense layers with ReLU between them; ``head`` is 'mse' or 'bce'."""
@@ -93,75 +96,78 @@ class Network:
         return np.concatenate(parts)
 
 
-def _pass(network: Network, rate: float, dropout, seed: int):
-    """One partition's Adam pass; gives rows, weights and both moments."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng, flat = np.random.default_rng(seed), network.flat.copy()
-        first, second = np.zeros_like(flat), np.zeros_like(flat)
-        step = rows = 0
-        for batch in batches:
-            x = np.stack(batch["x"].to_numpy())
-            y = x if network.head == "mse" else batch["y"].to_numpy(dtype=float)[:, None]
-            w = batch["w"].to_numpy(dtype=float)
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), BATCH):
-                pick = order[at:at + BATCH]
-                step += 1
-                g = Network(network.widths, network.head, flat).gradient(x[pick], y[pick], w[pick], dropout, rng)
-                first = 0.9 * first + 0.1 * g
-                second = 0.999 * second + 0.001 * g * g
-                flat = flat - rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-7)
-            rows += len(x)
-        if rows:
-            yield pd.DataFrame({"n": [rows], "flat": [flat.tolist()]})
-
-    return run
-
-
-def _losses(network: Network):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.stack(batch["x"].to_numpy())
-            y = x if network.head == "mse" else batch["y"].to_numpy(dtype=float)[:, None]
-            loss = network.loss(x, y)
-            yield pd.DataFrame({"n": [len(x)], "total": [float(loss.sum())]})
-
-    return run
+def _descend(network: Network, x, y, w, rate: float, dropout, state: tuple, rng) -> tuple[Network, tuple]:
+    """One epoch of mini-batch Adam; ``state`` holds both moments and the step."""
+    flat, (first, second, step) = network.flat.copy(), state
+    order = rng.permutation(len(x))
+    for at in range(0, len(x), BATCH):
+        pick = order[at:at + BATCH]
+        step += 1
+        g = Network(network.widths, network.head, flat).gradient(x[pick], y[pick], w[pick], dropout, rng)
+        first = 0.9 * first + 0.1 * g
+        second = 0.999 * second + 0.001 * g * g
+        flat = flat - rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-7)
+    return Network(network.widths, network.head, flat), (first, second, step)
+
+
+def _course(network: Network, train: tuple, held: tuple, epochs: int, dropout, patience: int, rate_patience: int,
+            min_rate: float, rate: float) -> tuple[Network, list[float]]:
+    """Epochs until the held rows stop gaining; the best weights and the losses."""
+    rng, zeros = np.random.default_rng(1000), np.zeros_like(network.flat)
+    state, best, best_loss, waited, stalled, history = (zeros, zeros, 0), network, float("inf"), 0, 0, []
+    for _ in range(epochs):
+        network, state = _descend(network, *train, rate, dropout, state, rng)
+        loss = float(network.loss(held[0], held[1]).mean())
+        history.append(loss)
+        if loss < best_loss:
+            best, best_loss, waited, stalled = network, loss, 0, 0
+            continue
+        waited, stalled = waited + 1, stalled + 1
+        if stalled >= rate_patience:
+            rate, stalled = max(rate * RATE_FACTOR, min_rate), 0
+        if waited >= patience:
+            break
+    return best, history
 
 
-def mean_loss(network: Network, rows: DataFrame) -> float:
-    parts = rows.select("x", "y").mapInPandas(_losses(network), "n long, total double")
-    return parts.agg(F.sum("total") / F.sum("n")).first()[0]
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """All rows, or ``most`` of them chosen by a hash of their values, in the order of that hash."""
+    key = F.xxhash64("x", "y")
+    return rows.select("x", "y", "w", key.alias("key")).orderBy("key", "x", "y").limit(most)
 
 
 def fit(
     network: Network, train: DataFrame, held: DataFrame, epochs: int, dropout=(),
     patience: int = 15, rate_patience: int = 7, min_rate: float = 0.0001, rate: float = RATE,
+    max_labelled_rows: int = MAX_LABELLED_ROWS,
 ) -> tuple[Network, list[float]]:
     """Fit on rows (x, y, w); stops early and keeps the best weights.
 
-    ``train`` is read once per epoch and should be written or cached.
+    Takes ``max_labelled_rows`` training rows and as many held ones at most, chosen and ordered by a
+    hash, so the result depends neither on the partitions nor on the order of the input.
+    One task runs all epochs over this bounded sample; no rows of either kind is an error.
     """
-    best, best_loss, waited, stalled, history = network, float("inf"), 0, 0, []
-    for epoch in range(epochs):
-        passes = train.select("x", "y", "w").mapInPandas(
-            _pass(network, rate, dropout, 1000 + epoch), "n long, flat array<double>")
-        averaged = (
-            passes.select("n", F.posexplode("flat").alias("i", "v"))
-            .groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"))
-            .orderBy("i").collect())
-        network = Network(network.widths, network.head, np.array([row.v for row in averaged]))
-        loss = mean_loss(network, held)
-        history.append(loss)
-        if loss < best_loss:
-            best, best_loss, waited, stalled = network, loss, 0, 0
-            continue
-        waited, stalled = waited + 1, stalled + 1
-        if stalled >= rate_patience:
-            rate, stalled = max(rate * RATE_FACTOR, min_rate), 0
-        if waited >= patience:
-            break
-    return best, history
+    ship_package(train.sparkSession)
+    both = bounded(train, max_labelled_rows).withColumn("held", F.lit(False)).union(
+        bounded(held, max_labelled_rows).withColumn("held", F.lit(True)))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["held", "key"], ignore_index=True)
+        parts = []
+        for which in (False, True):
+            some = frame[frame["held"] == which]
+            if some.empty:
+                raise ValueError("no validation rows to fit with" if which else "no training rows to fit on")
+            x = np.stack(some["x"].to_numpy())
+            y = x if network.head == "mse" else some["y"].to_numpy(dtype=float)[:, None]
+            parts.append((x, y, some["w"].to_numpy(dtype=float)))
+        best, history = _course(network, *parts, epochs, dropout, patience, rate_patience, min_rate, rate)
+        return pd.DataFrame({"flat": [best.flat.tolist()], "history": [history]})
+
+    found = both.groupBy().applyInPandas(run, "flat array<double>, history array<double>").collect()
+    if not found:
+        raise ValueError("no training rows to fit on")
+    return Network(network.widths, network.head, np.array(found[0].flat)), list(found[0].history)
 
 
 def vectors(scaled: DataFrame, columns, positive_weight: float = 1.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapewatch.operators.networks import Network
 from tapewatch.operators.scaling import Scaler
-from tapewatch.schema import FEATURES, require
+from tapewatch.schema import FEATURES, STORED_PARAMETERS, require
 
 
 def write_detections(detections: DataFrame, path: str) -> None:
@@ -59,6 +59,7 @@ def load_artefacts(spark: SparkSession, path: str) -> Artefacts:
     require(features, FEATURES)
     parameters = {
         r.name: r.value for r in spark.read.schema("name string, value double").json(f"{path}/parameters").collect()}
+    require(parameters, STORED_PARAMETERS)
     rows = spark.read.parquet(f"{path}/scaler").collect()
     scaler = Scaler({r.name: r.mean for r in rows}, {r.name: r.scale for r in rows})
     require(scaler.means, FEATURES)
