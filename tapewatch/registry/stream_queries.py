@@ -20,7 +20,7 @@ from tapewatch.schema import FEATURES, STORED_PARAMETERS
 from tapewatch.session import scratch
 from tapewatch.sources import bars as br
 from tapewatch.sources import feed, sinks
-from tapewatch.sources.tables import bars_brand, bars_event
+from tapewatch.sources.tables import bars_brand, bars_event, table
 from tapewatch.streaming import feeds, indicators, run as st
 
 
@@ -201,28 +201,43 @@ select user_id::varchar as symbol, event_id as seq from last where (select max(e
 def _(spark, folder):
     """Users whose latest event is less than a day behind the newest."""
     path = scratch(spark, "latest")
-    seen = st.stream_table(spark, folder, "events").select(
+    seen = _mixed_up(spark, folder, "latest-in").select(
         F.col("user_id").cast("string").alias("symbol"), "ts", F.col("event_id").alias("seq"))
+    st.finish(feeds.keep_latest(seen, path, 86400))
+    state = spark.read.parquet(f"{path}/state")
+    return state.filter(F.col("batch_id") == state.agg(F.max("batch_id")).scalar()).select("symbol", "seq")
 
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(st.batch_folder(path, "state", batch_id))
 
-    st.finish(st.each_batch(feeds.latest_state(seen), path, write, mode="complete"))
-    state = spark.read.parquet(f"{path}/state")
-    newest = state.filter(F.col("batch_id") == state.agg(F.max("batch_id")).scalar())
-    return feeds.fresh(newest, 86400).select("symbol", "seq")
+def _mixed_up(spark, folder, label, parts=4):
+    """Events in files by their id, so that each micro-batch holds times from all over."""
+    path = scratch(spark, label)
+    events = table(spark, folder, "events")
+    for i in range(parts):
+        events.filter(F.col("event_id") % parts == i).write.mode("append").parquet(f"{path}/{i}")
+    return st.stream_files(spark, f"{path}/*", events.schema, maxFilesPerTrigger=1)
+
+
+@query("str_8_late_count", """
+with b as (select ts, event_id % 4 as part from events), newest as (select part, max(max(ts)) over (order by part) as newest from b group by part)
+select count(*) as n_late from b join newest n on n.part = b.part - 1 where b.ts < n.newest - interval 1 hour""")
+def _(spark, folder):
+    """Ticks more than an hour behind the newest of earlier micro-batches, written aside."""
+    path = scratch(spark, "late")
+    ticks = _mixed_up(spark, folder, "late-in").select("ts", "event_id")
+    st.finish(feeds.late_ticks(ticks, path))
+    return spark.read.parquet(f"{path}/late").agg(F.count("event_id").alias("n_late"))
 
 
 def _bar_stream(spark, bars, label, parts=3):
-    """Bars written range by range, so that later files hold later bars."""
+    """Bars written range by range, so that later micro-batches hold later bars."""
     path = scratch(spark, label)
     low, high = bars.agg(F.min("ts"), F.max("ts")).first()
     step = (high - low) / parts
     for i in range(parts):
         later = F.col("ts") >= F.lit(low + i * step) if i else F.lit(True)
         earlier = F.col("ts") < F.lit(low + (i + 1) * step) if i + 1 < parts else F.lit(True)
-        bars.filter(later & earlier).coalesce(1).write.mode("append").parquet(f"{path}/bars")
-    return st.stream_files(spark, f"{path}/bars", bars.schema, maxFilesPerTrigger=1)
+        bars.filter(later & earlier).repartition(1, F.lit(i)).write.parquet(f"{path}/bars/{i}")
+    return st.stream_files(spark, f"{path}/bars/*", bars.schema, maxFilesPerTrigger=1)
 
 
 @query("str_5_interval_scoring", answer("event", "bars", f"""

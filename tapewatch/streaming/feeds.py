@@ -8,11 +8,12 @@ from tapewatch.functions.expr import flag
 from tapewatch.operators.features import latest_row
 from tapewatch.operators.lookups import FRESH_SECONDS
 from tapewatch.operators.scaling import Scaler
+from tapewatch.operators.series import is_priced
 from tapewatch.plans.inference import score
 from tapewatch.sources import feed
-from tapewatch.streaming.run import batch_folder, each_batch, requested
+from tapewatch.streaming.run import batch_folder, each_batch, forget, kept_before, requested
 
-WATERMARK = "1 hour"        # late ticks beyond this are dropped
+WATERMARK = "1 hour"        # ticks later than this are in no bar; ``late_ticks`` keeps them
 DEDUP_INTERVAL = "5 minutes"  # fixed value: the broker's dedup interval
 
 
@@ -21,7 +22,7 @@ def ingest(bodies: DataFrame, path: str, interval: int | None = None):
 
     No message is lost: what cannot be read lands in the quarantine.
     """
-    messages = feed.read_messages(bodies)
+    messages = observed(feed.read_messages(bodies))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -34,7 +35,11 @@ def ingest(bodies: DataFrame, path: str, interval: int | None = None):
 
 
 def drop_repeats(stream: DataFrame, key: str = "dedup_id", time: str = "ts", within: str = DEDUP_INTERVAL) -> DataFrame:
-    """One row per id within the interval."""
+    """One row per id within the interval.
+
+    Rows more than the interval behind the newest of earlier batches are left out, repeats or not;
+    ``late_ticks`` with that delay keeps them.
+    """
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
 
 
@@ -51,9 +56,24 @@ def tick_bars(ticks: DataFrame, width: str, order: str, watermark: str = WATERMA
                 F.lit(0).cast("long").alias("seq")))
 
 
-def latest_state(observations: DataFrame) -> DataFrame:
-    """Latest row per symbol as a running aggregation (complete mode)."""
-    return latest_row(observations.withColumn("symbol", F.upper("symbol")))
+def late_ticks(ticks: DataFrame, path: str, delay_seconds: int = 3600, interval: int | None = None):
+    """Write the ticks that ``tick_bars`` would leave out to ``late``, a folder per micro-batch.
+
+    Late is what lies more than the delay behind the newest tick of the micro-batches before.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = kept_before(spark, path, "newest", batch_id, "ts timestamp").agg(F.max("ts").alias("ts")).first().ts
+        batch = batch.persist()
+        limit = F.lit(newest) - F.make_interval(secs=F.lit(delay_seconds)) if newest else F.lit(None).cast("timestamp")
+        batch.filter(F.col("ts") < limit).write.mode("overwrite").parquet(batch_folder(path, "late", batch_id))
+        seen = batch.agg(F.greatest(F.max("ts"), F.lit(newest).cast("timestamp")).alias("ts")).coalesce(1)
+        seen.write.mode("overwrite").parquet(batch_folder(path, "newest", batch_id))
+        batch.unpersist()
+        if batch_id > 1:
+            forget(spark, path, "newest", batch_id - 2)
+
+    return each_batch(ticks, path, write, interval=interval)
 
 
 def fresh(latest: DataFrame, seconds: int = FRESH_SECONDS) -> DataFrame:
@@ -62,30 +82,55 @@ def fresh(latest: DataFrame, seconds: int = FRESH_SECONDS) -> DataFrame:
     return latest.filter(newest - F.unix_micros("ts") < seconds * 1_000_000)
 
 
+def advance_latest(batch: DataFrame, path: str, batch_id: int, seconds: int = FRESH_SECONDS) -> DataFrame:
+    """The latest row per symbol after this micro-batch, kept under ``state``.
+
+    Symbols that fell ``seconds`` behind the newest row are forgotten, so the state is as large as
+    what is in use; it is read from the batch before and written once.  Rows of a batch may be out of order.
+    """
+    spark = batch.sparkSession
+    now = batch.withColumn("symbol", F.upper("symbol"))
+    before = kept_before(spark, path, "state", batch_id, now.schema)
+    together = latest_row(before.unionByName(now)).select(*now.columns).persist()
+    fresh(together, seconds).write.mode("overwrite").parquet(batch_folder(path, "state", batch_id))
+    together.unpersist()
+    if batch_id > 1:
+        forget(spark, path, "state", batch_id - 2)
+    return spark.read.schema(now.schema).parquet(batch_folder(path, "state", batch_id))
+
+
+def keep_latest(observations: DataFrame, path: str, seconds: int = FRESH_SECONDS, interval: int | None = None):
+    """Latest fresh row per symbol, under ``state`` of the last micro-batch."""
+    return each_batch(
+        observations, path, lambda batch, batch_id: advance_latest(batch, path, batch_id, seconds), interval=interval)
+
+
 def score_each_bar(bars: DataFrame, scaler: Scaler) -> DataFrame:
     """Stateless detections of single bars."""
     return score(bars, scaler, "simple")
 
 
 def score_on_interval(
-    bars: DataFrame, symbols, scaler: Scaler, path: str, interval: int | None = 60,
+    bars: DataFrame, symbols, scaler: Scaler, path: str, interval: int | None = 60, seconds: int = FRESH_SECONDS,
 ):
-    """Detections of the requested symbols' latest bars, per trigger.
+    """Detections of all requested symbols' latest bars, per trigger.
 
-    A symbol without a bar in the batch is left out.  A batch that cannot be
-    scored is recorded and does not stop the stream.
+    A symbol without a bar in the batch is scored from the state if its last bar is less than ``seconds``
+    behind the newest; one without such a bar, or with one that has no known price, gets a row under ``errors``.
+    Whatever else goes wrong fails the batch, which is then taken again.
     """
     wanted = requested(symbols)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = batch_folder(path, "detections", batch_id)
-        try:
-            found = score(latest_row(batch.filter(F.col("symbol").isin(wanted))), scaler, "simple")
-            found.write.mode("overwrite").parquet(target)
-        except Exception as error:
-            batch.sparkSession.createDataFrame(
-                [(batch_id, str(error)[:1000])], "batch_id long, error string"
-            ).write.mode("overwrite").parquet(batch_folder(path, "errors", batch_id))
+        state = advance_latest(batch, path, batch_id, seconds)
+        asked = state.sparkSession.createDataFrame([(s, s.upper()) for s in wanted], "asked string, symbol string")
+        known = state.join(F.broadcast(asked), "symbol").withColumn("symbol", F.col("asked")).drop("asked")
+        good = known.filter(is_priced(known.columns))
+        score(good, scaler, "simple").write.mode("overwrite").parquet(batch_folder(path, "detections", batch_id))
+        missing = asked.select(F.col("asked").alias("symbol")).join(good.select("symbol"), "symbol", "left_anti")
+        failed = missing.join(known.select("symbol", F.lit(True).alias("seen")), "symbol", "left").select(
+            "symbol", F.when(F.col("seen"), F.lit("no known price")).otherwise(F.lit("no fresh bar")).alias("error"))
+        failed.write.mode("overwrite").parquet(batch_folder(path, "errors", batch_id))
 
     return each_batch(bars, path, write, interval=interval)
 

@@ -2,7 +2,7 @@
 
 The state holds the last rows of the rolling windows and the running averages.
 Bars of a symbol in one micro-batch are put in time order first; how many those
-are is bounded by the source's rate limit.
+are is bounded by the source's limit in bytes.
 """
 
 from __future__ import annotations
@@ -15,16 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapewatch.operators.features import BAND_ROWS, FAST_ROWS, RSI_ROWS, SIGNAL_ROWS, SLOW_ROWS
+from tapewatch.operators.series import priced
 from tapewatch.schema import FEATURES
+from tapewatch.session import ship_package
 
 KEEP = 20  # rows of look-back of the widest rolling window
 
 INPUT = "ts timestamp, seq long, open double, high double, low double, close double, volume long"
-OUTPUT = "symbol string, ts timestamp, seq long, rn long, close double, volume long, " + ", ".join(
+OUTPUT = "symbol string, ts timestamp, seq long, rn long, close double, volume long, late boolean, " + ", ".join(
     f"{c} double" for c in FEATURES)
 STATE = (
-    "rows long, closes array<double>, volumes array<double>, changes array<double>, "
+    "last_ts timestamp, last_seq long, rows long, closes array<double>, volumes array<double>, changes array<double>, "
     "up double, down double, fast double, slow double, signal double")
+OUTPUT_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 NAN = float("nan")
 
 
@@ -102,15 +105,38 @@ def advance(bars: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tupl
 
 
 def _per_symbol(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Features of the bars after the last one; earlier ones come out as late, without features."""
     bars = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], ignore_index=True)
-    out, after = advance(bars, state.get if state.exists else None)
-    state.update(after)
-    out.insert(0, "symbol", key[0])
-    yield out
+    last_ts, last_seq, kept = None, None, None
+    if state.exists:
+        last_ts, last_seq, *kept = state.get
+    if last_ts is not None:
+        last_ts = pd.Timestamp(last_ts)
+        late = (bars["ts"] < last_ts) | ((bars["ts"] == last_ts) & (bars["seq"] <= last_seq))
+    else:
+        late = pd.Series(False, index=bars.index)
+    if late.any():
+        refused = bars.loc[late, ["ts", "seq", "close", "volume"]].reset_index(drop=True)
+        refused["rn"], refused["late"] = 0, True
+        refused[list(FEATURES)] = NAN
+        refused.insert(0, "symbol", key[0])
+        yield refused[OUTPUT_COLUMNS]
+    bars = bars.loc[~late].reset_index(drop=True)
+    if len(bars):
+        out, after = advance(bars, tuple(kept) if kept else None)
+        state.update((bars["ts"].iloc[-1].to_pydatetime(), int(bars["seq"].iloc[-1]), *after))
+        out.insert(0, "symbol", key[0])
+        out["late"] = False
+        yield out[OUTPUT_COLUMNS]
 
 
 def rolling_features(bars: DataFrame) -> DataFrame:
-    """The features of every streamed bar, equal to the table form."""
+    """The features of every streamed bar, equal to the table form.
+
+    Bars without known, finite prices are left out, as there.  A bar that isn't later than the last one of
+    its symbol in an earlier micro-batch comes out with ``late`` and no features.
+    """
+    ship_package(bars.sparkSession)
     columns = ["symbol", *[c.split()[0] for c in INPUT.split(", ")]]
-    return bars.select(*columns).groupBy("symbol").applyInPandasWithState(
+    return priced(bars).select(*columns).groupBy("symbol").applyInPandasWithState(
         _per_symbol, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -10,8 +10,8 @@ from tapewatch.schema import DEFAULT_SYMBOLS
 
 # Bounds of the scoring interval in seconds.
 MIN_INTERVAL, MAX_INTERVAL = 10, 300
-# Files one micro-batch takes, so that a symbol's rows in it stay few.
-FILES_PER_BATCH = 64
+# Bytes of input one micro-batch takes, so that what a task holds of a symbol stays bounded.
+BYTES_PER_BATCH = 256 << 20
 
 
 def clamped(interval: int) -> int:
@@ -31,7 +31,10 @@ def trigger(interval: int | None) -> dict:
 
 
 def stream_files(spark: SparkSession, folder: str, schema, form: str = "parquet", **options) -> DataFrame:
-    reader = spark.readStream.format(form).schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
+    """Files as they arrive; ``maxFilesPerTrigger`` takes the place of the bound in bytes."""
+    reader = spark.readStream.format(form).schema(schema)
+    if "maxFilesPerTrigger" not in options:
+        reader = reader.option("maxBytesPerTrigger", BYTES_PER_BATCH)
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.load(folder)
@@ -67,6 +70,19 @@ def batch_folder(path: str, name: str, batch_id: int) -> str:
     return f"{path}/{name}/batch_id={batch_id}"
 
 
+def kept_before(spark: SparkSession, path: str, name: str, batch_id: int, schema) -> DataFrame:
+    """What the micro-batch before left under ``name``; nothing for the first one."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(batch_folder(path, name, batch_id - 1))
+
+
+def forget(spark: SparkSession, path: str, name: str, batch_id: int) -> None:
+    """Remove what no later micro-batch, or try of one, reads."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(batch_folder(path, name, batch_id))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def finish(started) -> None:
     """Wait until an available-now stream has taken everything."""
     started.awaitTermination()

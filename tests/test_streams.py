@@ -70,24 +70,62 @@ def test_repeats_and_late_ticks(spark):
     assert [(r.ts.hour, r.open, r.close, r.volume) for r in bars] == [(0, 1.0, 2.0, 2), (5, 3.0, 9.0, 2)]
 
 
-def test_interval_scoring_survives_a_bad_batch(spark):
-    schema = "symbol string, ts timestamp, seq long, open double, high double, low double, close double, volume long, previous_close double"
+BAR_ROW = "symbol string, ts timestamp, seq long, open double, high double, low double, close double, volume long, previous_close double"
+
+
+def test_interval_scoring_of_all_requested_symbols(spark):
     t0 = dt.datetime(2024, 1, 1)
-    rows = [("A", t0, 0, 1.0, 1.2, 0.9, 1.1, 10, 1.0), ("B", t0, 0, 2.0, 2.2, 1.9, 2.1, 10, None), ("C", t0, 0, 2.0, 2.2, 1.9, 2.1, 10, None)]
-    stream = files(spark, "interval", [rows], schema)
+
+    def bar(symbol, second, close=1.1):
+        return (symbol, t0 + dt.timedelta(seconds=second), 0, 1.0, 1.2, 0.9, close, 10, 1.0)
+
+    batches = [[bar("A", 0), bar("B", 0), bar("N", 0, None)], [bar("B", 200, 1.5), bar("B", 100)], [bar("B", 301)]]
     from tapewatch.operators.single_point import simple_features
-    scaler = fit_scaler(simple_features(spark.createDataFrame(rows, schema)))
+    scaler = fit_scaler(simple_features(spark.createDataFrame(batches[0][:2], BAR_ROW)))
     path = scratch(spark, "interval-out")
-    st.finish(feeds.score_on_interval(stream, ["A", "B", "ghost"], scaler, path, None))
-    assert sorted(r.symbol for r in spark.read.parquet(f"{path}/detections").collect()) == ["A", "B"]
-
+    st.finish(feeds.score_on_interval(files(spark, "interval", batches, BAR_ROW), ["a", "B", "N", "ghost"], scaler, path, None))
+    found = spark.read.parquet(f"{path}/detections").select("batch_id", "symbol", "market_data.close").collect()
+    # a has no bar in the second batch, but its last one is young enough; in the third it isn't
+    assert sorted((r.batch_id, r.symbol, r.close) for r in found) == [
+        (0, "B", 1.1), (0, "a", 1.1), (1, "B", 1.5), (1, "a", 1.1), (2, "B", 1.1)]
+    errors = spark.read.parquet(f"{path}/errors").collect()
+    assert sorted((r.batch_id, r.symbol, r.error) for r in errors if r.batch_id != 1) == [
+        (0, "N", "no known price"), (0, "ghost", "no fresh bar"),
+        (2, "N", "no fresh bar"), (2, "a", "no fresh bar"), (2, "ghost", "no fresh bar")]
+    states = spark.read.parquet(f"{path}/state").groupBy("batch_id").count().collect()
+    assert {r.batch_id for r in states} == {1, 2}  # older ones are gone
+
+
+def test_a_batch_that_cannot_be_scored_fails(spark):
     class Broken:
         def transform(self, df):
             raise RuntimeError("no model")
 
+    rows = [("A", dt.datetime(2024, 1, 1), 0, 1.0, 1.2, 0.9, 1.1, 10, 1.0)]
     path = scratch(spark, "interval-bad")
-    st.finish(feeds.score_on_interval(files(spark, "interval", [rows], schema), ["A"], Broken(), path, None))
-    assert "no model" in spark.read.parquet(f"{path}/errors").first().error
+    with pytest.raises(Exception, match="no model"):
+        st.finish(feeds.score_on_interval(files(spark, "interval", [rows], BAR_ROW), ["A"], Broken(), path, None))
+
+
+def test_older_bars_do_not_enter_the_state(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "symbol string, ts timestamp, seq long, open double, high double, low double, close double, volume long"
+
+    def bar(hour, close):
+        return ("A", t0 + dt.timedelta(hours=hour), 0, close, close, close, close, 5)
+
+    batches = [[bar(0, 10.0), bar(2, 11.0)], [bar(1, 99.0), bar(3, 12.0), bar(2, 50.0)], [bar(4, float("nan")), bar(5, 13.0)]]
+    got = written(spark, indicators.rolling_features(files(spark, "older", batches, schema))).orderBy("ts", "close").collect()
+    assert [(r.ts.hour, r.rn, r.late) for r in got] == [(0, 1, False), (1, 0, True), (2, 2, False), (2, 0, True), (3, 3, False), (5, 4, False)]
+    assert [round(r.Price_Change, 6) for r in got if not r.late and r.rn > 1] == [0.1, round(12 / 11 - 1, 6), round(13 / 12 - 1, 6)]
+
+
+def test_late_ticks_are_kept(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    ticks = [[(t0 + dt.timedelta(minutes=m), m) for m in ms] for ms in ((0, 300), (100, 239, 240, 400), (330, 341))]
+    path = scratch(spark, "late")
+    st.finish(feeds.late_ticks(files(spark, "late-in", ticks, "ts timestamp, m long"), path))
+    assert sorted(r.m for r in spark.read.parquet(f"{path}/late").collect()) == [100, 239, 330]
 
 
 def test_fresh_is_strict(spark):
