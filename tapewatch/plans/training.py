@@ -13,18 +13,34 @@ from tapewatch.operators.scaling import Scaler, bar_key, fit_scaler, split
 from tapewatch.operators.scoring import closed_form_scores, training_ensemble
 from tapewatch.operators.series import lay_out
 from tapewatch.schema import FEATURES, require
-from tapewatch.session import cut
+from tapewatch.session import cut, scratch
 from tapewatch.sources.sinks import Artefacts, save_artefacts
 
 ANOMALY_PERCENT = 85  # fixed value: share of normal errors below the threshold
 
 
 def dataset(bars: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Complete feature rows with label and part, written once for all later passes."""
+    """Complete feature rows with label and part.
+
+    Written once as Parquet below the shared folder, a folder per part: later passes read the parts and
+    columns they need.  ``discard`` removes it.
+    """
+    spark = bars.sparkSession
     rows = rule_labels(history_features(lay_out(bars, max_rows)).rows())
     rows = complete_rows(rows).dropna(subset=list(FEATURES))
-    return cut(split(
-        rows.select("symbol", "ts", "seq", "open", "high", "low", "close", "volume", *FEATURES, "Target"), *bar_key()))
+    path = scratch(spark, "dataset")
+    split(
+        rows.select("symbol", "ts", "seq", "open", "high", "low", "close", "volume", *FEATURES, "Target"), *bar_key()
+    ).write.partitionBy("part").parquet(path)
+    return spark.read.parquet(path)
+
+
+def discard(data: DataFrame) -> None:
+    """Remove the files of a dataset that is no longer needed."""
+    spark = data.sparkSession
+    for folder in {file.rsplit("/part=", 1)[0] for file in data.inputFiles() if "/part=" in file}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def project(df: DataFrame) -> DataFrame:
@@ -136,4 +152,6 @@ def train(
     artefacts = Artefacts(
         FEATURES, parameters, fitted, {"autoencoder": autoencoder, "classifier": classifier})
     save_artefacts(bars.sparkSession, artefacts, path)
-    return artefacts, evaluate(predictions(scores, threshold))
+    report = evaluate(predictions(scores, threshold))
+    discard(data)  # the scores are written by now
+    return artefacts, report
