@@ -3,17 +3,19 @@
 Two texts with a similarity of 0.8 in five-word shingles may differ in a dozen bits of a 64-bit
 fingerprint, too many for small Hamming balls.  So each text gets a longer sketch, 256 bits over the set of its
 words, where such texts differ in one bit of sixteen.  In multi-index hashing over its eight segments each text
-enumerates the ball of one bit around its value in a segment, fetches the texts that the table holds there, and
-compares what it has of the sketches.  Of pairs at the limit of 0.8, some 99 of 100 agree up to one bit
-in a segment.  Pairs found are compared by their shingles, exactly.
-
-A segment value that very many texts share doesn't make all their pairs: all compare with a leader, those that
-aren't similar to it with a next one, and so on; what is left after ``ROUNDS`` leaders is compared
-pair by pair.  So every text is tied to a leader or has been compared with all of them.
+enumerates the ball of one bit around its value in a segment and meets there the texts that the table holds, and others
+that look for them.  Of pairs at the limit of 0.8, some 99 of 100 agree up to one bit in a segment.  Pairs that meet
+are compared by their whole sketches and then by their shingles, exactly.
+
+Where many texts meet, not all their pairs are compared.  They are compared with ``LEADERS`` of them, those that meet
+most others, as the original of many copies does; texts that are similar to none are compared with
+leaders among themselves, and so on, until all pairs of those left are no more than a few for each text.
+So every text is tied to a leader, or has been compared with all leaders and with all that are left.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,10 @@ WORDS = 5
 SIMILARITY = 0.8
 LANES = 4
 SEGMENTS = 2 * LANES
-# Bits by which sketches of similar texts may differ, of 64 in one lane and of all.
-LANE_DISTANCE, DISTANCE = 20, 56
-HOT = 32
-ROUNDS = 16
+# Bits by which sketches of similar texts may differ.
+DISTANCE = 56
+# Texts that meet from which on leaders are chosen, and how many.
+HOT, LEADERS = 16, 4
 
 
 def sketch(words: set[bytes]) -> list[int]:
@@ -78,16 +80,14 @@ def _key(s: int) -> Column:
 
 
 def _keys() -> Column:
-    """Each segment's key with a lane that it isn't of, to compare."""
-    return F.array(*(F.struct(_key(s).alias("key"), F.get("lanes", F.lit((s // 2 + 1) % LANES)).alias("lane")) for s in range(SEGMENTS)))
+    return F.array(*(_key(s) for s in range(SEGMENTS)))
 
 
 def _ball() -> Column:
     """Keys to look at: the own ones, and those with one bit more; who has a bit more is found by the other."""
-    own = F.array(*(_key(s) for s in range(SEGMENTS)))
-    more = F.flatten(F.transform(own, lambda k: F.filter(
+    more = F.flatten(F.transform(_keys(), lambda k: F.filter(
         F.transform(F.array(*(F.lit(1 << b) for b in range(32))), lambda bit: k.bitwiseOR(bit)), lambda x: x != k)))
-    return F.concat(own, more)
+    return F.concat(_keys(), more)
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -105,7 +105,12 @@ class _Checker:
         self._docs, self._texts, self._text = docs, texts, text
         self._spark = docs.sparkSession
 
-    def _sets(self, wanted: DataFrame) -> DataFrame:
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self._spark, name)
+        df.write.parquet(path)
+        return self._spark.read.parquet(path)
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
         """t, shingles (hashes, each once) of the wanted texts."""
         ship_package(self._spark)
         rows = pick(self._docs, text=self._text).select(F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
@@ -116,80 +121,66 @@ class _Checker:
                 sets = [np.unique(simhash.shingle_hashes(x.as_py(), WORDS)).view("<i8") for x in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(sets, pa.list_(pa.int64()))], ["t", "shingles"])
 
-        return found.mapInArrow(run, "t long, shingles array<long>")
+        return self.written(found.mapInArrow(run, "t long, shingles array<long>"), "shingles")
 
-    def similar(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs a < b that are similar."""
+    def similar(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """Those of the distinct pairs a < b that are similar; ``sets`` has the shingles of their texts, if known."""
         lanes = self._texts.select("t", "lanes")
         left = lanes.select(F.col("t").alias("a"), F.col("lanes").alias("x"))
         right = lanes.select(F.col("t").alias("b"), F.col("lanes").alias("y"))
         far = sum((_apart(F.get("x", F.lit(i)), F.get("y", F.lit(i))) for i in range(LANES)), F.lit(0))
-        path = scratch(self._spark, "near-pairs")
-        pairs.join(left, "a").join(right, "b").where(far <= DISTANCE).select("a", "b").write.parquet(path)
-        near = self._spark.read.parquet(path)
-        sets = self._sets(near.select(F.col("a").alias("t")).union(near.select(F.col("b").alias("t"))).distinct())
-        path = scratch(self._spark, "shingles")
-        sets.write.parquet(path)
-        sets = self._spark.read.parquet(path)
+        near = self.written(pairs.join(left, "a").join(right, "b").where(far <= DISTANCE).select("a", "b"), "near-pairs")
+        if sets is None:
+            sets = self.sets(near.select(F.col("a").alias("t")).union(near.select(F.col("b").alias("t"))).distinct())
         joined = near.join(sets.withColumnsRenamed({"t": "a", "shingles": "x"}), "a").join(
             sets.withColumnsRenamed({"t": "b", "shingles": "y"}), "b")
         common = F.size(F.array_intersect("x", "y"))
-        path = scratch(self._spark, "similar")
-        (joined.where((common > 0) & (common >= SIMILARITY * (F.size("x") + F.size("y") - common))).select("a", "b")
-         .write.parquet(path))
-        return self._spark.read.parquet(path)
+        good = joined.where((common > 0) & (common >= SIMILARITY * (F.size("x") + F.size("y") - common)))
+        return self.written(good.select("a", "b"), "similar")
 
 
-def _crowds(members: DataFrame, checker: _Checker) -> DataFrame | None:
+def _crowds(members: DataFrame, checker: _Checker, hot: int) -> DataFrame:
     """Similar pairs from the rows (key, t) of frequent keys."""
-    spark, found = members.sparkSession, None
-    for number in range(ROUNDS + 1):
-        if members.isEmpty():
-            break
-        if number < ROUNDS:
-            leaders = members.groupBy("key").agg(F.min("t").alias("leader"))
-            tied = members.join(leaders, "key")
-            pairs = _ordered(tied.select(F.col("leader").alias("a"), F.col("t").alias("b")))
-        else:
-            pairs = _ordered(members.select("key", F.col("t").alias("a")).join(members.select("key", F.col("t").alias("b")), "key"))
-        good = checker.similar(pairs)
-        found = good if found is None else found.union(good)
-        if number == ROUNDS:
-            break
-        path = scratch(spark, "crowd")
-        rest = tied.where("t != leader").withColumns({"a": F.least("t", "leader"), "b": F.greatest("t", "leader")})
-        rest.join(good, ["a", "b"], "left_anti").select("key", "t").write.parquet(path)
-        members = spark.read.parquet(path)
-    return found
+    sets = checker.sets(members.select("t").distinct())
+    affordable, found = LEADERS * members.count(), []
+    while True:
+        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+        largest, pairs = sizes.agg(F.max("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).head()
+        if (largest or 0) < hot or pairs <= affordable:
+            found.append(checker.similar(_pairs(members), sets))
+            return functools.reduce(DataFrame.union, found)
+        # those that meet most others lead; one of each of LEADERS shares of a crowd
+        shared = members.join(sizes, "key").groupBy("t").agg(F.sum("n").alias("shared"))
+        leaders = members.join(shared, "t").groupBy("key", F.pmod(F.xxhash64("t"), F.lit(LEADERS)).alias("share")).agg(
+            F.max_by("t", F.struct("shared", "t")).alias("leader")).select("key", "leader")
+        tied = members.join(leaders, "key")
+        good = checker.similar(_ordered(tied.select(F.col("leader").alias("a"), F.col("t").alias("b"))), sets)
+        found.append(good)
+        done = good.select(F.col("a").alias("t")).union(good.select(F.col("b").alias("t"))).union(
+            leaders.select(F.col("leader").alias("t"))).distinct()
+        members = checker.written(members.join(done, "t", "left_anti"), "crowd")
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """All pairs of texts that meet under a key, each once."""
+    left, right = members.select("key", F.col("t").alias("a")), members.select("key", F.col("t").alias("b"))
+    return left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
 
 
 def similar_texts(docs: DataFrame, texts: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
     """Pairs a < b of similar texts among (t, lanes), each there once; of texts that very many
     others are like, enough pairs to tie them all together."""
-    spark = docs.sparkSession
-    path = scratch(spark, "table")
-    texts.select("t", F.explode(_keys()).alias("e")).select("e.key", "e.lane", "t").write.parquet(path)
-    table = spark.read.parquet(path)
-    sizes = table.groupBy("key").agg(F.count("*").alias("n"))
-    # only where a second text is in reach, or very many, does a key matter: most look-ups end here
-    many = sizes.where(F.col("n") >= hot).select("key")
-    looks = texts.select(F.col("t").alias("a"), F.col("lanes"), F.explode(_ball()).alias("key"))
-    few = table.join(many, "key", "left_anti")
-    lane = F.element_at("lanes", (F.shiftrightunsigned("key", 33).cast("int") + 1) % LANES + 1)
-    pairs = looks.join(few, "key").where((F.col("a") != F.col("t")) & (_apart(lane, F.col("lane")) <= LANE_DISTANCE))
-    path = scratch(spark, "candidates")
-    _ordered(pairs.select("a", F.col("t").alias("b"))).write.parquet(path)
     checker = _Checker(docs, texts, text)
-    found = checker.similar(spark.read.parquet(path))
-    if not many.isEmpty():
-        path = scratch(spark, "crowd")
-        looks.select("key", F.col("a").alias("t")).join(many, "key").write.parquet(path)
-        crowd = _crowds(spark.read.parquet(path), checker)
-        found = found if crowd is None else found.union(crowd)
-    return found
+    held = texts.select(F.explode(_keys()).alias("key")).distinct()
+    meets = checker.written(texts.select("t", F.explode(_ball()).alias("key")).join(held, "key"), "meets")
+    sizes = meets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    few = checker.written(meets.join(sizes.where(F.col("n") < hot).select("key"), "key"), "few")
+    crowd = checker.written(meets.join(sizes.where(F.col("n") >= hot).select("key"), "key"), "crowd")
+    found = checker.similar(checker.written(_pairs(few), "candidates"))
+    return found if crowd.isEmpty() else found.union(_crowds(crowd, checker, hot))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row of each group of near copies, with all columns: the one with the smallest id (null ids last).
 
     Texts are of one group if a chain of links leads from one to the other, each between texts that are equal, have
@@ -212,7 +203,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         .join(prints.withColumnsRenamed({"fp": "a", "t": "x"}), "a").join(prints.withColumnsRenamed({"fp": "b", "t": "y"}), "b")
         .select(F.col("x").alias("a"), F.col("y").alias("b")))
     path = scratch(spark, "edges")
-    one_print.union(by_print).union(similar_texts(docs, texts, text)).write.parquet(path)
+    one_print.union(by_print).union(similar_texts(docs, texts, text, hot)).write.parquet(path)
     roots = components(spark.read.parquet(path)).withColumnRenamed("node", "t")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
     path = scratch(spark, "groups")

@@ -2,7 +2,7 @@
 
 Pass one scatters the rows uniformly into buckets by a seeded hash, so many that a bucket
 fits in memory.  Pass two puts each bucket in a canonical order, runs a Fisher-Yates shuffle
-over it (Spark's ``shuffle`` with a seed per bucket) and writes it.  The buckets one after
+over it (Spark's ``shuffle``, seeded) and writes it.  The buckets one after
 the other are the shuffled sequence; shard ``s`` of ``n`` is a stretch of it, so shard sizes
 differ by one row at most.  A count per bucket, made from hashes without the texts, tells
 each bucket where in the sequence it begins.

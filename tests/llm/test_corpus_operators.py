@@ -110,8 +110,7 @@ def shingles(text):
 
 
 @pytest.mark.parametrize("hot", [3, 32])
-def test_near_copies_keep_one_of_each_group(spark, hot, monkeypatch):
-    monkeypatch.setattr(near_copies, "HOT", hot)
+def test_near_copies_keep_one_of_each_group(spark, hot):
     draw, rows = random.Random(8), []
     for group in range(12):
         words = text_of(100 + group, 150).split()
@@ -122,7 +121,7 @@ def test_near_copies_keep_one_of_each_group(spark, hot, monkeypatch):
             rows.append((len(rows), " ".join(copy), group))
     rows += [(len(rows) + i, text_of(500 + i, 150), 100 + i) for i in range(30)]
     draw.shuffle(rows)
-    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string, g int"), ).collect()
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string, g int"), hot=hot).collect()
     sets = [shingles(t) for _, t, _ in rows]
     similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     want = brute_components(list(range(len(rows))), similar)
