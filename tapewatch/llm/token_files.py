@@ -41,15 +41,15 @@ BLOCK_IDS = 1 << 16
 CHECKPOINT_IDS = 256
 # Blocks that are decoded in step.
 BLOCKS_AT_ONCE = 8
-# Words whose ids a worker remembers, and the bytes of the longest one of them: some 200 MB.
-REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 64
+# Words whose ids a worker remembers, and the bytes of the longest one of them: some 100 MB.
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 # Text that is cut in words at once.
 TEXT_BYTES = 4 << 20
 
 _TOKENIZERS: dict[str, WordIds] = {}
-# Words that are one run of letters, and marks at the end.  Letters of Latin-1 are their own
-# normal form and have lower cases of one letter each.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+# Words that are a run of letters, then a run of ASCII marks, or either alone.  Letters of Latin-1 are
+# their own normal form and have lower cases of one letter each.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 
 
 class WordIds:
@@ -84,7 +84,8 @@ class WordIds:
             ids = np.array(self._tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.kind)
             ends = np.flatnonzero(self._ends[ids]) + 1
             if len(ends) == len(some):
-                found.update(zip(some, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
+                data, at = ids.tobytes(), (ends * ids.itemsize).tolist()
+                found.update(zip(some, (data[a:b] for a, b in zip([0, *at], at)), strict=True))  # noqa: B905
             else:  # not what was expected of these parts
                 found.update(zip(some, self._encode(some), strict=True))
         return found
@@ -110,13 +111,10 @@ class WordIds:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes."""
         cut = [text.split() for text in texts]
-        new: set[bytes] = set()
-        for words in cut:
-            new.update(words)
-        new.difference_update(self._known)
+        distinct: set[bytes] = set().union(*cut)
+        new = distinct.difference(self._known)
         if len(self._known) + len(new) > REMEMBERED:
-            self._known = {}
-            new = set().union(*cut)
+            self._known, new = {}, distinct
         self._learn(new)
         known = self._known
         ids = [b"".join([known[w] for w in words]) for words in cut]
