@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapewatch.llm.columns import Carried, bind, pick, same
-from tapewatch.session import scratch
+from tapewatch.session import BROADCAST_ROWS, scratch, small_side
 
 LONG_LINE_WORDS = 50
 FACTOR = 1_048_573  # of the rolling hash
@@ -65,6 +65,11 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("t"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
 
 
+def _of(rows: DataFrame, some: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows that ``some`` names, without a shuffle if those are few."""
+    return same(rows, small_side(some.select(*ROW)), ROW, how)
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_line: int = LONG_LINE_WORDS) -> DataFrame:
     """doc_id, t and the numbers of the chunks to remove, for documents that lose any.
 
@@ -80,10 +85,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_li
     hashes.write.parquet(path)
     hashes = spark.read.parquet(path)
     seen = hashes.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h")
-    wanted = hashes.join(seen, "h").groupBy(*ROW).agg(F.collect_set("k").alias("ks"))
+    path = scratch(spark, "chunks-wanted")
+    hashes.join(seen, "h").groupBy(*ROW).agg(F.collect_set("k").alias("ks")).write.parquet(path)
+    wanted = spark.read.parquet(path)
 
     # The texts of those chunks alone go on, to be compared byte by byte.
-    texts = same(rows, wanted, ROW).select(*ROW, "ks", F.posexplode(chunks).alias("k", "c")).where(
+    texts = same(_of(rows, wanted), wanted, ROW).select(*ROW, "ks", F.posexplode(chunks).alias("k", "c")).where(
         F.array_contains("ks", F.col("k")))
     path = scratch(spark, "chunk-texts")
     texts.select(*ROW, "k", F.col("c.text").alias("chunk")).write.parquet(path)
@@ -104,7 +111,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table = Carried(docs)
     gone = repeats(docs, doc_id, text, long_line)
     full = table.df.withColumns({"doc_id": table[doc_id], "t": F.xxhash64(table[text])})
-    joined = same(full, gone, ROW, "left")
+    path = scratch(docs.sparkSession, "chunks-gone")
+    gone.write.parquet(path)
+    gone = docs.sparkSession.read.parquet(path)
+    if gone.count() <= BROADCAST_ROWS:  # rows that lose nothing needn't be shuffled
+        untouched = _of(full, gone, "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
+        joined = same(_of(full, gone), gone, ROW).unionByName(untouched)
+    else:
+        joined = same(full, gone, ROW, "left")
     lines = joined.withColumn("lines", F.split(table[text], "\n"))
     parts = lines.withColumn("chunks", F.when(F.col("gone").isNotNull(), with_chunks(F.col("lines"), long_line)))
     kept = F.filter("chunks", lambda c, k: ~F.array_contains("gone", k))
