@@ -7,10 +7,10 @@ enumerates the ball of one bit around its value in a segment and meets there the
 that look for them.  Of pairs at the limit of 0.8, some 99 of 100 agree up to one bit in a segment.  Pairs that meet
 are compared by their whole sketches and then by their shingles, exactly.
 
-Where many texts meet, not all their pairs are compared.  They are compared with ``LEADERS`` of them, those that meet
-most others, as the original of many copies does; texts that are similar to none are compared with
-leaders among themselves, and so on, until all pairs of those left are no more than a few for each text.
-So every text is tied to a leader, or has been compared with all leaders and with all that are left.
+Where many texts meet, not all their pairs are compared.  All are compared with ``LEADERS`` of them, those that
+meet most others, as the original of many copies does, and then with twice as many, and so on.  Texts that are tied together by then, if by
+chains, are not compared with each other; each is still compared with those outside.  A crowd is done when all in it are one group, or
+all that are not in its largest group have led.  So no link that joins two groups is passed over.
 """
 
 from __future__ import annotations
@@ -139,32 +139,45 @@ class _Checker:
         return self.written(good.select("a", "b"), "similar")
 
 
-def _crowds(members: DataFrame, checker: _Checker, hot: int) -> DataFrame:
-    """Similar pairs from the rows (key, t) of frequent keys."""
+def _crowds(members: DataFrame, checker: _Checker, known: DataFrame, hot: int) -> DataFrame:
+    """Similar pairs from the rows (key, t) of frequent keys, as many as tie together all that are similar;
+    ``known`` are similar pairs found before."""
     sets = checker.sets(members.select("t").distinct())
-    affordable, found = LEADERS * members.count(), []
+    affordable, found, n_leaders = LEADERS * members.count(), [known], LEADERS
     while True:
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-        largest, pairs = sizes.agg(F.max("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).head()
-        if (largest or 0) < hot or pairs <= affordable:
-            found.append(checker.similar(_pairs(members), sets))
+        # texts tied together already need no comparing with each other; each tied or leading text stays for the rest
+        roots = components(functools.reduce(DataFrame.union, found)).withColumnRenamed("node", "t")
+        rooted = checker.written(members.join(roots, "t", "left").select("key", "t", F.coalesce("root", "t").alias("root")), "rooted")
+        shares = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+        sizes = shares.groupBy("key").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.max_by("root", F.struct("n", "root")).alias("main"))
+        sizes = checker.written(sizes.where("n * n > within"), "crowd-sizes")
+        largest, pairs = sizes.agg(F.max("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).head()
+        if not largest:
             return functools.reduce(DataFrame.union, found)
-        # those that meet most others lead; one of each of LEADERS shares of a crowd
-        shared = members.join(sizes, "key").groupBy("t").agg(F.sum("n").alias("shared"))
-        leaders = members.join(shared, "t").groupBy("key", F.pmod(F.xxhash64("t"), F.lit(LEADERS)).alias("share")).agg(
-            F.max_by("t", F.struct("shared", "t")).alias("leader")).select("key", "leader")
-        tied = members.join(leaders, "key")
-        good = checker.similar(_ordered(tied.select(F.col("leader").alias("a"), F.col("t").alias("b"))), sets)
-        found.append(good)
-        done = good.select(F.col("a").alias("t")).union(good.select(F.col("b").alias("t"))).union(
-            leaders.select(F.col("leader").alias("t"))).distinct()
-        members = checker.written(members.join(done, "t", "left_anti"), "crowd")
+        open_keys = rooted.join(sizes, "key")
+        if largest < hot or pairs <= affordable:
+            found.append(checker.similar(_pairs(open_keys), sets))
+            return functools.reduce(DataFrame.union, found)
+        # those lead that meet most others, first of texts outside the largest part of a crowd: when all of these
+        # have been compared with all others, the crowd is done; one of each of n_leaders shares
+        shared = open_keys.groupBy("t").agg(F.sum("n").alias("shared"))
+        rank = F.struct(F.col("root") != F.col("main"), F.col("shared"), F.col("t"))
+        leaders = checker.written(open_keys.join(shared, "t").groupBy("key", F.pmod(F.xxhash64("t"), F.lit(n_leaders)).alias("share")).agg(
+            F.max_by(F.struct("t", "root"), rank).alias("leader")).select("key", F.col("leader.t").alias("leader"), F.col("leader.root").alias("led")), "leaders")
+        tied = open_keys.join(leaders, "key").where("root != led")
+        found.append(checker.similar(_ordered(tied.select(F.col("leader").alias("a"), F.col("t").alias("b"))), sets))
+        # under a key a text is done only when it has been compared with all that it meets there
+        rest = open_keys.join(leaders.withColumnRenamed("leader", "t"), ["key", "t"], "left_anti")
+        members, n_leaders = checker.written(rest.select("key", "t"), "crowd"), 2 * n_leaders
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """All pairs of texts that meet under a key, each once."""
-    left, right = members.select("key", F.col("t").alias("a")), members.select("key", F.col("t").alias("b"))
-    return left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    """All pairs of texts that meet under a key and are not tied together yet (by their ``root``, if known), each once."""
+    root = F.col("root") if "root" in members.columns else F.col("t")
+    left = members.select("key", F.col("t").alias("a"), root.alias("x"))
+    right = members.select(F.col("key").alias("k"), F.col("t").alias("b"), root.alias("y"))
+    return left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y"))).select("a", "b").distinct()
 
 
 def similar_texts(docs: DataFrame, texts: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
@@ -177,7 +190,7 @@ def similar_texts(docs: DataFrame, texts: DataFrame, text: str = "text", hot: in
     few = checker.written(meets.join(sizes.where(F.col("n") < hot).select("key"), "key"), "few")
     crowd = checker.written(meets.join(sizes.where(F.col("n") >= hot).select("key"), "key"), "crowd")
     found = checker.similar(checker.written(_pairs(few), "candidates"))
-    return found if crowd.isEmpty() else found.union(_crowds(crowd, checker, hot))
+    return found if crowd.isEmpty() else _crowds(crowd, checker, found, hot)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:

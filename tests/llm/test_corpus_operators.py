@@ -131,6 +131,32 @@ def test_near_copies_keep_one_of_each_group(spark, hot):
     assert sorted(r.doc_id for r in kept) == sorted(min(g) for g in groups.values())
 
 
+def edited(text, n, draw):
+    words = text.split()
+    for _ in range(n):
+        words[draw.randrange(len(words))] = f"edit{draw.randrange(10 ** 9)}"
+    return " ".join(words)
+
+
+def brute_kept(texts):
+    """Numbers of the texts that stay, by comparing all pairs."""
+    sets = [shingles(t) for t in texts]
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    groups = {}
+    for i, c in enumerate(brute_components(list(range(len(texts))), similar)):
+        groups.setdefault(c, []).append(i)
+    return sorted(min(g) for g in groups.values())
+
+
+def test_near_copies_of_copies_in_crowds(spark):
+    draw = random.Random(21)
+    texts = [text_of(700, 150)]
+    texts += [edited(texts[0], 3, draw) for _ in range(50)]
+    texts += [edited(t, 3, draw) for t in texts[1:]]
+    kept = near_copies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot=4)
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(texts)
+
+
 def test_near_copies_of_odd_rows(odd, none):
     kept = near_copies.keep_one(odd)
     assert kept.columns == odd.columns
