@@ -1,11 +1,11 @@
-"""Near copies beyond a few bits: SimHash sketches find them, five-word shingles decide.
+"""Near copies beyond a few bits: fingerprints find the closest, five-word shingles all others, exactly.
 
 Two texts with a similarity of 0.8 in five-word shingles may differ in a dozen bits of a 64-bit
-fingerprint, too many for small Hamming balls.  So each text gets a longer sketch, 256 bits over the set of its
-words, where such texts differ in one bit of sixteen.  In multi-index hashing over its eight segments each text
-enumerates the ball of one bit around its value in a segment and meets there the texts that the table holds, and others
-that look for them.  Of pairs at the limit of 0.8, some 99 of 100 agree up to one bit in a segment.  Pairs that meet
-are compared by their whole sketches and then by their shingles, exactly.
+fingerprint, too many for small Hamming balls.  So candidates come from the shingles themselves.  All
+shingles have one order, and of n shingles a text has the first n // 5 + 1 as its keys (a prefix): of
+two texts that share 0.8 of their shingles, both have the first one they share among their
+keys, so they meet, whatever the edit was, appended and cut parts included.  Any order does; shingles that are frequent in a sample come
+last, so boilerplate is rarely a key.  Pairs that meet and are not too different in size are compared by all their shingles.
 
 Where many texts meet, not all their pairs are compared.  All are compared with ``LEADERS`` of them, those that
 meet most others, as the original of many copies does, and then with twice as many, and so on.  Texts that are tied together by then, if by
@@ -16,12 +16,12 @@ all that are not in its largest group have led.  So no link that joins two group
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tapewatch.llm import simhash
 from tapewatch.llm.columns import Carried, pick, same
@@ -30,68 +30,72 @@ from tapewatch.session import scratch, ship_package, small_side
 
 WORDS = 5
 SIMILARITY = 0.8
-LANES = 4
-SEGMENTS = 2 * LANES
-# Bits by which sketches of similar texts may differ.
-DISTANCE = 56
+# Distinct texts in which frequent shingles are counted, from how many of them on a shingle is frequent, and how many of these are kept.
+SAMPLE_TEXTS, FREQUENT, MOST_FREQUENT = 5_000, 3, 1 << 18
 # Texts that meet from which on leaders are chosen, and how many.
 HOT, LEADERS = 16, 4
 
 
-def sketch(words: set[bytes]) -> list[int]:
-    """LANES signed numbers: bit by bit the majority of the words' hashes, one hash of a word mixed for each lane."""
-    if not words:
-        return [0] * LANES
-    one = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype="<u8")
-    found = []
-    for lane in range(LANES):
-        mixed = (one + np.uint64(0x9E3779B97F4A7C15 * (lane + 1) % (1 << 64)))
-        mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        found.append(simhash.majority(mixed ^ mixed >> np.uint64(31)))
-    return found
+def shingle_set(text: bytes) -> np.ndarray:
+    """The hashes of a text's shingles, each once, in order."""
+    return np.unique(simhash.shingle_hashes(text, WORDS))
+
+
+def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of shingles that several texts of a sample share.
+
+    They only decide which shingles are keys; whether texts meet that are similar does not depend on them.
+    """
+    ship_package(docs.sparkSession)
+    rows = pick(docs, text=text).where("text is not null")
+    share = max(1, -(-rows.count() // SAMPLE_TEXTS))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select(F.encode("text", "UTF-8").alias("text")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py()).view("<i8"))], ["h"])
+
+    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    found = sorted((r.h % (1 << 64), r.n) for r in counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect())
+    return np.array([h for h, _ in found], dtype="<u8"), np.array([n for _, n in found], dtype=np.int64)
+
+
+def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The keys of a text: its first shingles by (count if frequent, hash), as many as similar texts must share one of."""
+    hashes, counts = frequent
+    n = len(shingles)
+    order = np.zeros(n, dtype=np.int64)
+    if n and len(hashes):
+        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
+        order = np.where(hashes[at] == shingles, counts[at], 0)
+    # of n, ceil(SIMILARITY * n) shingles at least are shared
+    return shingles[np.lexsort((shingles, order))][:n - math.ceil(SIMILARITY * n - 1e-9) + 1]
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, t (hash of the text), fp, lanes of each row; a null text is empty."""
+    """doc_id, t (hash of the text), fp, n (shingles), keys of each row; a null text is empty."""
     ship_package(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text))
     rows = pick(docs, doc_id=doc_id, text=text).select(
         "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shipped.value
         for batch in batches:
-            prints, lanes = [], []
+            prints, sizes, keys = [], [], []
             for text in batch.column("text"):
                 text = text.as_py()
+                shingles = shingle_set(text)
                 prints.append(simhash.fingerprint(text))
-                lanes.append(sketch(set(simhash.words_of(text))))
+                sizes.append(len(shingles))
+                keys.append(prefix(shingles, frequent).view("<i8"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("t"), pa.array(prints, pa.int64()), pa.array(lanes, pa.list_(pa.int64()))],
-                ["doc_id", "t", "fp", "lanes"])
+                [batch.column("doc_id"), batch.column("t"), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "t", "fp", "n", "keys"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, t long, fp long, lanes array<long>")
-
-
-def _key(s: int) -> Column:
-    """Segment number and value in one number."""
-    half = F.shiftrightunsigned(F.get("lanes", F.lit(s // 2)), 32 * (s % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return half + F.lit(s << 32)
-
-
-def _keys() -> Column:
-    return F.array(*(_key(s) for s in range(SEGMENTS)))
-
-
-def _ball() -> Column:
-    """Keys to look at: the own ones, and those with one bit more; who has a bit more is found by the other."""
-    more = F.flatten(F.transform(_keys(), lambda k: F.filter(
-        F.transform(F.array(*(F.lit(1 << b) for b in range(32))), lambda bit: k.bitwiseOR(bit)), lambda x: x != k)))
-    return F.concat(_keys(), more)
-
-
-def _apart(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+    return rows.mapInArrow(run, f"doc_id {kind}, t long, fp long, n int, keys array<long>")
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -118,18 +122,18 @@ class _Checker:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = [np.unique(simhash.shingle_hashes(x.as_py(), WORDS)).view("<i8") for x in batch.column("text")]
+                sets = [shingle_set(x.as_py()).view("<i8") for x in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(sets, pa.list_(pa.int64()))], ["t", "shingles"])
 
         return self.written(found.mapInArrow(run, "t long, shingles array<long>"), "shingles")
 
     def similar(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Those of the distinct pairs a < b that are similar; ``sets`` has the shingles of their texts, if known."""
-        lanes = self._texts.select("t", "lanes")
-        left = lanes.select(F.col("t").alias("a"), F.col("lanes").alias("x"))
-        right = lanes.select(F.col("t").alias("b"), F.col("lanes").alias("y"))
-        far = sum((_apart(F.get("x", F.lit(i)), F.get("y", F.lit(i))) for i in range(LANES)), F.lit(0))
-        near = self.written(pairs.join(left, "a").join(right, "b").where(far <= DISTANCE).select("a", "b"), "near-pairs")
+        sizes = self._texts.select("t", "n")
+        left = sizes.select(F.col("t").alias("a"), F.col("n").alias("x"))
+        right = sizes.select(F.col("t").alias("b"), F.col("n").alias("y"))
+        alike = F.least("x", "y") >= SIMILARITY * F.greatest("x", "y") - 1e-9
+        near = self.written(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"), "near-pairs")
         if sets is None:
             sets = self.sets(near.select(F.col("a").alias("t")).union(near.select(F.col("b").alias("t"))).distinct())
         joined = near.join(sets.withColumnsRenamed({"t": "a", "shingles": "x"}), "a").join(
@@ -181,12 +185,14 @@ def _pairs(members: DataFrame) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, texts: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
-    """Pairs a < b of similar texts among (t, lanes), each there once; of texts that very many
+    """Pairs a < b of similar texts among (t, n, keys), each there once; of texts that very many
     others are like, enough pairs to tie them all together."""
     checker = _Checker(docs, texts, text)
-    held = texts.select(F.explode(_keys()).alias("key")).distinct()
-    meets = checker.written(texts.select("t", F.explode(_ball()).alias("key")).join(held, "key"), "meets")
-    sizes = meets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    held = texts.select("t", F.explode("keys").alias("key"))
+    # most keys are of one text alone
+    shared = checker.written(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
+    meets = checker.written(held.join(small_side(shared.select("key")), "key"), "meets")
+    sizes = shared
     few = checker.written(meets.join(sizes.where(F.col("n") < hot).select("key"), "key"), "few")
     crowd = checker.written(meets.join(sizes.where(F.col("n") >= hot).select("key"), "key"), "crowd")
     found = checker.similar(checker.written(_pairs(few), "candidates"))
@@ -205,7 +211,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: i
     sketches(docs, doc_id, text).write.parquet(path)
     rows = spark.read.parquet(path)
     path = scratch(spark, "texts")
-    rows.groupBy("t").agg(F.any_value("fp").alias("fp"), F.any_value("lanes").alias("lanes")).write.parquet(path)
+    rows.groupBy("t").agg(F.any_value("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")).write.parquet(path)
     texts = spark.read.parquet(path)
     path = scratch(spark, "prints")
     texts.groupBy("fp").agg(F.min("t").alias("t")).write.parquet(path)

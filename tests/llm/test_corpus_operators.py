@@ -157,6 +157,15 @@ def test_near_copies_of_copies_in_crowds(spark):
     assert sorted(r.doc_id for r in kept.collect()) == brute_kept(texts)
 
 
+def test_near_copies_with_appended_and_cut_parts(spark):
+    texts = []
+    for i in range(40):
+        words = text_of(1000 + i, 200).split()
+        texts += [" ".join(words), " ".join(words + text_of(1100 + i, 40).split()) if i % 2 else " ".join(words[35:])]
+    kept = near_copies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(texts) == list(range(0, 80, 2))
+
+
 def test_near_copies_of_odd_rows(odd, none):
     kept = near_copies.keep_one(odd)
     assert kept.columns == odd.columns
