@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapewatch.llm.columns import Carried, bind, pick, same
+from tapewatch.llm.columns import SPACE, Carried, bind, pick, same
 from tapewatch.session import BROADCAST_ROWS, scratch, small_side
 
 LONG_LINE_WORDS = 50
@@ -30,8 +30,8 @@ def line_hash(line: Column) -> Column:
 
 
 def _is_long(line: Column, words: int) -> Column:
-    """So many words, at least, taken as one more than the spaces."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= words - 1
+    """So many words, at least; lines too short for them are not split."""
+    return F.when(F.length(line) >= 2 * words - 1, F.size(F.array_remove(F.split(line, SPACE), "")) >= words).otherwise(words <= 0)
 
 
 def _starts(hashed: Column) -> Column:

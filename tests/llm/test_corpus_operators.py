@@ -489,6 +489,13 @@ def test_line_chunks_survive_shifts(spark, none):
     assert line_chunks.clean(none).count() == 0
 
 
+def test_line_chunks_count_words_not_spaces(spark):
+    tabs, table = text_of(41, 50).replace(" ", "\t"), (" " * 30).join(["a", "b", "c"])
+    docs = spark.createDataFrame([(i, t) for t in (tabs, table) for i in (1, 2)], "doc_id long, text string")
+    got = sorted((r.row._1, r.n_removed_lines) for r in line_chunks.remove_repeats(docs).collect())
+    assert got == sorted([(tabs, 0), ("", 1), (table, 0), (table, 0)])
+
+
 def test_line_chunks_cover_the_text(spark, odd):
     lines = F.split(F.coalesce(F.col("t"), F.lit("")), "\n")
     rows = odd.toDF("i", "t", "a", "b", "c", "d").select("t", lines.alias("lines")).select("t", line_chunks.with_chunks(F.col("lines")).alias("c"))
