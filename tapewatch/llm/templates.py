@@ -7,6 +7,9 @@ diagonal must fill the item's slots consistently: one value of the item always b
 the document, and two names never the same name.  A document that covers ``LEAST_SHARE`` of an item's
 windows in this way holds the item, whatever numbers and names were put in.
 
+Templates need ``LEAST_WORDS`` plain words.  Items are also looked for as they stand, by windows of raw tokens
+with one word at least, so a verbatim copy is found however many of its tokens are numbers or names.
+
 Documents are read once; a Bloom filter of the benchmark's windows, of bounded size, keeps
 almost all windows that cannot match from leaving the task.  The join decides, on the template itself.
 """
@@ -28,7 +31,7 @@ from tapewatch.session import ship_package
 
 WINDOW = 8
 LEAST_SHARE = 0.5
-# Tokens of a window that must be words: tables of numbers and lists of names match anything.
+# Tokens of a template that must be words: tables of numbers and lists of names match anything.
 LEAST_WORDS = 4
 FILTER_BITS_PER_WINDOW, LARGEST_FILTER_BITS = 64, 1 << 28
 REMEMBERED = 400_000
@@ -86,11 +89,24 @@ def _window(part: list[tuple[str, str]]) -> tuple[str, list[str]] | None:
     return " ".join(canonical for canonical, _ in part), slots
 
 
+def _verbatim(raw: str) -> str:
+    """A token as it stands, unlike any canonical one."""
+    return f"={raw}"
+
+
+def _verbatim_window(part: list[tuple[str, str]]) -> tuple[str, list[str]] | None:
+    """Raw tokens of a window, which has no slots; None if it has no word."""
+    if not any(_LETTERS.fullmatch(raw) for _, raw in part):
+        return None
+    return " ".join(_verbatim(raw) for _, raw in part), []
+
+
 def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """item_id, n_windows, size, at, template, slots of each window of each item.
+    """item_id, n_windows, size, at, template, slots, verbatim, anchor of each window of each item.
 
     Of items with equal tokens the smallest id stands for all.  An item shorter than a window is one
-    window; a null or empty one has none.  n_windows counts those with enough words.
+    window; a null or empty one has none.  n_windows counts those of its kind with enough words.  A verbatim window
+    is no anchor if it has a template, whose words are among its own.
     """
     ship_package(benchmark.sparkSession)
     distinct = pick(benchmark, item_id=item_id, text=text).where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
@@ -101,16 +117,18 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 all_tokens = tokens(text)
                 size = min(window, len(all_tokens))
-                windows = [(i, w) for i in range(len(all_tokens) - size + 1 if size else 0)
-                           if (w := _window(all_tokens[i:i + size]))]
-                rows += [(item, len(windows), size, i, *w) for i, w in windows]
-            kinds = (batch.column("item_id").type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()))
+                parts = [(i, all_tokens[i:i + size]) for i in range(len(all_tokens) - size + 1 if size else 0)]
+                windows = {i: w for i, part in parts if (w := _window(part))}
+                rows += [(item, len(windows), size, i, *w, False, True) for i, w in windows.items()]
+                exact = {i: w for i, part in parts if (w := _verbatim_window(part))}
+                rows += [(item, len(exact), size, i, *w, True, i not in windows) for i, w in exact.items()]
+            kinds = (batch.column("item_id").type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
-                ["item_id", "n_windows", "size", "at", "template", "slots"])
+                ["item_id", "n_windows", "size", "at", "template", "slots", "verbatim", "anchor"])
 
     kind = distinct.schema["item_id"].dataType.simpleString()
-    return distinct.mapInArrow(run, f"item_id {kind}, n_windows int, size int, at int, template string, slots array<string>")
+    return distinct.mapInArrow(run, f"item_id {kind}, n_windows int, size int, at int, template string, slots array<string>, verbatim boolean, anchor boolean")
 
 
 class _Matcher:
@@ -131,10 +149,11 @@ class _Matcher:
             total ^= total >> np.uint64(29)
         return total
 
-    def _pieces(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...], bool | None]:
+    def _pieces(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...], bool | None, tuple[int, ...]]:
         """Codes of a word's tokens within and at the start of a sentence; whether the next word is at one,
-        None for a word without tokens."""
+        None for a word without tokens; codes of the tokens as they stand."""
         both, end = [], None
+        exact = tuple(token_code(_verbatim(m[0])) for m in _TOKEN.finditer(word) if m[0] not in _ENDS)
         for start in (False, True):
             codes, end = [], None
             for match in _TOKEN.finditer(word):
@@ -144,13 +163,17 @@ class _Matcher:
                     codes.append(token_code(_canonical(match[0], start)))
                     start = end = False
             both.append(tuple(codes))
-        return both[0], both[1], end
+        return both[0], both[1], end, exact
 
     def codes(self, text: str) -> np.ndarray:
-        """The codes of ``tokens(text)``; words are looked up as a whole."""
+        """The codes of ``tokens(text)``."""
+        return self.both_codes(text)[0]
+
+    def both_codes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of ``tokens(text)``, canonical and as they stand; words are looked up as a whole."""
         if len(self._known) > REMEMBERED:
             self._known = {}
-        known, out = self._known, []
+        known, out, exact = self._known, [], []
         for line in text.split("\n"):
             start = True
             for word in line.split():
@@ -158,17 +181,19 @@ class _Matcher:
                 if found is None:
                     found = known[word] = self._pieces(word)
                 out += found[start]
+                exact += found[3]
                 if found[2] is not None:
                     start = found[2]
-        return np.array(out, dtype=np.uint64)
-
-    def places(self, text: str) -> list[tuple[int, int]]:
-        """(size, position) of windows that the filter lets through."""
-        codes, found = self.codes(text), []
-        for size in self._sizes:
-            h = self.hashes(codes, size)
-            hit = lookup(self._bits, h)
-            found += [(size, i) for i in np.flatnonzero(hit).tolist()]
+        return np.array(out, dtype=np.uint64), np.array(exact, dtype=np.uint64)
+
+    def places(self, text: str) -> list[tuple[int, int, bool]]:
+        """(size, position, verbatim) of windows that the filter lets through."""
+        found = []
+        for verbatim, codes in enumerate(self.both_codes(text)):
+            for size in self._sizes:
+                h = self.hashes(codes, size)
+                hit = lookup(self._bits, h)
+                found += [(size, i, bool(verbatim)) for i in np.flatnonzero(hit).tolist()]
         return found
 
 
@@ -229,12 +254,12 @@ def window_filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
 
 def anchors(windows: DataFrame) -> dict[str, list[frozenset[str]]] | None:
     """The words of each window under the longest of them, None if there are too many windows."""
-    templates = windows.select("template").distinct().limit(ANCHORED + 1).collect()
+    templates = windows.where("anchor").select("template").distinct().limit(ANCHORED + 1).collect()
     if len(templates) > ANCHORED:
         return None
     found: dict[str, list[frozenset[str]]] = {}
     for row in templates:
-        words = frozenset(row.template.split(" ")) - {NUMBER, UNIT, NAME}
+        words = frozenset(w.lower() for t in row.template.split(" ") if _LETTERS.fullmatch(w := t.removeprefix("=")))
         found.setdefault(max(words, key=lambda w: (len(w), w)), []).append(words)
     return found
 
@@ -264,7 +289,8 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int], anchor
                 if places:
                     all_tokens = tokens(text)
                     rows += [(batch.column("doc_id")[i].as_py(), batch.column("t")[i].as_py(), size, at, *w)
-                             for size, at in places if (w := _window(all_tokens[at:at + size]))]
+                             for size, at, verbatim in places
+                             if (w := (_verbatim_window if verbatim else _window)(all_tokens[at:at + size]))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "t", "size", "at", "template", "slots"])
 
@@ -283,27 +309,30 @@ def _consistent(pairs: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_share: float = LEAST_SHARE,
           doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, t, item_id, n_windows (of the item), n_found (of them in the document), new_values (slots were
-    filled otherwise) for each document that holds an item.
+    filled otherwise) for each document that holds an item; windows are templates, or verbatim ones if only those tell.
 
     Null texts hold nothing; rows equal in id and text count as one.  An empty benchmark finds nothing.
     """
     items = item_windows(benchmark, text="text", window=window)
     bits, sizes = window_filter(items)
     found = document_windows(docs, bits, sizes, anchors(items), doc_id, text)
-    right = items.select("item_id", "n_windows", F.col("at").alias("item_at"), F.col("size").alias("item_size"),
+    right = items.select("item_id", "n_windows", "verbatim", F.col("at").alias("item_at"), F.col("size").alias("item_size"),
                          F.col("template").alias("item_template"), F.col("slots").alias("item_slots"))
     matched = found.join(right, (F.col("template") == F.col("item_template")) & (F.col("size") == F.col("item_size")))
     pairs = F.transform(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")),
                         lambda z: F.struct(z["item"].alias("item"), z["doc"].alias("doc")))
     diagonals = (
-        matched.groupBy("doc_id", "t", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("diagonal"))
+        matched.groupBy("doc_id", "t", "item_id", "verbatim", "n_windows", (F.col("at") - F.col("item_at")).alias("diagonal"))
         .agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
         .where(_consistent(F.col("pairs"))))
-    return (
-        diagonals.groupBy("doc_id", "t", "item_id", "n_windows")
+    held = (
+        diagonals.groupBy("doc_id", "t", "item_id", "verbatim", "n_windows")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_found"),
              F.bool_or(F.exists("pairs", lambda p: p["item"] != p["doc"])).alias("new_values"))
         .where(F.col("n_found") >= F.col("n_windows") * least_share))
+    return (
+        held.groupBy("doc_id", "t", "item_id").agg(F.min(F.struct("verbatim", "n_windows", "n_found", "new_values")).alias("best"))
+        .select("doc_id", "t", "item_id", "best.n_windows", "best.n_found", "best.new_values"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

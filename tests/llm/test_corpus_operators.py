@@ -403,6 +403,14 @@ def test_templates_find_passages_and_new_values(spark, none, odd):
     assert templates.without_leaks(odd, bench).count() == 17
 
 
+def test_verbatim_items_of_few_plain_words_are_found(spark):
+    items = ["What is 12 + 7 * 3?", "Compute 15% of 240.", "Who wrote War and Peace?"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(i, f"Some words. {t} More words.") for i, t in enumerate(items)] + [(3, "What is 13 + 7 * 3? Who wrote Jane and Emma?")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.new_values) for r in templates.leaks(docs, bench).collect()} == {(i, i, False) for i in range(3)}
+
+
 def test_template_words_look_up_equals_the_plain_way():
     matcher = templates._Matcher(np.zeros(8, dtype=np.uint8), [8])
     texts = ["Mr. Smith has 3.5 kg.Then U.S. Tea!", "\n\nOne two. \t Three? four Five", "| | Ab cD EF 7,000 €5 ", "", "a B C x\rY"]
