@@ -8,7 +8,8 @@ the document, and two names never the same name.  A document that covers ``LEAST
 windows in this way holds the item, whatever numbers and names were put in.
 
 Templates need ``LEAST_WORDS`` plain words.  Items are also looked for as they stand, by windows of raw tokens
-with one word at least, so a verbatim copy is found however many of its tokens are numbers or names.
+in lower case with one word at least, so a verbatim copy is found however many of its tokens are numbers or names, and
+whatever stands before it or how it is capitalised.
 
 Documents are read once; a Bloom filter of the benchmark's windows, of bounded size, keeps
 almost all windows that cannot match from leaving the task.  The join decides, on the template itself.
@@ -90,8 +91,8 @@ def _window(part: list[tuple[str, str]]) -> tuple[str, list[str]] | None:
 
 
 def _verbatim(raw: str) -> str:
-    """A token as it stands, unlike any canonical one."""
-    return f"={raw}"
+    """A token in lower case, unlike any canonical one."""
+    return f"={raw.lower()}"
 
 
 def _verbatim_window(part: list[tuple[str, str]]) -> tuple[str, list[str]] | None:

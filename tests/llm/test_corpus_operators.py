@@ -411,6 +411,13 @@ def test_verbatim_items_of_few_plain_words_are_found(spark):
     assert {(r.doc_id, r.item_id, r.new_values) for r in templates.leaks(docs, bench).collect()} == {(i, i, False) for i in range(3)}
 
 
+def test_verbatim_items_are_found_whatever_precedes_them(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, BENCH[0][1])], "item_id long, text string")
+    texts = ["Q: What is the capital of France?", 'He said, "What is the capital of France?"', BENCH[0][1].upper(), "Q: What is the name of France?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.new_values) for r in templates.leaks(docs, bench).collect()} == {(0, 1, False), (1, 1, False), (2, 2, False)}
+
+
 def test_template_words_look_up_equals_the_plain_way():
     matcher = templates._Matcher(np.zeros(8, dtype=np.uint8), [8])
     texts = ["Mr. Smith has 3.5 kg.Then U.S. Tea!", "\n\nOne two. \t Three? four Five", "| | Ab cD EF 7,000 €5 ", "", "a B C x\rY"]
