@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapewatch.llm import blob_ledger, line_chunks, mixing, quality, sharding, simhash, templates, token_files, toxicity, warc
+from tapewatch.llm import blob_ledger, line_chunks, mixing, prefix_trie, quality, sharding, simhash, templates, token_files, toxicity, warc
 from tapewatch.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -305,3 +305,43 @@ select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed_lines
     length(coalesce(kept, ''))::bigint as kept_chars, sha256(coalesce(kept, '')) as kept_sha256
 from d left join told using (row)
 """
+
+
+# 11: conversation prefix trie
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+_CRC32_STEP = "lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)"
+_CRC32 = f"""xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''),
+    lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))), {_CRC32_STEP}), 4294967295)"""
+ORACLE["op11_prefix_trie"] = f"""
+with t as (
+    select conv_id::bigint as conv_id, turn, strlen(coalesce(text, ''))::bigint as size,
+        substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) as digest
+    from conversations where conv_id is not null),
+own as (
+    select conv_id, list(struct_pack(digest := digest, size := size) order by turn nulls first, digest, size) as own from t group by conv_id),
+head as (select *, conv_id - conv_id % 5 as base, {_CRC32} % 9 as h from own),
+whole as (
+    select head.conv_id, list_concat(coalesce(b.own, [])[1:h], head.own[h + 1:]) as turns
+    from head left join own b on b.conv_id = base),
+prefixes as (
+    select conv_id, d, len(turns) = d as ends, coalesce(turns[d].size, 0) as size,
+        array_to_string(list_transform(turns[1:d], lambda x: x.digest), '') as node
+    from (select *, unnest(range(len(turns) + 1)) as d from whole)),
+nodes as (
+    select node, d, min(conv_id) as conv_id, count(*) as n_convs, any_value(size) as size,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+    from prefixes group by node, d),
+children as (select substr(node, 1, 32 * (d - 1)::int) as node, count(*) as n_children from nodes where d > 0 group by 1),
+told as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join children using (node)),
+below as (
+    select substr(node, 1, 32 * k::int) as node, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * size) as saved_tokens
+    from (select *, unnest(range(d + 1)) as k from told) group by 1)
+select told.conv_id, told.d::bigint as depth, up.conv_id as parent_conv_id, told.n_convs::bigint as n_convs,
+    told.n_children::bigint as n_children, n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, told.ends_sha256
+from told join below using (node) left join nodes up on told.d > 0 and up.node = substr(told.node, 1, 32 * (told.d - 1)::int)
+"""
