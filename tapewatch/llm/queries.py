@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapewatch.llm import blob_ledger, line_chunks, mixing, prefix_trie, quality, sharding, simhash, templates, token_files, toxicity, warc
+from tapewatch.llm import blob_ledger, factorisation, line_chunks, metric_trees, mixing, prefix_trie, quality, sharding, simhash, templates, token_files, toxicity, warc
 from tapewatch.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -345,3 +345,64 @@ select told.conv_id, told.d::bigint as depth, up.conv_id as parent_conv_id, told
     told.n_children::bigint as n_children, n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, told.ends_sha256
 from told join below using (node) left join nodes up on told.d > 0 and up.node = substr(told.node, 1, 32 * (told.d - 1)::int)
 """
+
+
+# 12: vector code compression
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, codebooks = metric_trees.compressed(table(spark, sf_dir, "embeddings"))
+    return metric_trees.with_label_error(codes).select(
+        "vec_id", "code", "error", "label_error", F.lit(metric_trees.digest(codebooks)).alias("codebooks_sha256"))
+
+
+def _assigned(i: int) -> str:
+    """Each part's nearest entry: without the part's own square, which is the same for all entries."""
+    return f"""
+a{i} as materialized (
+    select row, p, arg_min(e, (far, e)) as e, min(far) as far
+    from (select row, p, e, list_inner_product(c, c) - 2 * list_inner_product(x, c) as far from parts join c{i} using (p)) group by row, p)"""
+
+
+def _moved(i: int) -> str:
+    return f"""
+c{i + 1} as materialized (
+    select p, e, coalesce(m, c) as c
+    from c{i} left join (
+        select p, e, list(floor(total / n) order by j) as m
+        from (select p, e, j, sum(x[j]) as total, count(*) as n
+              from (select p, e, x, unnest(range(1, len(x) + 1)) as j from parts join a{i} using (row, p)) group by p, e, j)
+        group by p, e) using (p, e))"""
+
+
+ORACLE["op12_vector_codes"] = f"""
+with kept as materialized (
+    select row_number() over () as row, vec_id, label, list_transform(embedding, lambda x: floor({metric_trees.SCALE} * x::double)) as v
+    from embeddings where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (
+    select row, p, v[p * w + 1:(p + 1) * w] as x
+    from (select *, len(v) // {metric_trees.PARTS} as w, unnest(range({metric_trees.PARTS})) as p from kept)),
+c0 as materialized (
+    select p, e, x as c
+    from (select p, x, row_number() over (partition by p order by vec_id, v) - 1 as e from parts join kept using (row))
+    where e < {metric_trees.ENTRIES}),
+{",".join(_assigned(i) + "," + _moved(i) for i in range(metric_trees.ROUNDS))},
+{_assigned(metric_trees.ROUNDS)},
+codes as (
+    select row, string_agg(printf('%02x', e), '' order by p) as code, sum(far + list_inner_product(x, x))::bigint as error
+    from a{metric_trees.ROUNDS} join parts using (row, p) group by row),
+books as (
+    select sha256(string_agg(list_aggregate(list_transform(c, lambda x: x::bigint::varchar), 'string_agg', ','), ',' order by p, e)) as codebooks_sha256
+    from c{metric_trees.ROUNDS})
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256
+from codes join kept using (row), books
+"""
+
+
+# 13: quality classifier
+
+@query
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = factorisation.fit(docs, table(spark, sf_dir, "labels"))
+    return factorisation.score(docs, model).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
