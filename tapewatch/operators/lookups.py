@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tapewatch.operators.series import ROWS_PER_TASK, placed
+from tapewatch.session import small_side
+
 # Seconds a look-up stays fresh, minutes until a feed counts as closed.
 FRESH_SECONDS = 300
 CLOSED_MINUTES = 30
@@ -34,44 +37,53 @@ def as_of(
     observations: DataFrame,
     columns: list[str],
     max_age: int = FRESH_SECONDS,
+    rows_per_piece: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """The last observation of the symbol less than ``max_age`` seconds old.
 
     ``requests`` has symbol and request_ts; ``observations`` symbol, ts and seq.
-    Symbols match in upper case.  Time is cut into cells of ``max_age`` seconds: a
-    match lies in the request's own cell or the one before, so each observation
-    goes to two cells and no window spans more of a symbol than that.
-    """
-    def cell(c: str) -> Column:
-        return F.floor(F.unix_micros(c) / (max_age * 1_000_000))
+    Symbols match in upper case.  Of observations at one instant the one with the largest ``seq`` counts.
 
+    Requests and observations are sorted together by symbol and time and cut into range pieces, whatever
+    symbol they belong to.  Within a piece each request takes the last observation before it; the last one of
+    each piece is carried to the pieces after it.  So no window holds more than a piece, however many
+    observations a symbol, or ``max_age`` seconds of it, has.  Requests without symbol or time find nothing.
+    """
     key = F.upper("symbol").alias("_key")
-    asked = requests.select(key, "request_ts").distinct()
-    value = F.struct("ts", *columns)
-    # One row per instant, so copies collapse before they are spread.
-    seen = (
-        observations.select(key, "ts", "seq", *columns)
-        .groupBy("_key", "ts").agg(F.max_by(value, "seq").alias("_value"))
-        .select(
-            "_key", F.col("ts").alias("_at"), F.lit(0).alias("_asked"), "_value",
-            F.explode(F.array(cell("ts"), cell("ts") + 1)).alias("_cell")))
-    rows = seen.unionByName(
-        asked.select(
-            "_key", F.col("request_ts").alias("_at"), F.lit(1).alias("_asked"),
-            cell("request_ts").alias("_cell")), allowMissingColumns=True)
-    so_far = Window.partitionBy("_key", "_cell").orderBy("_at", "_asked").rowsBetween(
-        Window.unboundedPreceding, 0)
-    matched = (
-        rows.withColumn("_value", F.last("_value", ignorenulls=True).over(so_far))
-        .filter(F.col("_asked") == 1)
-        .withColumn("_age", F.unix_micros("_at") - F.unix_micros("_value.ts"))
-        .select(
-            "_key", F.col("_at").alias("request_ts"),
-            F.when(F.col("_age") < max_age * 1_000_000, F.col("_value")).alias("_value")))
+    seen = observations.filter(F.col("symbol").isNotNull() & F.col("ts").isNotNull()).select(
+        key, F.col("ts").alias("_at"), F.lit(0).alias("_asked"), F.col("seq").alias("_seq"), F.struct("ts", *columns).alias("_value"))
+    asked = requests.select(key, F.col("request_ts").alias("_at"), F.lit(1).alias("_asked"), "symbol")
+    together = seen.unionByName(asked, allowMissingColumns=True)
+    known = carried(together, ["_key"], ["_at", "_asked", "_seq"], "_value", rows_per_piece).filter(F.col("_asked") == 1)
+    age = F.unix_micros("_at") - F.unix_micros("_value.ts")
+    found = known.withColumn("_value", F.when(F.col("_key").isNotNull() & (age < max_age * 1_000_000), F.col("_value")))
+    return found.select(
+        "symbol", F.col("_at").alias("request_ts"), F.col("_value.ts").alias("observed_ts"),
+        *[F.col(f"_value.{c}").alias(c) for c in columns])
+
+
+def carried(df: DataFrame, keys: list[str], order: list[str], value: str, rows_per_piece: int = ROWS_PER_TASK) -> DataFrame:
+    """``value`` filled with the last one known before, per key and in order.
+
+    A prefix scan in two levels: over the rows of each range piece, then over the pieces of each key, of which
+    there is one row per key and piece that it lies in.  Only the first key of a piece can have begun before it, so
+    what is carried is at most one row per piece.
+    """
+    pieces = -(-df.count() // rows_per_piece)
+    spread = placed(df, keys + order, pieces if pieces > 1 else None)
+    so_far = Window.partitionBy("_part", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    within = spread.withColumn("_last", F.last(value, ignorenulls=True).over(so_far))
+    ends = spread.filter(F.col(value).isNotNull()).groupBy(*keys, "_part").agg(F.max_by(value, "_pos").alias("_end"))
+    firsts = spread.groupBy("_part").agg(F.min_by(F.struct(*keys), "_pos").alias("_first")).select("_part", "_first.*")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = ends.unionByName(firsts, allowMissingColumns=True).groupBy(*keys, "_part").agg(
+        F.max("_end").alias("_end"), F.count_if(F.col("_end").isNull()).alias("_opens"))
+    before = begun.withColumn("_before", F.last("_end", ignorenulls=True).over(earlier)).filter(
+        (F.col("_opens") > 0) & F.col("_before").isNotNull()).select(*keys, "_part", "_before")
     return (
-        requests.withColumn("_key", F.upper("symbol"))
-        .join(matched, ["_key", "request_ts"], "left")
-        .select("symbol", "request_ts", F.col("_value.ts").alias("observed_ts"), *[F.col(f"_value.{c}").alias(c) for c in columns]))
+        within.join(small_side(before), [*keys, "_part"], "left")
+        .withColumn(value, F.coalesce("_last", "_before"))
+        .drop("_last", "_before", "_pos", "_part"))
 
 
 def with_fallback(primary: DataFrame, secondary: DataFrame, enabled: bool = True) -> DataFrame:

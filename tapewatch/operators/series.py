@@ -114,8 +114,8 @@ def _chunked(bars: DataFrame, rows_per_chunk: int, halo: int) -> Series:
     return Series(frame, ("symbol", "chunk"), ("rn",), True, halo)
 
 
-def placed(df: DataFrame, order: list[str]) -> DataFrame:
-    """Globally sorted rows with ``_pos``, increasing along the sort.
+def placed(df: DataFrame, order: list[str], pieces: int | None = None) -> DataFrame:
+    """Globally sorted rows with ``_pos``, increasing along the sort, and the range piece ``_part``.
 
     Range partitioning spreads a hot key over tasks; the extra ``_tie`` also
     spreads exact copies.  The result is written out because range bounds are
@@ -123,7 +123,7 @@ def placed(df: DataFrame, order: list[str]) -> DataFrame:
     """
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
     return cut(
-        tied.repartitionByRange(*order, "_tie")
+        tied.repartitionByRange(*([pieces] if pieces else []), *order, "_tie")
         .sortWithinPartitions(*order, "_tie")
         .withColumn("_pos", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_pos", 33))

@@ -98,7 +98,7 @@ def _(spark, folder):
 
 @query("joi_2_as_of", """
 with asked as (select lower(event_type) || case when event_id % 11 = 0 then '?' else '' end as symbol, ts + to_seconds(event_id * 37 % 700) as request_ts from events),
-seen as (select event_type as symbol, ts, value from events where event_type <> 'view' or value > 20)
+seen as (select event_type as symbol, ts, arg_max(value, event_id) as value from events group by 1, 2)
 select asked.symbol, strftime(request_ts, '%Y-%m-%d %H:%M:%S') as request_ts,
   case when epoch_us(request_ts) - epoch_us(seen.ts) < 300000000 then strftime(seen.ts, '%Y-%m-%d %H:%M:%S') end as observed_ts,
   """ + rd("case when epoch_us(request_ts) - epoch_us(seen.ts) < 300000000 then value end", "price") + """
@@ -111,10 +111,27 @@ def _(spark, folder):
         F.concat(F.lower("event_type"), unknown).alias("symbol"),
         (F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") * 37 % 700).cast("decimal(18,6)"))).alias("request_ts"))
     ticks = event_ticks(spark, folder).withColumn("seq", F.col("event_id"))
-    ticks = ticks.filter((F.col("symbol") != "view") | (F.col("price") > 20))
     return shown(lk.as_of(requests, ticks, ["price"]), "symbol", "request_ts", "observed_ts", "price")
 
 
+@query("joi_2_as_of_hot_symbol", """
+with asked as (select event_id as request_id, ts + to_seconds(event_id * 37 % 700) as request_ts from events),
+seen as (select ts, arg_max(value, event_id) as value from events group by 1)
+select strftime(request_ts, '%Y-%m-%d %H:%M:%S') as request_ts,
+  case when epoch_us(request_ts) - epoch_us(seen.ts) < 30000000 then strftime(seen.ts, '%Y-%m-%d %H:%M:%S') end as observed_ts,
+  """ + rd("case when epoch_us(request_ts) - epoch_us(seen.ts) < 30000000 then value end", "price") + """
+from asked asof left join seen on asked.request_ts >= seen.ts""")
+def _(spark, folder):
+    """All ticks under one symbol, in pieces far smaller than it."""
+    e = table(spark, folder, "events")
+    requests = e.select(
+        F.lit("all").alias("symbol"),
+        (F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") * 37 % 700).cast("decimal(18,6)"))).alias("request_ts"))
+    ticks = event_ticks(spark, folder).withColumns({"symbol": F.lit("ALL"), "seq": F.col("event_id")})
+    found = lk.as_of(requests, ticks, ["price"], max_age=30, rows_per_piece=1000)
+    return shown(found, "request_ts", "observed_ts", "price")
+
+
 def _user_latest(spark, folder, kinds=None):
     e = table(spark, folder, "events")
     if kinds:
