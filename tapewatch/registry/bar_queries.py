@@ -8,10 +8,12 @@ from tapewatch.functions.ema import Average, with_averages
 from tapewatch.operators import features as ft
 from tapewatch.operators import labels as lb
 from tapewatch.operators import single_point as sp
+from tapewatch.operators import summaries
 from tapewatch.operators.lookups import attach
 from tapewatch.operators.series import DAILY_ROWS, lay_out, number_by_sort, price_gaps
 from tapewatch.registry.base import KEY, answer, nudge, query, r, shown
 from tapewatch.schema import FEATURES
+from tapewatch.session import scratch
 from tapewatch.sources.bars import ticks_to_bars
 from tapewatch.sources.tables import bars_brand, bars_event, bars_priority, event_ticks, table
 
@@ -445,3 +447,19 @@ def _(spark, folder):
 @query("agg_3_distinct_symbols", answer("brand", "bars", "select count(distinct symbol) as n_symbols from bars"))
 def _(spark, folder):
     return bars_brand(spark, folder).agg(F.countDistinct("symbol").alias("n_symbols"))
+
+
+@query("agg_3_distinct_users", """
+select coalesce(strftime(ts, '%Y-%m-%d'), 'all') as day, count(distinct user_id) as n_users, true as is_near
+from events group by grouping sets ((strftime(ts, '%Y-%m-%d')), ())""")
+def _(spark, folder):
+    """Sketches per day, stored, and their union: estimates against exact counts, per day and in all."""
+    events = table(spark, folder, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    path = scratch(spark, "distinct")
+    summaries.distinct_summaries(events, "user_id", ["day"]).write.parquet(path)
+    kept = spark.read.parquet(path)
+    estimates = summaries.merged_distinct(kept, ["day"]).unionByName(
+        summaries.merged_distinct(kept).withColumn("day", F.lit("all")))
+    exact = events.rollup("day").agg(F.countDistinct("user_id").alias("n_users")).withColumn("day", F.coalesce("day", F.lit("all")))
+    return exact.join(estimates, "day").select(
+        "day", "n_users", (F.abs(F.col("estimate") - F.col("n_users")) <= summaries.DISTINCT_ERROR * F.col("n_users")).alias("is_near"))

@@ -8,6 +8,7 @@ from tapewatch.operators import labels as lb
 from tapewatch.operators import lookups as lk
 from tapewatch.operators import metrics as mt
 from tapewatch.operators import scoring as sc
+from tapewatch.operators import summaries as sm
 from tapewatch.operators.features import latest_row
 from tapewatch.operators.scaling import scaler_statistics, split
 from tapewatch.operators.series import DAILY_ROWS
@@ -16,7 +17,8 @@ from tapewatch.plans import training as tr
 from tapewatch.registry.bar_queries import _labelled, daily
 from tapewatch.registry.base import answer, nudge, query, r, scored_answer, shown
 from tapewatch.schema import FEATURES, STORED_PARAMETERS
-from tapewatch.sources.tables import bars_brand, event_ticks, table
+from tapewatch.session import scratch
+from tapewatch.sources.tables import bars_brand, brand_ticks, event_ticks, table
 
 
 def data(spark, folder):
@@ -208,11 +210,25 @@ def _(spark, folder):
 @query("agg_7_percentile", f"""
 select {rd("quantile_cont(l_extendedprice, 0.85)", "percentile")} from lineitem where l_returnflag <> 'R'""")
 def _(spark, folder):
-    """More values than one task may take, so ranges carry totals on."""
+    """Of the normal class only: returned lines stand for the suspicious rows, which the threshold leaves out.
+
+    More values than one task may take, so ranges carry totals on.
+    """
     prices = table(spark, folder, "lineitem").filter("l_returnflag <> 'R'")
     return shown(mt.exact_percentile(prices, "l_extendedprice", 85, values_per_task=10_000), "percentile")
 
 
+@query("agg_7_approximate", """
+select p_brand as symbol, count(*) as n, true as is_near from lineitem join part on l_partkey = p_partkey group by 1""")
+def _(spark, folder):
+    """Summaries per brand and day, stored, then one per brand from them."""
+    ticks = brand_ticks(spark, folder).withColumn("day", F.to_date("ts"))
+    path = scratch(spark, "quantiles")
+    sm.quantile_summaries(ticks, "price", ["symbol", "day"]).write.parquet(path)
+    at = sm.merged_quantile(spark.read.parquet(path), 85, ["symbol"])
+    return sm.rank_is_near(ticks, "price", at, 85, ["symbol"])
+
+
 @query("agg_8_report", f"""
 with c as (select count(*) filter (score > 500 and quality = 1) as tp, count(*) filter (score > 500 and quality = 0) as fp,
     count(*) filter (score <= 500 and quality = 1) as fn, count(*) filter (score <= 500 and quality = 0) as tn from (select l.*, n_chars as score from labels l join documents using (doc_id))),
@@ -252,6 +268,27 @@ def _(spark, folder):
     return shown(curve, "threshold", "precision", "recall")
 
 
+@query("agg_10_binned_curve", f"with {_JUDGED}, {_CURVE} select {r('threshold', 'precision', 'recall')} from curve")
+def _(spark, folder):
+    """A bin per whole number, so the curve by bins is the exact one."""
+    counts = sm.binned_counts(judged(spark, folder), "score", "quality", 0.0, float(sm.BLOCKS * sm.BINS_PER_BLOCK))
+    return shown(sm.binned_curve(counts), "threshold", "precision", "recall")
+
+
+@query("agg_10_binned_auc", f"""
+with {_JUDGED}, b as (select floor(score / 64) as bin, count(*) filter (quality = 1) as pos, count(*) filter (quality = 0) as neg from judged group by 1),
+t as (select pos, neg, coalesce(sum(neg) over (order by bin rows between unbounded preceding and 1 preceding), 0) as below from b),
+a as (select sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) as auc, sum(pos * neg / 2.0) / (sum(pos) * sum(neg)) as error_bound from t)
+select {r("auc", "error_bound")}, true as holds from a""")
+def _(spark, folder):
+    """Bins of 64 characters, and whether the exact area lies within the bound."""
+    df = judged(spark, folder)
+    counts = sm.binned_counts(df, "score", "quality", 0.0, 64.0 * sm.BLOCKS * sm.BINS_PER_BLOCK)
+    both = lk.attach(sm.binned_auc(counts), mt.roc_auc(df, "score", "quality").withColumnRenamed("auc", "exact"))
+    holds = F.abs(F.col("auc") - F.col("exact")) <= F.col("error_bound") + 1e-12
+    return shown(both.withColumn("holds", holds), "auc", "error_bound", "holds")
+
+
 @query("agg_11_best_threshold", f"""
 with {_JUDGED}, {_CURVE}, s as (select *, {_F1} as score from curve)
 select {r('threshold', 'precision', 'recall', 'score')} from s order by s.score desc, threshold limit 1""")

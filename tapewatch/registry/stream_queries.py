@@ -9,7 +9,8 @@ from tapewatch.operators import networks as nn
 
 from tapewatch.operators.scaling import fit_scaler
 from tapewatch.operators.single_point import simple_features, with_previous_close
-from tapewatch.operators.series import DAILY_ROWS
+from tapewatch.operators.features import lagged_features, volatility
+from tapewatch.operators.series import DAILY_ROWS, lay_out
 from tapewatch.plans import inference as inf
 from tapewatch.plans import training as tr
 from tapewatch.registry.bar_queries import _PREVIOUS, DOUBLES, INTS
@@ -80,6 +81,35 @@ def _(spark, folder):
     return back.groupBy(F.col("month").cast("string").alias("month"), "risk_level").agg(F.count("*").alias("n_rows"))
 
 
+@query("src_22_replayed_batches", scored_answer("""
+select case when month(ts) % 2 = 0 then 0 else 1 end::bigint as batch_id,
+  case when ensemble > 0.7 then 'HIGH' when ensemble > 0.3 then 'MEDIUM' else 'LOW' end as risk_level, count(*) as n_rows
+from scored group by 1, 2"""))
+def _(spark, folder):
+    """Two batches, one of them written twice, and an attempt that broke off before it was named."""
+    path = scratch(spark, "batches")
+    rows = scratch(spark, "detected")
+    found(spark, folder).write.parquet(rows)
+    rows = spark.read.parquet(rows)
+    odd = F.month(F.timestamp_seconds("timestamp")) % 2 != 0
+    sinks.write_batch(rows.filter(odd).limit(10), path, 1)
+    sinks.write_batch(rows.filter(~odd), path, 0)
+    sinks.write_batch(rows.filter(odd), path, 1)
+    broken = rows.withColumn("month", F.lit("2000-01"))
+    broken.write.partitionBy("month").parquet(f"{path}/rows/batch_id=0/attempt=broken")
+    return sinks.read_batches(spark, path).groupBy(F.col("batch_id").cast("long").alias("batch_id"), "risk_level").agg(F.count("*").alias("n_rows"))
+
+
+@query("src_3_by_symbol", answer("brand", "plain", f"""
+select {KEY}, {r("close", "Price_Change", "SMA_10", "Volatility_20d")} from plain"""))
+def _(spark, folder):
+    """Features of bars that lie by symbol: windows without a shuffle."""
+    path = scratch(spark, "by-symbol")
+    br.write_by_symbol(bars_brand(spark, folder), path, 8)
+    series = volatility(lagged_features(lay_out(br.read_by_symbol(spark, path), DAILY_ROWS)))
+    return shown(series.rows(), "symbol", "ts", "close", "Price_Change", "SMA_10", "Volatility_20d")
+
+
 # ------------------------------------------------------------------- networks
 def network_rows(spark, folder):
     """Scaled training rows as vectors, positives weighted."""

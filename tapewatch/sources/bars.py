@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import hashlib
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -186,6 +188,37 @@ def read_bars(spark: SparkSession, path: str, form: str = "parquet") -> DataFram
     return spark.read.parquet(path)
 
 
+def write_by_symbol(bars: DataFrame, path: str, buckets: int) -> None:
+    """Bars by month and, within a month, in ``buckets`` by the hash of the symbol, sorted by symbol and time.
+
+    What reads them back through ``read_by_symbol`` has each symbol's rows in one task without a shuffle, and
+    reads only the months and buckets that a filter asks for.  A month's bars of a symbol are written by one task.
+    """
+    spark, name = bars.sparkSession, f"bars_{uuid.uuid4().hex}"
+    dated = bars.withColumn("month", F.date_format("ts", "yyyy-MM"))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dated.schema)
+    writer = dated.repartition("month", "symbol").write.format("parquet").mode("errorifexists").option("path", f"{path}/bars")
+    writer.partitionBy("month").bucketBy(buckets, "symbol").sortBy("symbol", *_TIME_ORDER).saveAsTable(name)
+    spark.sql(f"drop table {name}")  # the session's entry only; the files stay
+    spark.createDataFrame([(columns, buckets)], "columns string, buckets int").coalesce(1).write.json(f"{path}/layout")
+
+
+_TIME_ORDER = ("ts", "seq")
+
+
+def read_by_symbol(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_by_symbol`` wrote, with its layout known to Spark."""
+    layout = spark.read.schema("columns string, buckets int").json(f"{path}/layout").first()
+    name = f"bars_{hashlib.md5(path.encode()).hexdigest()}"
+    order = ", ".join(("symbol", *_TIME_ORDER))
+    spark.sql(f"drop table if exists {name}")
+    spark.sql(
+        f"create table {name} ({layout.columns}) using parquet partitioned by (month) "
+        f"clustered by (symbol) sorted by ({order}) into {layout.buckets} buckets location '{path}/bars'")
+    spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
 def write_symbol_csvs(bars: DataFrame, path: str) -> None:
     """One ``<symbol>.csv`` per symbol, rows by time, the layout ``read_bar_folder`` takes.
 
