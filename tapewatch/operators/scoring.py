@@ -77,8 +77,9 @@ def detections(
     parameters: dict[str, float] = STORED_PARAMETERS,
     anomaly_mode: str = "threshold",
     threshold: float = SUSPICIOUS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Ensemble, flags, risk and alerts for rows with error and probability."""
+    """Ensemble, flags, risk and alerts for rows with error and probability; ``keep`` names further columns."""
     error, probability = F.col("error"), F.col("classifier_probability")
     df = computed_once(
         scored,
@@ -88,7 +89,7 @@ def detections(
         "is_suspicious": is_suspicious(F.col("ensemble_score"), threshold),
         "risk_level": risk_level(F.col("ensemble_score"))}))
     return df.select(
-        "symbol", F.unix_seconds("ts").alias("timestamp"), "ensemble_score", "classifier_probability",
+        *keep, "symbol", F.unix_seconds("ts").alias("timestamp"), "ensemble_score", "classifier_probability",
         "anomaly_score", "is_suspicious", "risk_level", market_data().alias("market_data"),
         "alerts", "alert_codes")
 

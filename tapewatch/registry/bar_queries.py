@@ -236,7 +236,7 @@ bars as materialized (
   from orders group by 1, 2)"""
 
 
-def _single(mode: str) -> str:
+def single_columns(mode: str) -> dict[str, str]:
     """SQL of one-bar features over columns open..volume, previous_close, ts."""
     pc = "coalesce(case when previous_close > 0 then (close - previous_close) / previous_close end, 0)"
     gap = "coalesce(case when previous_close > 0 then (open - previous_close) / previous_close end, 0)"
@@ -255,7 +255,11 @@ def _single(mode: str) -> str:
             "MACD": f"10 * {pc}", "MACD_Signal": f"8 * {pc}", "MACD_Histogram": f"2 * {pc}",
             "BB_Position": "0.5", "BB_Width": f"case when {rng} > 0 then 4 * {rng} else 0.04 end",
             "Volume_Ratio": "case when volume > 0 then 1.25 else 1 end"}
-    return ", ".join(f'round(({given.get(c, "0")})::double + 3.1e-10, 6) + 0.0 as "{c}"' for c in FEATURES)
+    return {c: f"({given.get(c, '0')})::double" for c in FEATURES}
+
+
+def _single(mode: str) -> str:
+    return ", ".join(f'round({value} + 3.1e-10, 6) + 0.0 as "{c}"' for c, value in single_columns(mode).items())
 
 
 _PREVIOUS = """

@@ -13,16 +13,16 @@ from tapewatch.operators.features import lagged_features, volatility
 from tapewatch.operators.series import DAILY_ROWS, lay_out
 from tapewatch.plans import inference as inf
 from tapewatch.plans import training as tr
-from tapewatch.registry.bar_queries import _PREVIOUS, DOUBLES, INTS
-from tapewatch.registry.base import KEY, answer, query, r, scored_answer, shown
+from tapewatch.registry.bar_queries import _PREVIOUS, DOUBLES, INTS, single_columns
+from tapewatch.registry.base import KEY, answer, query, r, scored_answer, scored_steps, shown
 from tapewatch.registry.feed_queries import _OK, messages
-from tapewatch.registry.model_queries import data, found, rd
+from tapewatch.registry.model_queries import _CODES, _RISK, data, found, rd
 from tapewatch.schema import FEATURES, STORED_PARAMETERS
 from tapewatch.session import scratch
 from tapewatch.sources import bars as br
 from tapewatch.sources import feed, sinks
 from tapewatch.sources.tables import bars_brand, bars_event, table
-from tapewatch.streaming import feeds, indicators, run as st
+from tapewatch.streaming import feeds, indicators, listener, requests as rq, run as st, state
 
 
 # ------------------------------------------------------------ folders and sinks
@@ -196,6 +196,25 @@ def _(spark, folder):
     return spark.read.parquet(f"{_ingested(spark, folder)}/quarantine").agg(F.count("body").alias("n_rows"))
 
 
+@query("str_9_listener", f"""
+select count(*) as processed, count(*) filter ({_OK}) as ok, count(*) filter (not ({_OK})) as failed, true as equal from events""")
+def _(spark, folder):
+    """What a listener was told of each micro-batch, and whether the folders hold the same counts batch by batch."""
+    path = scratch(spark, "metrics")
+    heard = listener.BatchMetrics(spark, path)
+    spark.streams.addListener(heard)
+    try:
+        counts = spark.read.parquet(f"{_ingested(spark, folder)}/counts")
+        told = listener.read_metrics(spark, path)
+    finally:
+        spark.streams.removeListener(heard)
+    names = ("processed", "ok", "failed")
+    same = told.select("batch_id", *names).join(
+        counts.select("batch_id", *[F.col(c).alias(f"_{c}") for c in names]), "batch_id", "full").withColumn(
+        "equal", F.coalesce(F.expr(" and ".join(f"{c} = _{c}" for c in names)), F.lit(False)))
+    return same.agg(*[F.sum(c).alias(c) for c in names], F.bool_and("equal").alias("equal"))
+
+
 @query("str_9_batch_metrics", f"""
 select count(*) as processed, count(*) filter ({_OK}) as ok, count(*) filter (not ({_OK})) as failed from events""")
 def _(spark, folder):
@@ -229,13 +248,12 @@ def event_tick_stream(spark, folder):
 with last as (select user_id, arg_max(event_id, (ts, event_id)) as event_id, max(ts) as ts from events group by 1)
 select user_id::varchar as symbol, event_id as seq from last where (select max(epoch_us(ts)) from events) - epoch_us(ts) < 86400000000""")
 def _(spark, folder):
-    """Users whose latest event is less than a day behind the newest."""
+    """Users whose latest event is less than a day behind the newest, read from the state store."""
     path = scratch(spark, "latest")
     seen = _mixed_up(spark, folder, "latest-in").select(
         F.col("user_id").cast("string").alias("symbol"), "ts", F.col("event_id").alias("seq"))
-    st.finish(feeds.keep_latest(seen, path, 86400))
-    state = spark.read.parquet(f"{path}/state")
-    return state.filter(F.col("batch_id") == state.agg(F.max("batch_id")).scalar()).select("symbol", "seq")
+    st.finish(state.keep_latest(seen, path, 86400))
+    return state.latest_state(spark, path).select("symbol", "seq")
 
 
 def _mixed_up(spark, folder, label, parts=4):
@@ -270,9 +288,24 @@ def _bar_stream(spark, bars, label, parts=3):
     return st.stream_files(spark, f"{path}/bars/*", bars.schema, maxFilesPerTrigger=1)
 
 
+# Simple features of all bars, scaled by themselves, scored and with their alert codes.
+_SIMPLE_SCORED = (
+    _PREVIOUS,
+    "dataset as materialized (select *, 'train' as part, "
+    + ", ".join(f'{value} as "{c}"' for c, value in single_columns("simple").items()) + " from pointed)",
+    *scored_steps("event")[1:], _CODES)
+_DETECTED = ("ensemble_score", "anomaly_score", "is_suspicious", "risk_level", "codes")
+_DETECTED_SQL = f"""{rd("ensemble", "ensemble_score")}, anomaly as anomaly_score, ensemble > 0.5 as is_suspicious, {_RISK} as risk_level, codes"""
+
+
+def _told(detected):
+    """Detections with their codes as text and the prices they echo."""
+    return detected.select("*", "market_data.close", "market_data.volume", "market_data.price_change", F.concat_ws(",", "alert_codes").alias("codes"))
+
+
 @query("str_5_interval_scoring", answer("event", "bars", f"""
-select symbol, epoch(ts)::bigint as timestamp, {r("close")}, volume, {rd("(close - previous_close) / previous_close", "price_change")}
-from pointed where symbol in ('click', 'view') qualify row_number() over (partition by symbol order by ts desc) = 1""", _PREVIOUS))
+select symbol, epoch(ts)::bigint as timestamp, {r("close")}, volume, {rd('"Price_Change"', "price_change")}, {_DETECTED_SQL}
+from coded where symbol in ('click', 'view') qualify row_number() over (partition by symbol order by ts desc) = 1""", *_SIMPLE_SCORED))
 def _(spark, folder):
     """Two known symbols and an unknown one; the last trigger's detections."""
     bars = with_previous_close(bars_event(spark, folder))
@@ -280,21 +313,74 @@ def _(spark, folder):
     scaler = fit_scaler(simple_features(bars))
     stream = _bar_stream(spark, bars, "interval-in")
     st.finish(feeds.score_on_interval(stream, ["click", "view", "ghost"], scaler, path, None))
-    all_found = spark.read.parquet(f"{path}/detections").select("symbol", "timestamp", "market_data.*")
-    last = all_found.groupBy("symbol").agg(F.max_by(
-        F.struct("timestamp", "close", "volume", "price_change"), "timestamp").alias("l")).select("symbol", "l.*")
-    return shown(last, "symbol", "timestamp", "close", "volume", "price_change")
+    columns = ["timestamp", "close", "volume", "price_change", *_DETECTED]
+    last = _told(spark.read.parquet(f"{path}/detections")).groupBy("symbol").agg(
+        F.max_by(F.struct(*columns), "timestamp").alias("l")).select("symbol", "l.*")
+    return shown(last, "symbol", *columns)
 
 
 @query("str_6_single_point", answer("event", "bars", f"""
-select symbol, epoch(ts)::bigint as timestamp, {r("close")}, volume,
-  {rd("coalesce((close - previous_close) / nullif(previous_close, 0), 0)", "price_change")} from pointed""", _PREVIOUS))
+select symbol, epoch(ts)::bigint as timestamp, {r("close")}, volume, {rd('"Price_Change"', "price_change")}, {_DETECTED_SQL} from coded""", *_SIMPLE_SCORED))
 def _(spark, folder):
     bars = with_previous_close(bars_event(spark, folder))
     scaler = fit_scaler(simple_features(bars))
     scored = feeds.score_each_bar(_bar_stream(spark, bars, "single-in"), scaler)
-    rows = _written(spark, scored, "single").select("symbol", "timestamp", "market_data.*")
-    return shown(rows, "symbol", "timestamp", "close", "volume", "price_change")
+    rows = _told(_written(spark, scored, "single"))
+    return shown(rows, "symbol", "timestamp", "close", "volume", "price_change", *_DETECTED)
+
+
+def _shuffled_stream(spark, df, time, key, label, parts=5, spread=3 * 3600):
+    """Rows in files by their time give or take ``spread`` seconds, so micro-batches overlap; then one far later row.
+
+    Without that row, what the watermark has not passed at the end of the data would stay in the state.
+    """
+    path = scratch(spark, label)
+    low, high = df.agg(F.min(F.unix_seconds(time)), F.max(F.unix_seconds(time))).first()
+    moved = F.unix_seconds(time) - low + F.pmod(F.xxhash64(key), F.lit(spread))
+    dealt = df.withColumn("_part", F.least(F.lit(parts - 1), F.floor(moved * parts / (high - low + 1))))
+    for i in range(parts):
+        dealt.filter(F.col("_part") == i).drop("_part").repartition(1, F.lit(i)).write.parquet(f"{path}/{i}")
+    last = spark.createDataFrame([()], "struct<>").select(*[
+        F.lit("~end").alias("symbol") if f.name == "symbol" else F.timestamp_seconds(F.lit(high + 30 * 86400)).alias(f.name) if f.name == time
+        else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    last.write.parquet(f"{path}/{parts}")
+    return st.stream_files(spark, f"{path}/*", df.schema, maxFilesPerTrigger=1)
+
+
+@query("str_5_requests_as_of", answer("event", "bars", f"""
+select request_id, a.symbol, strftime(request_ts, '%Y-%m-%d %H:%M:%S') as request_ts, timestamp, close, {", ".join(_DETECTED)},
+  case when timestamp is null then 'no fresh bar' end as error
+from (select *, case when epoch_us(request_ts) - epoch_us(bar_ts) < 4500000000 then bar_ts end as found_ts
+      from asked a asof left join (select symbol as bar_symbol, ts as bar_ts from coded) b on lower(a.symbol) = b.bar_symbol and a.request_ts >= b.bar_ts) a
+left join (select symbol, ts, epoch(ts)::bigint as timestamp, {r("close")}, {_DETECTED_SQL} from coded) c on lower(a.symbol) = c.symbol and a.found_ts = c.ts""",
+    *_SIMPLE_SCORED, """
+asked as (select event_id as request_id, upper(event_type) || case when event_id % 11 = 0 then '?' else '' end as symbol,
+  ts + to_seconds(event_id * 37 % 7000) as request_ts from events)"""))
+def _(spark, folder):
+    """Requests up to two hours after an event, some for an unknown symbol, against hourly bars; both streams out of order."""
+    bars = with_previous_close(bars_event(spark, folder))
+    e = table(spark, folder, "events")
+    requests = e.select(
+        F.col("event_id").alias("request_id"),
+        F.concat(F.upper("event_type"), F.when(F.col("event_id") % 11 == 0, "?").otherwise("")).alias("symbol"),
+        (F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") * 37 % 7000).cast("decimal(18,6)"))).alias("request_ts"))
+    path = scratch(spark, "asked")
+    scaler = fit_scaler(simple_features(bars))
+    st.finish(rq.answer_requests(
+        _shuffled_stream(spark, requests, "request_ts", "request_id", "asked-in"), _shuffled_stream(spark, bars, "ts", "ts", "bars-in"),
+        scaler, path, max_age=4500, delay=86400))
+    good = _told(spark.read.parquet(f"{path}/detections")).withColumn("error", F.lit(None).cast("string"))
+    both = good.unionByName(spark.read.parquet(f"{path}/errors"), allowMissingColumns=True)
+    return shown(both, "request_id", "symbol", "request_ts", "timestamp", "close", *_DETECTED, "error")
+
+
+@query("str_3_ordered_features", answer("event", "feats", f"""
+select {KEY}, rn, {r(*DOUBLES)}, {", ".join(f'"{c}"::double as "{c}"' for c in INTS)} from feats"""))
+def _(spark, folder):
+    """Bars that come up to three hours out of order, across micro-batches."""
+    stream = _shuffled_stream(spark, bars_event(spark, folder), "ts", "ts", "ordered-in")
+    rows = _written(spark, state.ordered_features(stream, 86400), "ordered")
+    return shown(rows, "symbol", "ts", "rn", *DOUBLES, *INTS)
 
 
 @query("str_7_rolling_features", answer("event", "feats", f"""

@@ -99,12 +99,6 @@ def advance_latest(batch: DataFrame, path: str, batch_id: int, seconds: int = FR
     return spark.read.schema(now.schema).parquet(batch_folder(path, "state", batch_id))
 
 
-def keep_latest(observations: DataFrame, path: str, seconds: int = FRESH_SECONDS, interval: int | None = None):
-    """Latest fresh row per symbol, under ``state`` of the last micro-batch."""
-    return each_batch(
-        observations, path, lambda batch, batch_id: advance_latest(batch, path, batch_id, seconds), interval=interval)
-
-
 def score_each_bar(bars: DataFrame, scaler: Scaler) -> DataFrame:
     """Stateless detections of single bars."""
     return score(bars, scaler, "simple")
