@@ -265,15 +265,35 @@ def _mixed_up(spark, folder, label, parts=4):
     return st.stream_files(spark, f"{path}/*", events.schema, maxFilesPerTrigger=1)
 
 
-@query("str_8_late_count", """
-with b as (select ts, event_id % 4 as part from events), newest as (select part, max(max(ts)) over (order by part) as newest from b group by part)
-select count(*) as n_late from b join newest n on n.part = b.part - 1 where b.ts < n.newest - interval 1 hour""")
+def _bars_and_late(spark, folder):
+    """Hour bars and late ticks of mixed-up micro-batches, with a year kept for late ones; the last part is never closed."""
+    ticks = _mixed_up(spark, folder, "late-in").select(
+        F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1).cast("long").alias("qty"), "event_id")
+    return _written(spark, state.bars_and_late(ticks, 3600, "event_id", keep=366 * 86400), "late")
+
+
+_LATE_BATCHES = """
+with b as (select ts, event_id, event_type, value, event_id % 4 as part from events),
+newest as (select part, max(max(ts)) over (order by part) as newest from b group by part),
+told as (
+  select b.*, date_trunc('hour', ts) as hour, coalesce(date_trunc('hour', ts) + interval 1 hour <= n.newest - interval 1 hour, false) as late
+  from b left join newest n on n.part = b.part - 1)"""
+
+
+@query("str_8_late_count", _LATE_BATCHES + """
+select count(*) as n_late, sum(event_id)::bigint as ids from told where late""")
+def _(spark, folder):
+    """Ticks whose bar had closed when they came."""
+    return _bars_and_late(spark, folder).filter("late").agg(F.count("tick").alias("n_late"), F.sum("tick").alias("ids"))
+
+
+@query("str_8_bars_besides_late", _LATE_BATCHES + f"""
+select event_type as symbol, strftime(hour, '%Y-%m-%d %H:%M:%S') as ts, {rd("arg_min(value, event_id)", "open")}, {rd("max(value)", "high")},
+  {rd("min(value)", "low")}, {rd("arg_max(value, event_id)", "close")}, count(*) as volume
+from told where not late and hour + interval 1 hour <= (select max(ts) - interval 1 hour from events) group by 1, hour""")
 def _(spark, folder):
-    """Ticks more than an hour behind the newest of earlier micro-batches, written aside."""
-    path = scratch(spark, "late")
-    ticks = _mixed_up(spark, folder, "late-in").select("ts", "event_id")
-    st.finish(feeds.late_ticks(ticks, path))
-    return spark.read.parquet(f"{path}/late").agg(F.count("event_id").alias("n_late"))
+    """The bars of those ticks that weren't late; each tick is in one of both."""
+    return shown(_bars_and_late(spark, folder).filter("not late"), "symbol", "ts", "open", "high", "low", "close", "volume")
 
 
 def _bar_stream(spark, bars, label, parts=3):
@@ -342,7 +362,7 @@ def _shuffled_stream(spark, df, time, key, label, parts=5, spread=3 * 3600):
         dealt.filter(F.col("_part") == i).drop("_part").repartition(1, F.lit(i)).write.parquet(f"{path}/{i}")
     last = spark.createDataFrame([()], "struct<>").select(*[
         F.lit("~end").alias("symbol") if f.name == "symbol" else F.timestamp_seconds(F.lit(high + 30 * 86400)).alias(f.name) if f.name == time
-        else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+        else F.lit(1).cast(f.dataType).alias(f.name) for f in df.schema])
     last.write.parquet(f"{path}/{parts}")
     return st.stream_files(spark, f"{path}/*", df.schema, maxFilesPerTrigger=1)
 

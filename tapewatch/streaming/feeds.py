@@ -13,7 +13,7 @@ from tapewatch.plans.inference import score
 from tapewatch.sources import feed
 from tapewatch.streaming.run import batch_folder, each_batch, forget, kept_before, requested
 
-WATERMARK = "1 hour"        # ticks later than this are in no bar; ``late_ticks`` keeps them
+WATERMARK = "1 hour"        # ticks whose bar has closed are in none; ``state.bars_and_late`` keeps them
 DEDUP_INTERVAL = "5 minutes"  # fixed value: the broker's dedup interval
 
 
@@ -37,8 +37,7 @@ def ingest(bodies: DataFrame, path: str, interval: int | None = None):
 def drop_repeats(stream: DataFrame, key: str = "dedup_id", time: str = "ts", within: str = DEDUP_INTERVAL) -> DataFrame:
     """One row per id within the interval.
 
-    Rows more than the interval behind the newest of earlier batches are left out, repeats or not;
-    ``late_ticks`` with that delay keeps them.
+    Rows more than the interval behind the newest of earlier batches are left out, repeats or not.
     """
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
 
@@ -56,26 +55,6 @@ def tick_bars(ticks: DataFrame, width: str, order: str, watermark: str = WATERMA
                 F.lit(0).cast("long").alias("seq")))
 
 
-def late_ticks(ticks: DataFrame, path: str, delay_seconds: int = 3600, interval: int | None = None):
-    """Write the ticks that ``tick_bars`` would leave out to ``late``, a folder per micro-batch.
-
-    Late is what lies more than the delay behind the newest tick of the micro-batches before.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = kept_before(spark, path, "newest", batch_id, "ts timestamp").agg(F.max("ts").alias("ts")).first().ts
-        batch = batch.persist()
-        limit = F.lit(newest) - F.make_interval(secs=F.lit(delay_seconds)) if newest else F.lit(None).cast("timestamp")
-        batch.filter(F.col("ts") < limit).write.mode("overwrite").parquet(batch_folder(path, "late", batch_id))
-        seen = batch.agg(F.greatest(F.max("ts"), F.lit(newest).cast("timestamp")).alias("ts")).coalesce(1)
-        seen.write.mode("overwrite").parquet(batch_folder(path, "newest", batch_id))
-        batch.unpersist()
-        if batch_id > 1:
-            forget(spark, path, "newest", batch_id - 2)
-
-    return each_batch(ticks, path, write, interval=interval)
-
-
 def fresh(latest: DataFrame, seconds: int = FRESH_SECONDS) -> DataFrame:
     """Rows less than ``seconds`` behind the newest one, in event time."""
     newest = latest.agg(F.max(F.unix_micros("ts"))).scalar()

@@ -20,6 +20,7 @@ from tapewatch.schema import FEATURES
 from tapewatch.session import ship_package
 
 KEEP = 20  # rows of look-back of the widest rolling window
+FORGET_AFTER = 366 * 86400  # seconds behind the newest bar until a symbol's state goes
 
 INPUT = "ts timestamp, seq long, open double, high double, low double, close double, volume long"
 OUTPUT = "symbol string, ts timestamp, seq long, rn long, close double, volume long, late boolean, " + ", ".join(
@@ -106,6 +107,9 @@ def advance(bars: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tupl
 
 def _per_symbol(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Features of the bars after the last one; earlier ones come out as late, without features."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     bars = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], ignore_index=True)
     last_ts, last_seq, kept = None, None, None
     if state.exists:
@@ -125,18 +129,22 @@ def _per_symbol(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     if len(bars):
         out, after = advance(bars, tuple(kept) if kept else None)
         state.update((bars["ts"].iloc[-1].to_pydatetime(), int(bars["seq"].iloc[-1]), *after))
+        newest = int(bars["ts"].iloc[-1].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
         out.insert(0, "symbol", key[0])
         out["late"] = False
         yield out[OUTPUT_COLUMNS]
 
 
-def rolling_features(bars: DataFrame) -> DataFrame:
+def rolling_features(bars: DataFrame, forget_after: int = FORGET_AFTER) -> DataFrame:
     """The features of every streamed bar, equal to the table form.
 
     Bars without known, finite prices are left out, as there.  A bar that isn't later than the last one of
-    its symbol in an earlier micro-batch comes out with ``late`` and no features.
+    its symbol in an earlier micro-batch comes out with ``late`` and no features; ``state.ordered_features`` waits for
+    such bars instead.  A symbol whose last bar is more than ``forget_after`` seconds behind the newest of all is forgotten and
+    starts anew, and bars that far behind when they come are left out.
     """
     ship_package(bars.sparkSession)
     columns = ["symbol", *[c.split()[0] for c in INPUT.split(", ")]]
-    return priced(bars).select(*columns).groupBy("symbol").applyInPandasWithState(
-        _per_symbol, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return priced(bars).select(*columns).withWatermark("ts", f"{forget_after} seconds").groupBy("symbol").applyInPandasWithState(
+        _per_symbol, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -16,14 +16,13 @@ from pyspark.sql.types import StructType
 from tapewatch.operators.lookups import FRESH_SECONDS
 from tapewatch.operators.series import priced
 from tapewatch.session import ship_package
-from tapewatch.streaming.indicators import INPUT, OUTPUT, OUTPUT_COLUMNS, STATE, advance
+from tapewatch.streaming.indicators import FORGET_AFTER, INPUT, OUTPUT, OUTPUT_COLUMNS, STATE, advance
 from tapewatch.streaming.run import batch_folder, each_batch
 
 BAR_COLUMNS = [c.split()[0] for c in INPUT.split(", ")]
 WAITING = INPUT.replace("ts timestamp", "us long")
 KEPT = STATE.replace("last_ts timestamp", "last_us long")
 MAX_DELAY = 3600          # seconds a bar may be behind the newest one
-FORGET_AFTER = 366 * 86400  # seconds without bars until a symbol's averages start anew
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -163,7 +162,7 @@ def ordered_features(bars: DataFrame, max_delay: int = MAX_DELAY, forget_after:
     """The features of every streamed bar, equal to the table form although bars come out of order.
 
     A bar comes out once the newest bar of any symbol is more than ``max_delay`` seconds ahead of it.  What is farther behind when it
-    comes is left out (``feeds.late_rows`` keeps it).  Bars without known, finite prices are left out, as in
+    comes is left out and counted by Spark.  Bars without known, finite prices are left out, as in
     the table form.  After ``forget_after`` seconds without a bar a symbol starts anew.  What is held per symbol are the bars
     of ``max_delay`` and a state of fixed size.
     """
@@ -171,3 +170,81 @@ def ordered_features(bars: DataFrame, max_delay: int = MAX_DELAY, forget_after:
     use_rocksdb(bars.sparkSession)
     return priced(bars).select("symbol", *BAR_COLUMNS).withWatermark("ts", f"{max_delay} seconds").groupBy("symbol").transformWithStateInPandas(
         Ordered(forget_after), StructType.fromDDL(OUTPUT), "Append", "EventTime")
+
+
+# ---------------------------------------------------------------- ticks to bars
+class Windows(StatefulProcessor):
+    """Open windows of a symbol; a tick of a window that the watermark has closed comes out as it is.
+
+    Spark's own watermark lags by ``shift`` milliseconds more than the one that closes windows, so that late ticks get here.
+    """
+
+    def __init__(self, width: int, shift: int) -> None:
+        self._width, self._shift = width, shift
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getMapState("open", "start long", "first long, last long, open double, high double, low double, close double, volume long")
+
+    def _out(self, symbol: str, late: bool, **columns) -> pd.DataFrame:
+        out = pd.DataFrame({c.split()[0]: pd.Series(columns.get(c.split()[0]), dtype=kind) for c, kind in zip(WINDOW.split(", "), _KINDS, strict=True)})
+        out["symbol"], out["late"] = symbol, late
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        closed = watermark + self._shift if watermark > 0 else None
+        for ticks in rows:
+            start = ticks["us"] // 1000 // self._width * self._width
+            late = start + self._width <= closed if closed is not None else pd.Series(False, index=ticks.index)
+            if late.any():
+                told = ticks[late]
+                yield self._out(key[0], True, us=told["us"].to_numpy(), tick=told["tick"].to_numpy(), price=told["price"].to_numpy(), qty=told["qty"].to_numpy())
+            for begin, group in ticks[~late].sort_values("tick").groupby(start[~late]):
+                self._add((int(begin),), group)
+
+    def _add(self, begin: tuple[int], group: pd.DataFrame) -> None:
+        """``group`` is in order of ``tick``."""
+        first, last = int(group["tick"].iloc[0]), int(group["tick"].iloc[-1])
+        opens, closes = float(group["price"].iloc[0]), float(group["price"].iloc[-1])
+        high, low, volume = float(group["price"].max()), float(group["price"].min()), int(group["qty"].sum())
+        if self._open.containsKey(begin):
+            f, l, o, h, w, c, v = self._open.getValue(begin)  # noqa: E741
+            first, opens = min((first, opens), (f, o))
+            last, closes = max((last, closes), (l, c))
+            high, low, volume = max(high, h), min(low, w), volume + v
+        else:
+            self._handle.registerTimer(begin[0] + self._width - self._shift)
+        self._open.updateValue(begin, (first, last, opens, high, low, closes, volume))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        begin = expiredTimerInfo.getExpiryTimeInMs() + self._shift - self._width
+        if self._open.containsKey((begin,)):
+            _, _, opens, high, low, closes, volume = self._open.getValue((begin,))
+            self._open.removeKey((begin,))
+            yield self._out(key[0], False, us=[begin * 1000], open=[opens], high=[high], low=[low], close=[closes], volume=[volume])
+
+    def close(self) -> None:
+        pass
+
+
+WINDOW = "symbol string, us long, open double, high double, low double, close double, volume long, late boolean, tick long, price double, qty long"
+_KINDS = ("object", "int64", "float64", "float64", "float64", "float64", "Int64", "object", "Int64", "float64", "Int64")
+
+
+def bars_and_late(ticks: DataFrame, width: int, order: str, delay: int = MAX_DELAY, keep: int = 7 * 86400) -> DataFrame:
+    """Bars of ``width`` seconds, each once the watermark has passed its end, and as ``late`` the ticks that came after that.
+
+    ``ticks`` has symbol, ts, price, qty and the whole number ``order``.  The watermark is ``delay`` seconds behind the newest
+    tick of earlier micro-batches.  A tick is late if its window ends at or before it, and then is in no bar; any other
+    tick is in its bar.  So bars and late ticks add up to all ticks that are at most ``keep`` seconds behind the watermark; still older
+    ones are left out and counted by Spark (rows dropped by watermark).  Ticks without symbol, time, price, quantity or order are
+    left out, too.  Late rows have ts, tick, price and qty; bars all else.
+    """
+    ship_package(ticks.sparkSession)
+    use_rocksdb(ticks.sparkSession)
+    rows = ticks.select("symbol", "ts", F.unix_micros("ts").alias("us"), F.col(order).cast("long").alias("tick"), "price", F.col("qty").cast("long").alias("qty"))
+    rows = rows.dropna()
+    found = rows.withWatermark("ts", f"{delay + keep} seconds").groupBy("symbol").transformWithStateInPandas(
+        Windows(width * 1000, keep * 1000), StructType.fromDDL(WINDOW), "Append", "EventTime")
+    return found.select("symbol", F.timestamp_micros("us").alias("ts"), *[c.split()[0] for c in WINDOW.split(", ")][2:])

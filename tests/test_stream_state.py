@@ -9,7 +9,9 @@ from tapewatch.operators import features as ft
 from tapewatch.operators.series import lay_out
 from tapewatch.schema import FEATURES
 from tapewatch.session import scratch
-from tapewatch.streaming import run as st, state
+from tapewatch.operators.scaling import fit_scaler
+from tapewatch.operators.single_point import simple_features
+from tapewatch.streaming import feeds, indicators, listener, requests as rq, run as st, state
 
 T0 = dt.datetime(2024, 1, 1)
 SEEN = "symbol string, ts timestamp, seq long, price double, note string"
@@ -100,3 +102,72 @@ def test_bars_come_out_in_order_and_symbols_are_forgotten(spark):
     rows = {s: [(r.close, r.rn) for r in got.filter(f"symbol = '{s}'").orderBy("ts").collect()] for s in "AB"}
     assert rows["A"] == [(1.0, 1), (3.0, 2), (2.0, 3), (4.0, 4), (5.0, 5), (6.0, 1)] or rows["A"][:5] == [(1.0, 1), (9.0, 2), (3.0, 3), (2.0, 4), (4.0, 5)]
     assert rows["B"] == [(1.0, 1), (7.0, 1)]
+
+
+def test_bars_and_late_ticks_add_up(spark):
+    """The watermark is at 10:50 when a tick of 10:35 comes: its bar is still open, that of 9:59 is not."""
+    def tick(i, hour, minute, price=1.0):
+        return ("A", T0 + dt.timedelta(hours=hour, minutes=minute), price, 1, i)
+
+    batches = [[tick(1, 9, 59), tick(2, 10, 5, 2.0), tick(3, 11, 50)], [tick(4, 10, 35, 5.0), tick(5, 9, 30, 9.0), tick(0, 10, 1, 7.0)],
+               [tick(6, 12, 5)], [tick(7, 10, 59, 3.0), tick(8, 11, 30, 4.0)], [tick(9, 30, 0)], [tick(10, 31, 0)]]
+    ticks = files(spark, "both-in", batches, "symbol string, ts timestamp, price double, qty long, i long")
+    _, got = run(spark, state.bars_and_late(ticks, 3600, "i"), "both")
+    rows = got.collect()
+    assert sorted((r.tick, r.ts.hour, r.price) for r in rows if r.late) == [(5, 9, 9.0), (7, 10, 3.0)]
+    assert sorted((r.ts.hour, r.open, r.high, r.low, r.close, r.volume) for r in rows if not r.late) == [
+        (9, 1.0, 1.0, 1.0, 1.0, 1), (10, 7.0, 7.0, 2.0, 5.0, 3), (11, 1.0, 4.0, 1.0, 4.0, 2), (12, 1.0, 1.0, 1.0, 1.0, 1)]
+
+
+def test_rolling_features_forget_silent_symbols(spark):
+    def bar(symbol, hour, close):
+        return (symbol, T0 + dt.timedelta(hours=hour), 0, close, close, close, close, 5)
+
+    batches = [[bar("A", 0, 1.0), bar("B", 0, 1.0)], [bar("B", 1, 2.0)], [bar("B", 50, 3.0)], [bar("B", 51, 3.5)], [bar("A", 52, 4.0), bar("B", 52, 4.0)]]
+    _, got = run(spark, indicators.rolling_features(files(spark, "silent-in", batches, BAR), 36_000), "silent")
+    last = {r.symbol: (r.rn, r.Price_Change) for r in got.filter("close = 4.0").collect()}
+    assert last["A"] == (1, None) or np.isnan(last["A"][1]) and last["A"][0] == 1
+
+
+ASKED = "request_id long, symbol string, request_ts timestamp"
+PRICED = BAR + ", previous_close double"
+
+
+def test_requests_are_answered_as_of_their_time(spark):
+    def bar(symbol, second, close, seq=0):
+        return (symbol, T0 + dt.timedelta(seconds=second), seq, 1.0, 1.2, 0.9, close, 10, 1.0)
+
+    def ask(i, symbol, second):
+        return (i, symbol, T0 + dt.timedelta(seconds=second))
+
+    asked = [[ask(1, "a", 100), ask(2, "A", 40)], [ask(3, "ghost", 90), ask(4, "A", 400), ask(5, "N", 70)], [ask(6, "A", 399), ask(7, None, 100), ask(1, "a", 100)],
+             [ask(8, "B", 1300)], [ask(98, "~", 9000)], [ask(99, "~", 20_000)]]
+    seen = [[bar("A", 100, 1.1), bar("B", 0, 1.0)], [bar("A", 50, 1.3), bar("A", 100, 1.4, seq=1), bar("N", 60, None)], [bar("A", 99, 1.5)],
+            [bar("B", 1301, 1.7), bar("B", 1250, 1.8)], [bar("~", 9000, 1.0)], [bar("~", 20_000, 1.0)]]
+    scaler = fit_scaler(simple_features(spark.createDataFrame(seen[0], PRICED)))
+    path = scratch(spark, "answers")
+    st.finish(rq.answer_requests(files(spark, "asked", asked, ASKED), files(spark, "seen", seen, PRICED), scaler, path))
+    good = spark.read.parquet(f"{path}/detections").collect()
+    assert sorted((r.request_id, r.symbol, r.market_data.close) for r in good) == [(1, "a", 1.4), (6, "A", 1.4), (8, "B", 1.8), (98, "~", 1.0)]
+    assert all(r.risk_level in ("LOW", "MEDIUM", "HIGH") for r in good)
+    errors = spark.read.parquet(f"{path}/errors").collect()
+    assert sorted((r.request_id, r.error) for r in errors) == [
+        (2, rq.NO_BAR), (3, rq.NO_BAR), (4, rq.NO_BAR), (5, rq.NO_PRICE), (7, rq.NO_BAR)]
+
+
+def test_a_listener_hears_of_each_batch_once(spark):
+    import json
+
+    bodies = [[("{}",), ("nonsense",)], [("{}",)]]
+    path, heard = scratch(spark, "heard"), scratch(spark, "metrics")
+    metrics = listener.BatchMetrics(spark, heard)
+    spark.streams.addListener(metrics)
+    try:
+        st.finish(feeds.ingest(files(spark, "bodies", bodies, "body string"), path))
+        told = listener.read_metrics(spark, heard).orderBy("batch_id").collect()
+    finally:
+        spark.streams.removeListener(metrics)
+    assert [(r.batch_id, r.processed, r.failed, r.ok, r.input_rows, r.name) for r in told] == [(0, 2, 2, 0, 2, "feed"), (1, 1, 1, 0, 1, "feed")]
+    metrics._write("again", json.loads('{"batch_id": 5}'))
+    metrics._write("again", json.loads('{"batch_id": 5}'))
+    assert listener.read_metrics(spark, heard).count() == 3

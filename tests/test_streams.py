@@ -120,14 +120,6 @@ def test_older_bars_do_not_enter_the_state(spark):
     assert [round(r.Price_Change, 6) for r in got if not r.late and r.rn > 1] == [0.1, round(12 / 11 - 1, 6), round(13 / 12 - 1, 6)]
 
 
-def test_late_ticks_are_kept(spark):
-    t0 = dt.datetime(2024, 1, 1)
-    ticks = [[(t0 + dt.timedelta(minutes=m), m) for m in ms] for ms in ((0, 300), (100, 239, 240, 400), (330, 341))]
-    path = scratch(spark, "late")
-    st.finish(feeds.late_ticks(files(spark, "late-in", ticks, "ts timestamp, m long"), path))
-    assert sorted(r.m for r in spark.read.parquet(f"{path}/late").collect()) == [100, 239, 330]
-
-
 def test_fresh_is_strict(spark):
     t0 = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([("A", t0), ("B", t0 + dt.timedelta(seconds=1)), ("C", t0 + dt.timedelta(seconds=300))], "symbol string, ts timestamp")
