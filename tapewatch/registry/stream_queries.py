@@ -11,6 +11,7 @@ from tapewatch.operators.scaling import fit_scaler
 from tapewatch.operators.single_point import simple_features, with_previous_close
 from tapewatch.operators.features import lagged_features, volatility
 from tapewatch.operators.series import DAILY_ROWS, lay_out
+from tapewatch.plans import baselines as bl
 from tapewatch.plans import inference as inf
 from tapewatch.plans import training as tr
 from tapewatch.registry.bar_queries import _PREVIOUS, DOUBLES, INTS, single_columns
@@ -165,6 +166,42 @@ def _(spark, folder):
     return a.join(b, "symbol").select("symbol", a["n_rows"], (close[0] & close[1]).alias("equal"))
 
 
+def _baseline_rows(spark, folder):
+    """The data set, written once, its training rows and the weight of suspicious ones."""
+    path = scratch(spark, "baseline-rows")
+    data(spark, folder).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("y", F.col("Target"))
+    weight = mt.class_weight(tr.train_rows(rows), "Target").first()[0]
+    return rows, tr.train_rows(rows), weight
+
+
+@query("mod_3_components", scored_answer(_PARTS))
+def _(spark, folder):
+    """Reconstruction by ten principal components; errors of suspicious rows are the larger ones."""
+    rows, train, _ = _baseline_rows(spark, folder)
+    return _learned(bl.with_error(rows, bl.fit_components(train)), "error", 0.6)
+
+
+@query("mod_4_logistic", scored_answer(_PARTS))
+def _(spark, folder):
+    """Weighted logistic regression; probabilities of suspicious rows are the larger ones."""
+    rows, train, weight = _baseline_rows(spark, folder)
+    return _learned(bl.with_probability(rows, bl.fit_classifier(train, weight)), "classifier_probability", 0.85)
+
+
+@query("src_23_pipelines", scored_answer("select symbol, count(*) as n_rows, true as equal from dataset group by 1"))
+def _(spark, folder):
+    """Saved and loaded pipelines give each row the very scores of the fitted ones."""
+    rows, train, weight = _baseline_rows(spark, folder)
+    fitted = bl.Baselines(bl.fit_components(train), bl.fit_classifier(train, weight))
+    path = scratch(spark, "pipelines")
+    bl.save(fitted, path)
+    names = {"error": "error_before", "classifier_probability": "probability_before"}
+    both = bl.scores(bl.load(path))(bl.scores(fitted)(rows).withColumnsRenamed(names))
+    equal = (F.col("error") == F.col("error_before")) & (F.col("classifier_probability") == F.col("probability_before"))
+    return both.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.bool_and(equal).alias("equal"))
+
+
 @query("mod_11_network_evaluation", scored_answer("""
 select unnest(['ensemble', 'classifier', 'autoencoder']) as model, unnest([n, n, n]) as n_rows, unnest([p, p, p]) as positives, true as good
 from (select count(*) as n, count(*) filter ("Target" = 1) as p from dataset where part = 'test')"""))
