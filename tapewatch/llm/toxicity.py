@@ -2,15 +2,18 @@
 
 A window is one word between spaces, written ``REPEATS`` times so that the format's fixed costs leave
 room for differences.  One dictionary is trained on windows of ordinary documents, one on the
-windows that mark toxic documents: those in far more toxic than ordinary ones.  Each window is
+windows that mark toxic documents: words that are in far more toxic than ordinary ones, or that begin like many such
+words, so that a stem with ever new endings is learned although no single word of it is frequent.  Each window is
 compressed with both.  Its bytes, and its lengths under the two, put it in a cell; how much more often a cell occurs in
-toxic documents of the training rows is the calibrated weight of its windows, and a logistic curve over
-the two largest weights of a document and the number of its windows (of which chance finds more in
-long texts) is its score.
+toxic documents is the calibrated weight of its windows.  A logistic curve over the two largest weights of a
+document, the sum of all, and the number of its windows (of which chance finds more in long texts) is its score.
+Cells and curve are calibrated on training documents from which neither dictionary was made: so words that a dictionary has
+never seen weigh what their lengths have proved worth.
 
 Training takes ``SAMPLE_ROWS`` labelled documents at most, chosen by a hash of their ids; counting runs in tasks,
-and the driver gets the most frequent windows and the cells only.  All else covers all
-documents and whole texts.
+and the driver gets the windows that make up the dictionaries, whose size is bounded, and the cells only.  All else covers all
+documents and whole texts.  Null ids, repeated rows and clashing columns are scored like any other row; a null or empty
+text has no windows and gets the curve's value for none.
 """
 
 from __future__ import annotations
@@ -35,9 +38,12 @@ MARKING_WINDOWS = 4_096
 DICTIONARY_BYTES = 1 << 16
 LONGEST = 24  # longer windows share the cells of this length
 # A marking window is in so many toxic documents, at least, and so many times as frequent there.
-LEAST_DOCUMENTS, LEAST_SHARE, LEAST_RATIO = 3, 0.01, 20.0
+LEAST_DOCUMENTS, LEAST_SHARE, LEAST_RATIO, LEAST_SEEN = 3, 0.002, 20.0, 0.5
+STEMS = (4, 5, 6)  # letters of a word's beginning that are counted besides the word
+HELD_BACK = 4      # every so manyth training document calibrates and makes no dictionary
 REMEMBERED = 400_000
 MARKS = ".,;:!?|"
+FEATURES = ("first", "second", "total", "size")
 
 _SCORERS: dict[int, Scorer] = {}
 
@@ -50,6 +56,12 @@ def window(token: str) -> bytes:
     return b" " + token.strip(MARKS).encode() + b" "
 
 
+def stems(token: str) -> list[bytes]:
+    """The beginnings of a word; unlike windows, they don't end with a space."""
+    word = token.strip(MARKS)
+    return [b" " + word[:n].encode() for n in STEMS if len(word) > n]
+
+
 def train(windows: list[bytes], size: int) -> bytes:
     """A zstandard dictionary from windows, put together to samples that the trainer can cut segments from."""
     draw = np.random.default_rng(3)
@@ -64,7 +76,7 @@ class Model:
     ordinary: bytes
     toxic: bytes
     weights: dict[tuple[int, int, int], float]
-    curve: tuple[float, float, float, float]
+    curve: tuple[float, ...]
     floor: float
 
 
@@ -103,22 +115,25 @@ class Scorer:
             return self.model.floor
         return self.model.weights.get((n, len(self._ordinary.compress(text)), toxic), self.model.floor)
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """The two largest weights of a text and the logarithm of its number of windows; a text without
+    def features(self, text: str | None) -> tuple[float, float, float, float]:
+        """The two largest weights of a text, the logarithms of their sum and of its number of windows; a text without
         words has the floor."""
         if len(self._weights) > REMEMBERED:
             self._weights = {}
-        known, first, second = self._weights, self.model.floor, self.model.floor
+        known, floor, total = self._weights, self.model.floor, 0.0
+        first = second = floor
         distinct = tokens(text)
         for token in distinct:
             weight = known.get(token)
             if weight is None:
                 weight = known[token] = self._weight(token)
-            if weight > first:
-                first, second = weight, first
-            elif weight > second:
-                second = weight
-        return first, second, math.log1p(len(distinct))
+            if weight > floor:
+                total += weight - floor
+                if weight > first:
+                    first, second = weight, first
+                elif weight > second:
+                    second = weight
+        return first, second, math.log1p(total), math.log1p(len(distinct))
 
 
 def _scorer(key: int, model: Model) -> Scorer:
@@ -136,7 +151,7 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text",
                   label: str = "toxic") -> DataFrame:
-    """toxic, text of up to ``rows`` labelled documents that are not held out.
+    """toxic, text and calibrates of up to ``rows`` labelled documents that are not held out.
 
     An id that is labelled twice is toxic if any label says so; null ids and labels don't count.
     """
@@ -146,17 +161,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, d
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     path = scratch(docs.sparkSession, "toxicity-sample")
     # ``rows`` ids at most, so the broadcast is bounded
-    pick(docs, doc_id=doc_id, text=text).join(F.broadcast(chosen), "doc_id").select("toxic", "text").write.parquet(path)
+    pick(docs, doc_id=doc_id, text=text).join(F.broadcast(chosen), "doc_id").select(
+        "toxic", "text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HELD_BACK)) == 0).alias("calibrates")).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """window (bytes), toxic and ordinary: how many documents of each kind have it."""
+    """window (bytes, or a stem), toxic and ordinary: how many documents of each kind have it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[bytes, list[int]] = {}
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for one in {window(t) for t in tokens(text)}:
+                for one in {w for t in tokens(text) for w in (window(t), *stems(t))}:
                     counts.setdefault(one, [0, 0])[0 if toxic else 1] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), pa.binary()), pa.array([c[0] for c in counts.values()], pa.int64()),
@@ -166,6 +182,22 @@ def _windows(rows: DataFrame) -> DataFrame:
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).where(F.octet_length("window") > 2)
 
 
+def _marked(rows: DataFrame, marking: list[bytes]) -> DataFrame:
+    """window, n: the windows of toxic documents that are marking or begin with a marking stem."""
+    known = frozenset(marking)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[bytes, int] = {}
+            for text in batch.column("text").to_pylist():
+                for t in tokens(text):
+                    if window(t) in known or any(x in known for x in stems(t)):
+                        counts[window(t)] = counts.get(window(t), 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["window", "n"])
+
+    return rows.where("toxic = 1").select("text").mapInArrow(run, "window binary, n long").groupBy("window").agg(F.sum("n").alias("n"))
+
+
 def _cells(rows: DataFrame, model: Model) -> DataFrame:
     """n, o, t and how many documents of each kind have windows of the cell, window by window."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,28 +219,28 @@ def _cells(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def _features(rows: DataFrame, model: Model) -> DataFrame:
-    """first, second, size (to a quarter) and how many documents of each kind have them."""
+    """first, second, total, size (to a quarter) and how many documents of each kind have them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
             found = [scorer.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([round(4 * f[i]) / 4 for f in found], pa.float64()) for i in range(3)]
-                + [batch.column("toxic").cast(pa.int32())], ["first", "second", "size", "toxic"])
+                [pa.array([round(4 * f[i]) / 4 for f in found], pa.float64()) for i in range(4)]
+                + [batch.column("toxic").cast(pa.int32())], [*FEATURES, "toxic"])
 
-    return rows.mapInArrow(run, "first double, second double, size double, toxic int").groupBy("first", "second", "size").agg(
+    return rows.mapInArrow(run, ", ".join(f"{c} double" for c in FEATURES) + ", toxic int").groupBy(*FEATURES).agg(
         F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("ordinary"))
 
 
-def _curve(points: list) -> tuple[float, float, float, float]:
+def _curve(points: list) -> tuple[float, ...]:
     """Logistic regression on the features by Newton's steps, with a slight pull to zero."""
-    x = np.array([[1.0, p["first"], p["second"], p["size"]] for p in points])
+    x = np.array([[1.0, *(p[c] for c in FEATURES)] for p in points])
     yes, no = (np.array([float(p[k]) for p in points]) for k in ("toxic", "ordinary"))
-    beta = np.zeros(4)
+    beta = np.zeros(1 + len(FEATURES))
     for _ in range(50):
         guess = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         slope = x.T @ (yes - (yes + no) * guess) - 0.01 * beta
-        bend = (x * ((yes + no) * guess * (1 - guess))[:, None]).T @ x + 0.01 * np.eye(4)
+        bend = (x * ((yes + no) * guess * (1 - guess))[:, None]).T @ x + 0.01 * np.eye(1 + len(FEATURES))
         step = np.linalg.solve(bend, slope)
         beta += step
         if np.abs(step).max() < 1e-9:
@@ -224,23 +256,32 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
     n_ordinary = n_all - n_toxic
     if not n_toxic or not n_ordinary:
         return n_toxic / n_all if n_all else 0.0
+    made, held = sample.where("not calibrates"), sample.where("calibrates")
+    kinds = {r.toxic: r["count"] for r in held.groupBy("toxic").count().collect()}
+    if len(kinds) < 2 or not {0, 1} <= {r.toxic for r in made.select("toxic").distinct().collect()}:
+        made = held = sample  # too few documents to hold any back
     path = scratch(docs.sparkSession, "toxicity-windows")
-    _windows(sample).write.parquet(path)
+    _windows(made).write.parquet(path)
     counted = docs.sparkSession.read.parquet(path)
+    of_kind = {r.toxic: r["count"] for r in made.groupBy("toxic").count().collect()}
     marking = [bytes(r.window) for r in counted.where(
-        (F.col("toxic") >= max(LEAST_DOCUMENTS, LEAST_SHARE * n_toxic))
-        & (F.col("toxic") * n_ordinary >= LEAST_RATIO * n_toxic * (F.col("ordinary") + 1))
+        (F.col("toxic") >= max(LEAST_DOCUMENTS, LEAST_SHARE * of_kind[1]))
+        & (F.col("toxic") * of_kind[0] >= LEAST_RATIO * of_kind[1] * (F.col("ordinary") + LEAST_SEEN))
     ).orderBy(F.col("toxic").desc(), "window").limit(MARKING_WINDOWS).collect()]
-    ordinary = [bytes(r.window) for r in counted.where("ordinary > 0").orderBy(F.col("ordinary").desc(), "window").limit(ORDINARY_WINDOWS).collect()]
+    whole = F.substring("window", -1, 1) == F.lit(b" ")
+    ordinary = [bytes(r.window) for r in counted.where(F.col("ordinary") > 0).where(whole).orderBy(
+        F.col("ordinary").desc(), "window").limit(ORDINARY_WINDOWS).collect()]
     if not marking:
         return n_toxic / n_all
-    model = Model(train(ordinary, DICTIONARY_BYTES), train(marking, min(DICTIONARY_BYTES, 2 * sum(map(len, marking)) + 2048)), {}, (0, 0, 0, 0), 0.0)
+    marked = [bytes(r.window) for r in _marked(made, marking).orderBy(F.col("n").desc(), "window").limit(MARKING_WINDOWS).collect()]
+    model = Model(train(ordinary, DICTIONARY_BYTES), train(marked, min(DICTIONARY_BYTES, 2 * sum(map(len, marked)) + 2048)), {}, (0.0,) * 5, 0.0)
+    kinds = {r.toxic: r["count"] for r in held.groupBy("toxic").count().collect()}
     weights = {
-        (c.n, c.o, c.t): math.log((c.toxic + 0.3) / n_toxic / ((c.ordinary + 1.0) / n_ordinary))
-        for c in _cells(sample, model).collect()}
+        (c.n, c.o, c.t): math.log((c.toxic + 0.3) / kinds[1] / ((c.ordinary + 1.0) / kinds[0]))
+        for c in _cells(held, model).collect()}
     floor = 0.0  # what speaks for ordinary text is left out: almost every window does, a little
-    weighted = Model(model.ordinary, model.toxic, {c: w for c, w in weights.items() if w > floor}, (0, 0, 0, 0), floor)
-    points = _features(sample, weighted).collect()
+    weighted = Model(model.ordinary, model.toxic, {c: w for c, w in weights.items() if w > floor}, (0.0,) * 5, floor)
+    points = _features(held, weighted).collect()
     return Model(weighted.ordinary, weighted.toxic, weighted.weights, _curve(points), floor)
 
 
