@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from tapewatch.llm import simhash
 from tapewatch.llm.columns import Carried, pick, same
 from tapewatch.llm.components import components
-from tapewatch.session import scratch, ship_package, small_side
+from tapewatch.llm.storage import Tables
+from tapewatch.session import ship_package, small_side
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -105,20 +106,27 @@ def _ordered(df: DataFrame) -> DataFrame:
 class _Checker:
     """Compares pairs of texts by the shingles of the documents' table."""
 
-    def __init__(self, docs: DataFrame, texts: DataFrame, text: str) -> None:
-        self._docs, self._texts, self._text = docs, texts, text
+    def __init__(self, docs: DataFrame, texts: DataFrame, tables: Tables, doc_id: str, text: str) -> None:
+        self._docs, self._texts, self._tables, self._doc_id, self._text = docs, texts, tables, doc_id, text
         self._spark = docs.sparkSession
+        # of equal texts the row with the smallest id is read; only if ids repeat, too, several rows may be
+        self._repeats = not texts.where("n_first > 1").isEmpty()
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        path = scratch(self._spark, name)
-        df.write.parquet(path)
-        return self._spark.read.parquet(path)
+        return self._tables.written(df, name)
+
+    def removed(self, *frames: DataFrame) -> None:
+        self._tables.remove(*frames)
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """t, shingles (hashes, each once) of the wanted texts."""
         ship_package(self._spark)
-        rows = pick(self._docs, text=self._text).select(F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-        found = rows.join(small_side(wanted), "t", "left_semi").dropDuplicates(["t"]).select("t", F.encode("text", "UTF-8").alias("text"))
+        rows = pick(self._docs, doc_id=self._doc_id, text=self._text).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+        firsts = self._texts.select("t", F.col("first").alias("doc_id")).join(wanted, "t", "left_semi")
+        found = same(rows, small_side(firsts), ["t", "doc_id"], "left_semi")
+        if self._repeats:
+            found = found.dropDuplicates(["t"])
+        found = found.select("t", F.encode("text", "UTF-8").alias("text"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -134,13 +142,16 @@ class _Checker:
         right = sizes.select(F.col("t").alias("b"), F.col("n").alias("y"))
         alike = F.least("x", "y") >= SIMILARITY * F.greatest("x", "y") - 1e-9
         near = self.written(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"), "near-pairs")
+        given = sets
         if sets is None:
             sets = self.sets(near.select(F.col("a").alias("t")).union(near.select(F.col("b").alias("t"))).distinct())
         joined = near.join(sets.withColumnsRenamed({"t": "a", "shingles": "x"}), "a").join(
             sets.withColumnsRenamed({"t": "b", "shingles": "y"}), "b")
         common = F.size(F.array_intersect("x", "y"))
         good = joined.where((common > 0) & (common >= SIMILARITY * (F.size("x") + F.size("y") - common)))
-        return self.written(good.select("a", "b"), "similar")
+        found = self.written(good.select("a", "b"), "similar")
+        self.removed(near, *([sets] if given is None else []))
+        return found
 
 
 def _crowds(members: DataFrame, checker: _Checker, known: DataFrame, hot: int) -> DataFrame:
@@ -158,10 +169,12 @@ def _crowds(members: DataFrame, checker: _Checker, known: DataFrame, hot: int) -
         sizes = checker.written(sizes.where("n * n > within"), "crowd-sizes")
         largest, pairs = sizes.agg(F.max("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).head()
         if not largest:
+            checker.removed(sets, rooted, sizes)
             return functools.reduce(DataFrame.union, found)
         open_keys = rooted.join(sizes, "key")
         if largest < hot or pairs <= affordable:
             found.append(checker.similar(_pairs(open_keys), sets))
+            checker.removed(sets, rooted, sizes)
             return functools.reduce(DataFrame.union, found)
         # those lead that meet most others, first of texts outside the largest part of a crowd: when all of these
         # have been compared with all others, the crowd is done; one of each of n_leaders shares
@@ -174,6 +187,7 @@ def _crowds(members: DataFrame, checker: _Checker, known: DataFrame, hot: int) -
         # under a key a text is done only when it has been compared with all that it meets there
         rest = open_keys.join(leaders.withColumnRenamed("leader", "t"), ["key", "t"], "left_anti")
         members, n_leaders = checker.written(rest.select("key", "t"), "crowd"), 2 * n_leaders
+        checker.removed(rooted, sizes, leaders)
 
 
 def _pairs(members: DataFrame) -> DataFrame:
@@ -184,19 +198,21 @@ def _pairs(members: DataFrame) -> DataFrame:
     return left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y"))).select("a", "b").distinct()
 
 
-def similar_texts(docs: DataFrame, texts: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
-    """Pairs a < b of similar texts among (t, n, keys), each there once; of texts that very many
-    others are like, enough pairs to tie them all together."""
-    checker = _Checker(docs, texts, text)
-    held = texts.select("t", F.explode("keys").alias("key"))
+def similar_texts(docs: DataFrame, texts: DataFrame, held: DataFrame, tables: Tables, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """Pairs a < b of similar texts among (t, n, first, n_first) with the keys ``held`` (t, key), each there once; of texts that very many
+    others are like, enough pairs to tie them all together.  ``held`` is removed once it is used."""
+    checker = _Checker(docs, texts, tables, doc_id, text)
     # most keys are of one text alone
     shared = checker.written(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
-    meets = checker.written(held.join(small_side(shared.select("key")), "key"), "meets")
-    sizes = shared
-    few = checker.written(meets.join(sizes.where(F.col("n") < hot).select("key"), "key"), "few")
-    crowd = checker.written(meets.join(sizes.where(F.col("n") >= hot).select("key"), "key"), "crowd")
-    found = checker.similar(checker.written(_pairs(few), "candidates"))
-    return found if crowd.isEmpty() else _crowds(crowd, checker, found, hot)
+    meets = checker.written(held.join(small_side(shared), "key"), "meets")
+    checker.removed(shared, held)
+    pairs = checker.written(_pairs(meets.where(F.col("n") < hot)), "candidates")
+    crowd = meets.where(F.col("n") >= hot).select("key", "t")
+    found = checker.similar(pairs)
+    checker.removed(pairs)
+    if not crowd.isEmpty():
+        found = _crowds(crowd, checker, found, hot)
+    return found
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
@@ -206,33 +222,32 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: i
     fingerprints within two bits, or have a similarity of 0.8 in five-word shingles.  Of rows equal
     in id and text, any one stays.  Null texts are empty ones, which are one group.
     """
-    spark = docs.sparkSession
-    path = scratch(spark, "sketches")
-    sketches(docs, doc_id, text).write.parquet(path)
-    rows = spark.read.parquet(path)
-    path = scratch(spark, "texts")
-    rows.groupBy("t").agg(F.any_value("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")).write.parquet(path)
-    texts = spark.read.parquet(path)
-    path = scratch(spark, "prints")
-    texts.groupBy("fp").agg(F.min("t").alias("t")).write.parquet(path)
-    prints = spark.read.parquet(path)
-    one_print = texts.join(prints.withColumnRenamed("t", "b"), "fp").where("t != b").select(F.col("t").alias("a"), "b")
+    tables = Tables(docs.sparkSession)
+    sketched = tables.written(sketches(docs, doc_id, text), "sketches")
+    rows = tables.written(sketched.select("doc_id", "t"), "rows")
+    firsts = rows.groupBy("t", "doc_id").agg(F.count("*").alias("n_first")).groupBy("t").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n_first")).alias("f"))
+    # of equal texts, which have equal sketches, one goes on
+    one = sketched.groupBy("t").agg(F.any_value("fp").alias("fp"), F.any_value("n").alias("n"))
+    texts = tables.written(one.join(firsts, "t").select("t", "fp", "n", F.col("f.doc_id").alias("first"), "f.n_first"), "texts")
+    keyed = same(sketched, texts.select("t", F.col("first").alias("doc_id")), ["t", "doc_id"], "left_semi").select("t", F.explode("keys").alias("key"))
+    held = tables.written(keyed if texts.where("n_first > 1").isEmpty() else keyed.distinct(), "held")
+    tables.remove(sketched)
+    prints = tables.written(texts.groupBy("fp").agg(F.min("t").alias("t")), "prints")
+    one_print = texts.select("t", "fp").join(prints.withColumnRenamed("t", "b"), "fp").where("t != b").select(F.col("t").alias("a"), "b")
     by_print = (
         simhash.links(prints.select("fp"))
         .join(prints.withColumnsRenamed({"fp": "a", "t": "x"}), "a").join(prints.withColumnsRenamed({"fp": "b", "t": "y"}), "b")
         .select(F.col("x").alias("a"), F.col("y").alias("b")))
-    path = scratch(spark, "edges")
-    one_print.union(by_print).union(similar_texts(docs, texts, text, hot)).write.parquet(path)
-    roots = components(spark.read.parquet(path)).withColumnRenamed("node", "t")
+    edges = tables.written(one_print.union(by_print).union(similar_texts(docs, texts, held, tables, doc_id, text, hot)), "edges")
+    roots = components(edges).withColumnRenamed("node", "t")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
-    path = scratch(spark, "groups")
-    (rows.groupBy("doc_id", "t").agg(F.count("*").alias("n"))
-     .join(roots, "t", "left").select("doc_id", "t", "n", F.coalesce("root", "t").alias("root")).write.parquet(path))
-    grouped = spark.read.parquet(path)
+    grouped = tables.written(
+        rows.groupBy("doc_id", "t").agg(F.count("*").alias("n"))
+        .join(roots, "t", "left").select("doc_id", "t", "n", F.coalesce("root", "t").alias("root")), "groups")
     first = grouped.groupBy("root").agg(F.min(place).alias("first"))
-    path = scratch(spark, "losers")
-    grouped.join(first, "root").select("doc_id", "t", "n", (place != F.col("first")).alias("goes")).where("goes or n > 1").write.parquet(path)
-    judged = spark.read.parquet(path)
+    judged = tables.written(
+        grouped.join(first, "root").select("doc_id", "t", "n", (place != F.col("first")).alias("goes")).where("goes or n > 1"), "losers")
+    tables.remove_all_but(judged)
     table = Carried(docs)
     marked = table.df.withColumns({"doc_id": table[doc_id], "t": F.xxhash64(F.coalesce(table[text], F.lit("")))})
     # the sides are small if few documents have copies; if not, these are ordinary joins

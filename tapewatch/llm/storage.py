@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 from typing import Any
 from urllib.parse import urlsplit
 
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+
+from tapewatch.session import scratch
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -65,3 +69,30 @@ class Ranges:
         for file in self._open.values():
             file.close()
         self._open = {}
+
+
+class Tables:
+    """Intermediate tables in the shared folder that are removed as soon as all that is made of them is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self._spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        back = self._spark.read.parquet(path)
+        self._paths[id(back)] = (path, back)
+        return back
+
+    def remove(self, *frames: DataFrame) -> None:
+        """Also lets Spark's cleaner find the shuffle files of plans that nothing refers to any more."""
+        for frame in frames:
+            path, _ = self._paths.pop(id(frame))
+            folder = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        gc.collect()
+        self._spark.sparkContext._jvm.System.gc()
+
+    def remove_all_but(self, *frames: DataFrame) -> None:
+        kept = {id(f) for f in frames}
+        self.remove(*[back for i, (_, back) in list(self._paths.items()) if i not in kept])
