@@ -3,6 +3,10 @@
 Each stage takes the session, what its predecessor kept and the folder of tables, and returns a table that
 is written as Parquet and read again as the next one's documents.  All but the last return the
 columns of ``documents``; the last adds shard and slot.
+
+Null texts count as empty ones and go with the quality rules, as do all texts of under ten words.  Of equal texts and
+near copies the row with the smallest doc_id stays (null ids last); of rows equal in id and text, one.  Further
+columns are carried along under their names.  An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -38,10 +42,16 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of ``docs``, then shard and slot."""
+    """The columns of ``docs``, then shard and slot, with underscores behind if documents have columns called so."""
     rows = sharding.sharded(docs, SHARDS)
     columns = [F.col(f"row._{i}").alias(f"_{i}") for i in range(len(docs.columns))]
-    return rows.select(*columns, "shard", "slot").toDF(*docs.columns, "shard", "slot")
+    return rows.select(*columns, "shard", "slot").toDF(*docs.columns, *(_free(name, docs.columns) for name in ("shard", "slot")))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
