@@ -108,8 +108,9 @@ def scan(versions: DataFrame, ledger: str, kinds: tuple[Kind, ...] = KINDS, rule
     (find(fresh, kinds).select("blob", F.size("spans").alias("n_spans"), "spans")
      .write.mode("append").parquet(f"{ledger}/rules={rules}/run={uuid.uuid4().hex}"))
     found = read_ledger(spark, ledger).where(F.col("rules") == rules).select("blob", "n_spans", "spans")
-    # every blob of ``named`` is in the ledger by now; one without spans needs no look-up
-    some = found.where("n_spans > 0").select("blob", "spans")
+    # every blob of ``named`` is in the ledger by now; one without spans needs no look-up.  Two scans at once, or a try of one
+    # that was lost after it wrote, can leave a blob there twice, with equal spans: one of them counts.
+    some = found.where("n_spans > 0").select("blob", "spans").dropDuplicates(["blob"])
     empty = F.array().cast("array<struct<start:long,kind:int,`end`:long>>")
     return named.select("path", "blob").join(some, "blob", "left").select(
         "path", "blob", F.coalesce("spans", empty).alias("spans"))

@@ -45,7 +45,7 @@ def url_key(url: str | None) -> str:
         host, port = (parts.hostname or "").removeprefix("www."), parts.port
     except ValueError:
         return quote(url.strip(), safe="/:?#[]@!$&'()*+,;=%-._~")
-    turned = ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in (80, 443) else "")
+    turned = quote(",".join(reversed(host.split("."))), safe=",:!$&'()*+;=-._~") + (f":{port}" if port and port not in (80, 443) else "")
     rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
     return f"{turned}){quote(rest, safe="/:?[]@!$&'()*+,;=%-._~")}"
 
@@ -139,4 +139,6 @@ def look_up(keys: DataFrame, path: str, columns: str) -> DataFrame:
     arrow = pa.schema([(c.strip().split()[0], {"string": pa.string(), "long": pa.int64()}[c.strip().split()[1]])
                        for c in schema.split(",")])
     distinct = keys.select(F.col("key")).where("key is not null").distinct()
-    return distinct.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, schema)
+    # keys are few bytes but many reads: their number of tasks is not left to their size
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return distinct.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(run, schema)

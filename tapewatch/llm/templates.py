@@ -253,21 +253,30 @@ def window_filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
     return out, sizes
 
 
+def _letters(raw: str) -> set[str]:
+    """The runs of letters of a token in lower case, which can hold marks that the token itself doesn't ("İ")."""
+    low = raw.lower()
+    return {low} if low.isalpha() else set(_LETTERS.findall(low))
+
+
 def anchors(windows: DataFrame) -> dict[str, list[frozenset[str]]] | None:
-    """The words of each window under the longest of them, None if there are too many windows."""
+    """The words of each window under the longest of them, None if there are too many windows.
+
+    A window without words stands under the empty one, which every text has.
+    """
     templates = windows.where("anchor").select("template").distinct().limit(ANCHORED + 1).collect()
     if len(templates) > ANCHORED:
         return None
     found: dict[str, list[frozenset[str]]] = {}
     for row in templates:
-        words = frozenset(w.lower() for t in row.template.split(" ") if _LETTERS.fullmatch(w := t.removeprefix("=")))
-        found.setdefault(max(words, key=lambda w: (len(w), w)), []).append(words)
+        words = frozenset(w for t in row.template.split(" ") if not t.startswith("<") for w in _letters(t.removeprefix("=")))
+        found.setdefault(max(words, key=lambda w: (len(w), w), default=""), []).append(words)
     return found
 
 
 def may_hold(text: str, anchored: dict[str, list[frozenset[str]]]) -> bool:
     """Whether a text has all words of some window."""
-    words = {w.lower() for w in set(_LETTERS.findall(text))}
+    words = {"", *(w for raw in set(_LETTERS.findall(text)) for w in _letters(raw))}
     return any(needed <= words for anchor in words & anchored.keys() for needed in anchored[anchor])
 
 

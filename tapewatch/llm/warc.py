@@ -172,6 +172,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives, one after the other, as RECORD; one task reads whole files."""
     ship_package(spark)
     files = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("file").distinct()
+    # a list of names is few bytes, which Spark would put into one task: each archive gets its own
+    files = files.repartition(max(1, files.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
