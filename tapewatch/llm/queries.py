@@ -115,7 +115,10 @@ from stats
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     columns, rows = mixing.replicated(docs)
-    return rows.select(columns["doc_id"].alias("doc_id"), columns["source"].alias("source"), "n_copies", "copy", "order_key")
+    # the digest is taken of what has come through the shuffle: whole documents, as in the pipeline
+    return rows.select(
+        columns["doc_id"].alias("doc_id"), columns["source"].alias("source"), "n_copies", "copy", "order_key",
+        F.md5(F.coalesce(columns["text"], F.lit(""))).alias("text_md5"))
 
 
 ORACLE["op5_mixing"] = f"""
@@ -138,7 +141,7 @@ u as (
     from d join (select source, unnest(range(parts)) as j from p) x on d.source is not distinct from x.source),
 n as (
     select row, count(*)::int as n_copies from u join c on u.source is not distinct from c.source where cumulated <= u group by row)
-select doc_id, source, n_copies, copy::int as copy, md5('order {mixing.SEED}:' || coalesce(doc_id::varchar, '') || ':' || t || ':' || copy) as order_key
+select doc_id, source, n_copies, copy::int as copy, md5('order {mixing.SEED}:' || coalesce(doc_id::varchar, '') || ':' || t || ':' || copy) as order_key, t as text_md5
 from (select doc_id, source, t, n_copies, unnest(range(1, n_copies + 1)) as copy from d join n using (row))
 """
 
