@@ -37,7 +37,7 @@ def ingest(bodies: DataFrame, path: str, interval: int | None = None):
 def drop_repeats(stream: DataFrame, key: str = "dedup_id", time: str = "ts", within: str = DEDUP_INTERVAL) -> DataFrame:
     """One row per id within the interval.
 
-    Rows more than the interval behind the newest of earlier batches are left out, repeats or not.
+    Rows more than the interval behind the newest of earlier batches are left out, repeats or not; ``run.left_out`` tells how many.
     """
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
 
@@ -61,17 +61,20 @@ def fresh(latest: DataFrame, seconds: int = FRESH_SECONDS) -> DataFrame:
     return latest.filter(newest - F.unix_micros("ts") < seconds * 1_000_000)
 
 
-def advance_latest(batch: DataFrame, path: str, batch_id: int, seconds: int = FRESH_SECONDS) -> DataFrame:
-    """The latest row per symbol after this micro-batch, kept under ``state``.
+def advance_latest(batch: DataFrame, path: str, batch_id: int, wanted: list[str], seconds: int = FRESH_SECONDS) -> DataFrame:
+    """The latest rows of the wanted symbols (in upper case) after this micro-batch, kept under ``state``.
 
-    Symbols that fell ``seconds`` behind the newest row are forgotten, so the state is as large as
-    what is in use; it is read from the batch before and written once.  Rows of a batch may be out of order.
+    The newest row of all stays as well, since it tells which rows are ``seconds`` old and forgotten.  So the state is as
+    large as the request, whatever the number of symbols (``state.keep_latest`` keeps them all); it is read from the batch
+    before and written once.  Rows of a batch may be out of order.
     """
     spark = batch.sparkSession
     now = batch.withColumn("symbol", F.upper("symbol"))
     before = kept_before(spark, path, "state", batch_id, now.schema)
     together = latest_row(before.unionByName(now)).select(*now.columns).persist()
-    fresh(together, seconds).write.mode("overwrite").parquet(batch_folder(path, "state", batch_id))
+    newest = together.agg(F.max(F.unix_micros("ts"))).scalar()
+    kept = fresh(together, seconds).filter(F.col("symbol").isin(wanted) | (F.unix_micros("ts") == newest))
+    kept.write.mode("overwrite").parquet(batch_folder(path, "state", batch_id))
     together.unpersist()
     if batch_id > 1:
         forget(spark, path, "state", batch_id - 2)
@@ -95,7 +98,7 @@ def score_on_interval(
     wanted = requested(symbols)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        state = advance_latest(batch, path, batch_id, seconds)
+        state = advance_latest(batch, path, batch_id, [s.upper() for s in wanted], seconds)
         asked = state.sparkSession.createDataFrame([(s, s.upper()) for s in wanted], "asked string, symbol string")
         known = state.join(F.broadcast(asked), "symbol").withColumn("symbol", F.col("asked")).drop("asked")
         good = known.filter(is_priced(known.columns))

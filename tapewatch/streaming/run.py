@@ -86,3 +86,11 @@ def forget(spark: SparkSession, path: str, name: str, batch_id: int) -> None:
 def finish(started) -> None:
     """Wait until an available-now stream has taken everything."""
     started.awaitTermination()
+
+
+def left_out(started) -> int:
+    """Rows that a stream's stateful operators have left out as too late, over the micro-batches Spark remembers.
+
+    Spark remembers ``spark.sql.streaming.numRecentProgressUpdates`` of them; a listener hears of all.
+    """
+    return sum(op["numRowsDroppedByWatermark"] for progress in started.recentProgress for op in progress["stateOperators"])

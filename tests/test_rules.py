@@ -107,3 +107,18 @@ def test_zero_prices_do_not_raise(spark):
 def test_missing_feature_column_fails_at_plan_time(spark):
     with pytest.raises(ValueError, match="Gap"):
         ft.feature_vector(spark.createDataFrame([dict(zip(FEATURES, DEMO))]).drop("Gap"))
+
+
+def test_features_by_mode_read_the_bars_once(spark, bars):
+    from tapewatch.operators.single_point import features_by_mode
+    from tapewatch.session import scratch
+
+    made = bars({"A": [10.0 + i % 5 for i in range(40)], "B": [7.0], "C": [3.0, float("nan")]}).withColumn("previous_close", F.lit(6.5))
+    path = scratch(spark, "bars")
+    made.write.parquet(path)
+    for batch, mode in ((True, "enhanced"), (False, "simple")):
+        found = features_by_mode(spark.read.parquet(path), batch, 1000)
+        assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+        rows = {r.symbol: r for r in found.collect()}
+        assert {s: (r.points, r["mode"]) for s, r in rows.items()} == {"A": (40, "full"), "B": (1, mode), "C": (1, mode)}
+        assert round(rows["B"].Price_Change, 6) == round(0.5 / 6.5, 6) and rows["A"].RSI is not None
