@@ -80,18 +80,23 @@ class Tables:
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch(self._spark, name)
         df.write.option("compression", "zstd").parquet(path)
+        del df
+        self._settle()
         back = self._spark.read.parquet(path)
         self._paths[id(back)] = (path, back)
         return back
 
+    def _settle(self) -> None:
+        """Let Spark's cleaner find the shuffle files of plans that nothing refers to any more; it looks for them after collections only."""
+        gc.collect()
+        self._spark.sparkContext._jvm.System.gc()
+
     def remove(self, *frames: DataFrame) -> None:
-        """Also lets Spark's cleaner find the shuffle files of plans that nothing refers to any more."""
         for frame in frames:
             path, _ = self._paths.pop(id(frame))
             folder = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-        gc.collect()
-        self._spark.sparkContext._jvm.System.gc()
+        self._settle()
 
     def remove_all_but(self, *frames: DataFrame) -> None:
         kept = {id(f) for f in frames}
