@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.errors import AnalysisException
 
 from tapewatch.llm.columns import bind, pick
+from tapewatch.session import scratch
 
 
 @dataclass(frozen=True)
@@ -110,7 +111,10 @@ def scan(versions: DataFrame, ledger: str, kinds: tuple[Kind, ...] = KINDS, rule
     found = read_ledger(spark, ledger).where(F.col("rules") == rules).select("blob", "n_spans", "spans")
     # every blob of ``named`` is in the ledger by now; one without spans needs no look-up.  Two scans at once, or a try of one
     # that was lost after it wrote, can leave a blob there twice, with equal spans: one of them counts.
-    some = found.where("n_spans > 0").select("blob", "spans").dropDuplicates(["blob"])
+    # Written first, so that the join below is a plain one, in which Spark can split a blob that very many paths have.
+    once = scratch(spark, "ledger-found")
+    found.where("n_spans > 0").select("blob", "spans").dropDuplicates(["blob"]).write.parquet(once)
+    some = spark.read.parquet(once)
     empty = F.array().cast("array<struct<start:long,kind:int,`end`:long>>")
     return named.select("path", "blob").join(some, "blob", "left").select(
         "path", "blob", F.coalesce("spans", empty).alias("spans"))
