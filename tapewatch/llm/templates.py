@@ -276,7 +276,10 @@ def anchors(windows: DataFrame) -> dict[str, list[frozenset[str]]] | None:
 
 def may_hold(text: str, anchored: dict[str, list[frozenset[str]]]) -> bool:
     """Whether a text has all words of some window."""
-    words = {"", *(w for raw in set(_LETTERS.findall(text)) for w in _letters(raw))}
+    words = {w.lower() for w in set(_LETTERS.findall(text))}
+    if not all(map(str.isalpha, words)):
+        words = {w for raw in set(_LETTERS.findall(text)) for w in _letters(raw)}
+    words.add("")
     return any(needed <= words for anchor in words & anchored.keys() for needed in anchored[anchor])
 
 
