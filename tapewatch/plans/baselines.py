@@ -40,10 +40,13 @@ def fit_components(rows: DataFrame, label: str = "Target", features: tuple[str,
     return Pipeline(stages=[*_scaled(features), PCA(k=k, inputCol="_x", outputCol="_projected")]).fit(normal)
 
 
-def fit_classifier(rows: DataFrame, weight: float, label: str = "Target", features: tuple[str, ...] = FEATURES) -> PipelineModel:
-    """Logistic regression in which suspicious rows weigh ``weight`` times as much as others."""
+def fit_classifier(rows: DataFrame, weight: float | None, label: str = "Target", features: tuple[str, ...] = FEATURES) -> PipelineModel:
+    """Logistic regression in which suspicious rows weigh ``weight`` times as much as others.
+
+    Of rows that are all of one class the weight is unknown or zero; they weigh alike, and every row gets that class.
+    """
     weighted = rows.select(
-        *features, F.col(label).cast("double").alias("_label"), F.when(F.col(label) == 1, float(weight)).otherwise(1.0).alias("_weight"))
+        *features, F.col(label).cast("double").alias("_label"), F.when(F.col(label) == 1, float(weight or 1.0)).otherwise(1.0).alias("_weight"))
     learner = LogisticRegression(
         featuresCol="_x", labelCol="_label", weightCol="_weight", predictionCol="_called", probabilityCol="_probability",
         rawPredictionCol="_raw", maxIter=100, regParam=1e-3, standardization=False)

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
+from tapewatch.operators import metrics as mt
 from tapewatch.plans import baselines as bl
+from tapewatch.registry.stream_queries import _learned
 from tapewatch.schema import FEATURES
 from tapewatch.session import scratch
 
@@ -48,3 +50,16 @@ def test_saved_pipelines_score_alike(spark, rows):
     bl.save(other, path)
     with pytest.raises(ValueError, match="other features"):
         bl.load(path)
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_rows_of_one_class(spark, rows, label):
+    one = rows.filter(rows["Target"] == label)
+    weight = mt.class_weight(one, "Target").first()[0]
+    assert not weight
+    path = scratch(spark, "one-class")
+    bl.save(bl.Baselines(bl.fit_components(rows), bl.fit_classifier(one, weight)), path)
+    found = bl.with_probability(one, bl.load(path).classifier).selectExpr("'train' as part", "Target as y", "classifier_probability")
+    assert [tuple(r) for r in found.select("classifier_probability").distinct().collect()] == [(float(label),)]
+    n = one.count()
+    assert [tuple(r) for r in _learned(found, "classifier_probability", 0.85).collect()] == [("train", n, n * label, True)]
