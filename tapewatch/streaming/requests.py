@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tapewatch.operators.lookups import FRESH_SECONDS
 from tapewatch.operators.scaling import Scaler
@@ -22,17 +22,31 @@ def requests_as_of(requests: DataFrame, bars: DataFrame, max_age: int = FRESH_SE
     ``delay`` seconds; a request is answered once both have come so far that no bar for it can follow.  What is
     kept are the requests not yet answered and the bars of ``max_age`` and ``delay`` seconds.  A repeated
     request, equal in all three columns, is answered once.
+
+    Time is cut into slots of ``max_age`` seconds, so a request's bars lie in its own slot or the one before; each bar is
+    joined in its own and the next.  So rows meet those of their symbol's slot only, however long the streams are, and the slots
+    of one symbol are spread over tasks.
     """
     use_rocksdb(bars.sparkSession)
-    asked = requests.select("request_id", "symbol", "request_ts", F.upper("symbol").alias("_key")).withWatermark("request_ts", f"{delay} seconds")
-    seen = bars.select(F.upper("symbol").alias("_bar_key"), F.col("ts").alias("_bar_ts"), F.struct(
-        "ts", "seq", *[c for c in bars.columns if c not in ("symbol", "ts", "seq")]).alias("bar")).withWatermark("_bar_ts", f"{delay} seconds")
-    near = F.expr(f"_key = _bar_key and _bar_ts <= request_ts and _bar_ts > request_ts - interval {max_age} seconds")
+    asked = requests.select(
+        "request_id", "symbol", "request_ts", F.upper("symbol").alias("_key"), _slot("request_ts", max_age).alias("_slot"),
+    ).withWatermark("request_ts", f"{delay} seconds")
+    slot = _slot("ts", max_age)
+    seen = bars.select(
+        F.upper("symbol").alias("_bar_key"), F.col("ts").alias("_bar_ts"), F.explode(F.array(slot, slot + 1)).alias("_bar_slot"),
+        F.struct("ts", "seq", *[c for c in bars.columns if c not in ("symbol", "ts", "seq")]).alias("bar"),
+    ).withWatermark("_bar_ts", f"{delay} seconds")
+    near = F.expr(f"_key = _bar_key and _slot = _bar_slot and _bar_ts <= request_ts and _bar_ts > request_ts - interval {max_age} seconds")
     # the join gives every bar of the interval, of which the last one is taken as soon as the watermark has passed the request
     return asked.join(seen, near, "leftOuter").groupBy("request_id", "symbol", "request_ts").agg(
         F.max_by("bar", F.struct(F.col("bar.ts"), F.col("bar.seq"))).alias("bar"))
 
 
+def _slot(time: str, seconds: int) -> Column:
+    """Number of the span of ``seconds`` that a time lies in, in whole numbers throughout."""
+    return F.expr(f"(unix_micros({time}) - pmod(unix_micros({time}), {seconds * 1_000_000}L)) div {seconds * 1_000_000}L")
+
+
 def answer_requests(
     requests: DataFrame, bars: DataFrame, scaler: Scaler, path: str,
     max_age: int = FRESH_SECONDS, delay: int = DELAY, interval: int | None = None,
