@@ -67,10 +67,14 @@ def carried(df: DataFrame, keys: list[str], order: list[str], value: str, rows_p
 
     A prefix scan in two levels: over the rows of each range piece, then over the pieces of each key, of which
     there is one row per key and piece that it lies in.  Only the first key of a piece can have begun before it, so
-    what is carried is at most one row per piece.
+    what is carried is at most one row per piece.  A task sorts many pieces: each one of its own would cost the driver
+    a share of the sample and a result.
     """
-    pieces = -(-df.count() // rows_per_piece)
-    spread = placed(df, keys + order, pieces if pieces > 1 else None)
+    rows = df.count()
+    tasks = max(-(-rows // ROWS_PER_TASK), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pieces = -(-rows // rows_per_piece)
+    place = F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))
+    spread = placed(df, keys + order, min(pieces, tasks) if pieces > 1 else None).withColumn("_part", F.col("_pos") - place % rows_per_piece)
     so_far = Window.partitionBy("_part", *keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     within = spread.withColumn("_last", F.last(value, ignorenulls=True).over(so_far))
     ends = spread.filter(F.col(value).isNotNull()).groupBy(*keys, "_part").agg(F.max_by(value, "_pos").alias("_end"))

@@ -15,3 +15,21 @@ def test_requests_meet_bars_of_their_slot_only(spark):
     asked = rate.selectExpr("value as request_id", "'A' as symbol", "timestamp as request_ts")
     bars = rate.selectExpr("'A' as symbol", "timestamp as ts", "0L as seq", "1.0 as close")
     assert "_slot" in rq.requests_as_of(asked, bars)._jdf.queryExecution().analyzed().toString()
+
+
+def test_small_pieces_share_tasks(spark, monkeypatch):
+    asked, placed = [], lk.placed
+
+    def noted(df, order, pieces=None):
+        asked.append(pieces)
+        return placed(df, order, pieces)
+
+    monkeypatch.setattr(lk, "placed", noted)
+    rows = spark.range(200).select(
+        (F.col("id") % 3).cast("string").alias("k"), "id", F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"))
+    found = {(r.k, r.id): r.v for r in lk.carried(rows, ["k"], ["id"], "v", 5).collect()}
+    last = {}
+    for i in range(200):
+        last[i % 3] = i if i % 7 == 0 else last.get(i % 3)
+        assert found[str(i % 3), i] == last[i % 3]
+    assert asked == [4] and len(found) == 200
