@@ -20,6 +20,8 @@ from tapewatch.session import cut, small_side
 # double can tell within one such block, so it is the halo, too, where none is asked for.
 BLOCK = 1024
 ROWS_PER_TASK = 4096 * BLOCK
+# Rows that one task takes through windows over many keys: sorts and windows in a row hold all of them at once.
+WINDOW_ROWS = 256 * BLOCK
 # One bar per symbol and calendar day, over every year a timestamp can express.
 DAILY_ROWS = 366 * 9999
 
@@ -87,19 +89,30 @@ def lay_out(
     """
     if only_priced:
         bars = priced(bars)
+    rows = 0
     if max_rows is None:
         counted = bars.groupBy("symbol").agg(F.count("*").alias("n"))
-        max_rows = counted.agg(F.max("n")).first()[0] or 0
+        max_rows, rows = (n or 0 for n in counted.agg(F.max("n"), F.sum("n")).first())
     if max_rows <= rows_per_task:
         order = Window.partitionBy("symbol").orderBy("ts", "seq")
-        frame = bars.withColumn("rn", F.row_number().over(order).cast("long"))
+        frame = dealt(bars, ["symbol"], rows).withColumn("rn", F.row_number().over(order).cast("long"))
         return Series(frame, ("symbol",), ("ts", "seq"), False)
-    return _chunked(bars, rows_per_task, halo)
+    return _chunked(bars, rows or bars.count(), rows_per_task, halo)
 
 
-def _chunked(bars: DataFrame, rows_per_chunk: int, halo: int) -> Series:
+def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df``, known to have ``rows`` rows, by keys over so many tasks that each has some ``WINDOW_ROWS`` of them.
+
+    Left to itself Spark merges tasks by the bytes they read, which are few beside what windows hold of them.
+    """
+    tasks = -(-rows // WINDOW_ROWS)
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), *keys) if tasks > 1 else df
+
+
+def _chunked(bars: DataFrame, rows: int, rows_per_chunk: int, halo: int) -> Series:
     if rows_per_chunk % BLOCK or halo % BLOCK or not 0 < halo < rows_per_chunk:
         raise ValueError(f"rows_per_task and halo must be multiples of {BLOCK}, the halo the smaller one")
+    copied = rows + rows * halo // rows_per_chunk
     numbered = number_by_sort(bars, ["symbol"], ["ts", "seq"])
     place = F.col("rn") - 1
     home = F.floor(place / rows_per_chunk)
@@ -111,6 +124,7 @@ def _chunked(bars: DataFrame, rows_per_chunk: int, halo: int) -> Series:
         .withColumn("halo", F.col("chunk") != F.col("home"))
         .drop("home")
     )
+    frame = dealt(frame, ["symbol", "chunk"], copied)
     return Series(frame, ("symbol", "chunk"), ("rn",), True, halo)
 
 

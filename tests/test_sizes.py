@@ -43,3 +43,16 @@ def test_a_part_is_one_micro_batch(spark, tmp_path, monkeypatch):
     sq._mixed_up(spark, str(tmp_path), "parts")
     files = sorted(p.parent.name for p in tmp_path.glob("parts/*/*.parquet"))
     assert files == ["0", "1", "2", "3"] and spark.read.parquet(f"{tmp_path}/parts/*").count() == 400
+
+
+@pytest.mark.parametrize("chunked", [False, True])
+def test_windows_take_a_bounded_number_of_rows(spark, monkeypatch, chunked):
+    ticks = spark.range(6000).select(F.lit("A").alias("symbol"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"), F.col("id").cast("double").alias("close"))
+    want = {(r.seq, r.rn) for r in sr.lay_out(ticks).rows().collect()}
+    monkeypatch.setattr(sr, "WINDOW_ROWS", 1000)
+    laid = sr.lay_out(ticks, rows_per_task=2048 if chunked else sr.ROWS_PER_TASK, halo=1024)
+    assert {(r.seq, r.rn) for r in laid.rows().collect()} == want
+    # 6000 rows, and in chunks about 9000 with their copies
+    tasks = 9 if chunked else 6
+    assert "RepartitionByExpression" in laid.frame._jdf.queryExecution().analyzed().toString()
+    assert f", {tasks}" in "".join(x for x in laid.frame._jdf.queryExecution().analyzed().toString().splitlines() if "RepartitionByExpression" in x)
