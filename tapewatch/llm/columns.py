@@ -52,3 +52,35 @@ def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner")
     other = right.withColumnsRenamed({k: f"{k}__r" for k in keys})
     on = functools.reduce(Column.__and__, (left[k].eqNullSafe(other[f"{k}__r"]) for k in keys))
     return left.join(other, on, how).drop(*(f"{k}__r" for k in keys))
+
+
+# Bits for each key of a filter, the most bits it has, and those in a row of its table, which Spark fixes.
+BITS_PER_KEY, MOST_BITS, ROW_BITS = 16, 1 << 28, 1 << 15
+
+
+class Filter:
+    """Bits for the hashes ``key`` (long) of a table's rows, in a broadcast of bounded size: no row of an equal key is passed over."""
+
+    def __init__(self, df: DataFrame, key: Column) -> None:
+        bits = ROW_BITS
+        while bits < min(MOST_BITS, BITS_PER_KEY * df.count()):
+            bits *= 2
+        self._bits = bits
+        # dealt by row before they are combined, so that no task holds all rows
+        places = df.select(self._place(key).alias("place")).select(self._row().alias("filter_row"), F.pmod("place", F.lit(ROW_BITS)).alias("at"))
+        self._table = places.repartition("filter_row").groupBy("filter_row").agg(F.bitmap_construct_agg("at").alias("filter_bits"))
+
+    def _place(self, key: Column) -> Column:
+        return F.pmod(key, F.lit(self._bits))
+
+    @staticmethod
+    def _row() -> Column:
+        return F.shiftright("place", ROW_BITS.bit_length() - 1)
+
+    def mark(self, df: DataFrame, key: Column) -> DataFrame:
+        """``df`` with ``marked``: True for rows whose key the table has, and a few others."""
+        placed = df.withColumn("place", self._place(key)).withColumn("filter_row", self._row())
+        at = F.pmod("place", F.lit(ROW_BITS)).cast("int")
+        byte = F.conv(F.hex(F.substring(F.col("filter_bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        found = F.getbit(F.coalesce(byte, F.lit(0)), at.bitwiseAND(F.lit(7))) == 1
+        return placed.join(F.broadcast(self._table), "filter_row", "left").withColumn("marked", found).drop("place", "filter_row", "filter_bits")

@@ -7,17 +7,19 @@ lines inside; a chunk between two minima has two lines at least.  Chunks of seve
 single lines of ``LONG_LINE_WORDS`` words or more (which are chunks of their own), that occur
 more than once anywhere are removed except for their first occurrence.
 
-Work at scale: hashes alone are counted first, with partial sums in each task; the texts of
-chunks whose hash repeats are fetched then, and grouped by their bytes, so two texts
-with one hash are never taken for copies.
+Work at scale: hashes alone are counted first, with partial sums in each task.  The texts of chunks whose hash
+may repeat, by a filter of bounded size, are grouped by their bytes then, copies within a task
+first.  A hash that turns out to have one text alone tells its places; where it has several, chunks are
+joined by their bytes.  So two texts with one hash are never taken for copies.  Whole documents are shuffled only
+if they lose something.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tapewatch.llm.columns import SPACE, Carried, bind, pick, same
-from tapewatch.session import BROADCAST_ROWS, scratch, small_side
+from tapewatch.llm.columns import SPACE, Carried, Filter, bind, pick, same
+from tapewatch.session import scratch
 
 LONG_LINE_WORDS = 50
 FACTOR = 1_048_573  # of the rolling hash
@@ -65,9 +67,15 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("t"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
 
 
-def _of(rows: DataFrame, some: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows that ``some`` names, without a shuffle if those are few."""
-    return same(rows, small_side(some.select(*ROW)), ROW, how)
+def _key(chunk: Column) -> Column:
+    """The hash by which chunks are counted; texts may share it."""
+    return F.xxhash64(chunk)
+
+
+def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_line: int = LONG_LINE_WORDS) -> DataFrame:
@@ -78,26 +86,26 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_li
     """
     spark = docs.sparkSession
     rows, chunks = _rows(docs, doc_id, text), with_chunks(F.col("lines"), long_line)
-    exploded = rows.select(*ROW, F.posexplode(chunks).alias("k", "c")).where("c.counts")
+    exploded = rows.select(*ROW, F.posexplode(chunks).alias("k", "c")).where("c.counts").select(
+        *ROW, "k", _key(F.col("c.text")).alias("h"), F.col("c.text").alias("chunk"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "k")
-    hashes = exploded.select(*ROW, "k", F.xxhash64("c.text").alias("h"))
-    path = scratch(spark, "chunk-hashes")
-    hashes.write.parquet(path)
-    hashes = spark.read.parquet(path)
-    seen = hashes.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h")
-    path = scratch(spark, "chunks-wanted")
-    hashes.join(seen, "h").groupBy(*ROW).agg(F.collect_set("k").alias("ks")).write.parquet(path)
-    wanted = spark.read.parquet(path)
-
-    # The texts of those chunks alone go on, to be compared byte by byte.
-    texts = same(_of(rows, wanted), wanted, ROW).select(*ROW, "ks", F.posexplode(chunks).alias("k", "c")).where(
-        F.array_contains("ks", F.col("k")))
-    path = scratch(spark, "chunk-texts")
-    texts.select(*ROW, "k", F.col("c.text").alias("chunk")).write.parquet(path)
-    texts = spark.read.parquet(path)
-    groups = texts.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
-    later = texts.join(groups.select("chunk", "first"), "chunk").where(place != F.col("first"))
-    return later.groupBy(*ROW).agg(F.collect_set("k").alias("gone"))
+    ends = (F.min(place).alias("first"), F.max(place).alias("last"))
+    hashes = _written(spark, exploded.select(*ROW, "k", "h"), "chunk-hashes")
+    seen = _written(spark, hashes.groupBy("h").agg(*ends).where("first != last").select("h"), "chunks-seen")
+
+    # The texts of those chunks, and a few others, are compared byte by byte.
+    passed = Filter(seen, F.col("h")).mark(exploded, F.col("h")).where("marked")
+    texts = passed.groupBy("h", "chunk").agg(*ends).select("h", "first", "last")
+    found = _written(spark, texts.groupBy("h").agg(
+        F.count("*").alias("n_texts"), F.min("first").alias("first"), F.max("last").alias("last")).where("first != last"), "chunks-compared")
+    # a hash of one text stands for it
+    later = hashes.join(found.where("n_texts = 1").select("h", "first"), "h").where(place != F.col("first")).select(*ROW, "k")
+    several = found.where("n_texts > 1").select("h")
+    if not several.isEmpty():
+        mixed = _written(spark, exploded.join(several, "h").select(*ROW, "k", "chunk"), "chunk-texts")
+        firsts = _written(spark, mixed.groupBy("chunk").agg(*ends).where("first != last").select("chunk", "first"), "chunk-firsts")
+        later = later.union(mixed.join(firsts, "chunk").where(place != F.col("first")).select(*ROW, "k"))
+    return _written(spark, later, "chunks-later").groupBy(*ROW).agg(F.collect_set("k").alias("gone"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -111,14 +119,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     table = Carried(docs)
     gone = repeats(docs, doc_id, text, long_line)
     full = table.df.withColumns({"doc_id": table[doc_id], "t": F.xxhash64(table[text])})
-    path = scratch(docs.sparkSession, "chunks-gone")
-    gone.write.parquet(path)
-    gone = docs.sparkSession.read.parquet(path)
-    if gone.count() <= BROADCAST_ROWS:  # rows that lose nothing needn't be shuffled
-        untouched = _of(full, gone, "left_anti").withColumn("gone", F.lit(None).cast("array<int>"))
-        joined = same(_of(full, gone), gone, ROW).unionByName(untouched)
-    else:
-        joined = same(full, gone, ROW, "left")
+    gone = _written(docs.sparkSession, gone, "chunks-gone")
+    # rows that lose nothing needn't be shuffled
+    marked = Filter(gone, F.xxhash64(*ROW)).mark(full, F.xxhash64(*ROW))
+    untouched = marked.where("not marked").withColumn("gone", F.lit(None).cast("array<int>"))
+    joined = same(marked.where("marked"), gone, ROW, "left").unionByName(untouched)
     lines = joined.withColumn("lines", F.split(table[text], "\n"))
     parts = lines.withColumn("chunks", F.when(F.col("gone").isNotNull(), with_chunks(F.col("lines"), long_line)))
     kept = F.filter("chunks", lambda c, k: ~F.array_contains("gone", k))
