@@ -5,7 +5,9 @@ fingerprint, too many for small Hamming balls.  So candidates come from the shin
 shingles have one order, and of n shingles a text has the first n // 5 + 1 as its keys (a prefix): of
 two texts that share 0.8 of their shingles, both have the first one they share among their
 keys, so they meet, whatever the edit was, appended and cut parts included.  Any order does; shingles that are frequent in a sample come
-last, so boilerplate is rarely a key.  Pairs that meet and are not too different in size are compared by all their shingles.
+last, so boilerplate is rarely a key.  Pairs that meet and are not too different in size are compared by signatures first, the
+parities of how many shingles fall on each of some bits: two texts have at least as many shingles that they don't share as there are bits
+in which their signatures differ.  So that passes over no similar pair, and only those left are compared by all their shingles.
 
 Where many texts meet, not all their pairs are compared.  All are compared with ``LEADERS`` of them, those that
 meet most others, as the original of many copies does, and then with twice as many, and so on.  Texts that are tied together by then, if by
@@ -42,6 +44,25 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(simhash.shingle_hashes(text, WORDS))
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """Bits, a power of two and as many as shingles at least, each telling whether an odd number of shingles falls on it."""
+    width = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(x: int, y: int, one: bytes, other: bytes) -> bool:
+    """Whether texts of x and y shingles with these signatures may be similar; True for all that are."""
+    a, b = np.frombuffer(one, dtype="<u8"), np.frombuffer(other, dtype="<u8")
+    while len(a) != len(b):  # the longer one is folded: what falls on both halves' bits falls on one
+        if len(a) > len(b):
+            a = a[:len(a) // 2] ^ a[len(a) // 2:]
+        else:
+            b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    most_common = (x + y - int(np.bitwise_count(a ^ b).sum())) // 2
+    return most_common >= SIMILARITY * (x + y - most_common) - 1e-9
+
+
 def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, in order, and counts of shingles that several texts of a sample share.
 
@@ -75,7 +96,7 @@ def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, t (hash of the text), fp, n (shingles), keys of each row; a null text is empty."""
+    """doc_id, t (hash of the text), fp, n (shingles), sig (signature), keys of each row; a null text is empty."""
     ship_package(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text))
     rows = pick(docs, doc_id=doc_id, text=text).select(
@@ -84,19 +105,21 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shipped.value
         for batch in batches:
-            prints, sizes, keys = [], [], []
+            prints, sizes, sigs, keys = [], [], [], []
             for text in batch.column("text"):
                 text = text.as_py()
                 shingles = shingle_set(text)
                 prints.append(simhash.fingerprint(text))
                 sizes.append(len(shingles))
+                sigs.append(signature(shingles))
                 keys.append(prefix(shingles, frequent).view("<i8"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("t"), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "t", "fp", "n", "keys"])
+                [batch.column("doc_id"), batch.column("t"), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()),
+                 pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "t", "fp", "n", "sig", "keys"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, t long, fp long, n int, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, t long, fp long, n int, sig binary, keys array<long>")
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -135,29 +158,36 @@ class _Checker:
 
         return self.written(found.mapInArrow(run, "t long, shingles array<long>"), "shingles")
 
-    def similar(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-        """Those of the distinct pairs a < b that are similar; ``sets`` has the shingles of their texts, if known."""
-        sizes = self._texts.select("t", "n")
-        left = sizes.select(F.col("t").alias("a"), F.col("n").alias("x"))
-        right = sizes.select(F.col("t").alias("b"), F.col("n").alias("y"))
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """Those of the distinct pairs a < b that are similar."""
+        sizes, signs = self._texts.select("t", "n"), self._texts.select("t", "sig")
         alike = F.least("x", "y") >= SIMILARITY * F.greatest("x", "y") - 1e-9
-        near = self.written(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"), "near-pairs")
-        given = sets
-        if sets is None:
-            sets = self.sets(near.select(F.col("a").alias("t")).union(near.select(F.col("b").alias("t"))).distinct())
+        sized = self.written(
+            pairs.join(sizes.toDF("a", "x"), "a").join(sizes.toDF("b", "y"), "b").where(alike).select("a", "b", "x", "y"), "sized-pairs")
+        signed = sized.join(signs.toDF("a", "u"), "a").join(signs.toDF("b", "v"), "b")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = (batch.column(c).to_pylist() for c in ("x", "y", "u", "v"))
+                passed = [may_be_similar(*row) for row in zip(*columns, strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(passed, pa.bool_()))
+
+        near = self.written(signed.select("a", "b", "x", "y", "u", "v").mapInArrow(run, "a long, b long"), "near-pairs")
+        self.removed(sized)
+        # the shingles of the texts of those pairs alone go on
+        sets = self.sets(near.select(F.col("a").alias("t")).union(near.select(F.col("b").alias("t"))).distinct())
         joined = near.join(sets.withColumnsRenamed({"t": "a", "shingles": "x"}), "a").join(
             sets.withColumnsRenamed({"t": "b", "shingles": "y"}), "b")
         common = F.size(F.array_intersect("x", "y"))
         good = joined.where((common > 0) & (common >= SIMILARITY * (F.size("x") + F.size("y") - common)))
         found = self.written(good.select("a", "b"), "similar")
-        self.removed(near, *([sets] if given is None else []))
+        self.removed(near, sets)
         return found
 
 
 def _crowds(members: DataFrame, checker: _Checker, known: DataFrame, hot: int) -> DataFrame:
     """Similar pairs from the rows (key, t) of frequent keys, as many as tie together all that are similar;
     ``known`` are similar pairs found before."""
-    sets = checker.sets(members.select("t").distinct())
     affordable, found, n_leaders = LEADERS * members.count(), [known], LEADERS
     while True:
         # texts tied together already need no comparing with each other; each tied or leading text stays for the rest
@@ -169,12 +199,12 @@ def _crowds(members: DataFrame, checker: _Checker, known: DataFrame, hot: int) -
         sizes = checker.written(sizes.where("n * n > within"), "crowd-sizes")
         largest, pairs = sizes.agg(F.max("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).head()
         if not largest:
-            checker.removed(sets, rooted, sizes)
+            checker.removed(rooted, sizes)
             return functools.reduce(DataFrame.union, found)
         open_keys = rooted.join(sizes, "key")
         if largest < hot or pairs <= affordable:
-            found.append(checker.similar(_pairs(open_keys), sets))
-            checker.removed(sets, rooted, sizes)
+            found.append(checker.similar(_pairs(open_keys)))
+            checker.removed(rooted, sizes)
             return functools.reduce(DataFrame.union, found)
         # those lead that meet most others, first of texts outside the largest part of a crowd: when all of these
         # have been compared with all others, the crowd is done; one of each of n_leaders shares
@@ -183,7 +213,7 @@ def _crowds(members: DataFrame, checker: _Checker, known: DataFrame, hot: int) -
         leaders = checker.written(open_keys.join(shared, "t").groupBy("key", F.pmod(F.xxhash64("t"), F.lit(n_leaders)).alias("share")).agg(
             F.max_by(F.struct("t", "root"), rank).alias("leader")).select("key", F.col("leader.t").alias("leader"), F.col("leader.root").alias("led")), "leaders")
         tied = open_keys.join(leaders, "key").where("root != led")
-        found.append(checker.similar(_ordered(tied.select(F.col("leader").alias("a"), F.col("t").alias("b"))), sets))
+        found.append(checker.similar(_ordered(tied.select(F.col("leader").alias("a"), F.col("t").alias("b")))))
         # under a key a text is done only when it has been compared with all that it meets there
         rest = open_keys.join(leaders.withColumnRenamed("leader", "t"), ["key", "t"], "left_anti")
         members, n_leaders = checker.written(rest.select("key", "t"), "crowd"), 2 * n_leaders
@@ -199,7 +229,7 @@ def _pairs(members: DataFrame) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, texts: DataFrame, held: DataFrame, tables: Tables, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """Pairs a < b of similar texts among (t, n, first, n_first) with the keys ``held`` (t, key), each there once; of texts that very many
+    """Pairs a < b of similar texts among (t, n, sig, first, n_first) with the keys ``held`` (t, key), each there once; of texts that very many
     others are like, enough pairs to tie them all together.  ``held`` is removed once it is used."""
     checker = _Checker(docs, texts, tables, doc_id, text)
     # most keys are of one text alone
@@ -227,8 +257,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: i
     rows = tables.written(sketched.select("doc_id", "t"), "rows")
     firsts = rows.groupBy("t", "doc_id").agg(F.count("*").alias("n_first")).groupBy("t").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n_first")).alias("f"))
     # of equal texts, which have equal sketches, one goes on
-    one = sketched.groupBy("t").agg(F.any_value("fp").alias("fp"), F.any_value("n").alias("n"))
-    texts = tables.written(one.join(firsts, "t").select("t", "fp", "n", F.col("f.doc_id").alias("first"), "f.n_first"), "texts")
+    one = sketched.groupBy("t").agg(F.any_value("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
+    texts = tables.written(one.join(firsts, "t").select("t", "fp", "n", "sig", F.col("f.doc_id").alias("first"), "f.n_first"), "texts")
     keyed = same(sketched, texts.select("t", F.col("first").alias("doc_id")), ["t", "doc_id"], "left_semi").select("t", F.explode("keys").alias("key"))
     held = tables.written(keyed if texts.where("n_first > 1").isEmpty() else keyed.distinct(), "held")
     tables.remove(sketched)
