@@ -12,11 +12,13 @@ in lower case with one word at least, so a verbatim copy is found however many o
 whatever stands before it or how it is capitalised.
 
 Documents are read once; a Bloom filter of the benchmark's windows, of bounded size, keeps
-almost all windows that cannot match from leaving the task.  The join decides, on the template itself.
+almost all windows that cannot match from leaving the task, and windows with a token that is in no item aren't even looked up.
+The join decides, on the template itself.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import Any
 
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapewatch.llm.columns import Carried, pick, same
-from tapewatch.session import ship_package
+from tapewatch.session import scratch, ship_package
 
 WINDOW = 8
 LEAST_SHARE = 0.5
@@ -36,6 +38,8 @@ LEAST_SHARE = 0.5
 LEAST_WORDS = 4
 FILTER_BITS_PER_WINDOW, LARGEST_FILTER_BITS = 64, 1 << 28
 REMEMBERED = 400_000
+# Distinct tokens of the benchmark's windows up to which documents' tokens are compared with them first.
+MOST_TOKENS = 500_000
 # Templates up to which documents without all words of any window are passed over at once; a larger
 # benchmark only takes longer.
 ANCHORED = 200_000
@@ -56,17 +60,20 @@ _TOKEN = regex.compile(TOKEN)
 _LETTERS = regex.compile(r"\p{L}+")
 _NAME = regex.compile(r"\p{Lu}\p{L}+")
 _ENDS = frozenset(".!?\n")
+# Marks that are no tokens, behind many words.
+_NO_TOKENS = frozenset(",;:)'\"*&|#")
 _UNITS = frozenset(UNITS)
 
 
 def _canonical(raw: str, at_start: bool) -> str:
     if raw[0].isnumeric():
         return NUMBER
-    if raw.lower() in _UNITS:
+    low = raw.lower()
+    if low in _UNITS:
         return UNIT
-    if not at_start and _NAME.fullmatch(raw):
+    if not at_start and not raw[0].islower() and _NAME.fullmatch(raw):
         return NAME
-    return raw.lower()
+    return low
 
 
 def tokens(text: str) -> list[tuple[str, str]]:
@@ -135,36 +142,58 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
 class _Matcher:
     """The windows of documents that may match, within a worker."""
 
-    def __init__(self, bits: np.ndarray, sizes: list[int]) -> None:
+    def __init__(self, bits: np.ndarray, sizes: list[int], vocabulary: list[str] | None = None) -> None:
+        """``vocabulary`` has all tokens of the items' windows, if they are few; then others have code 0."""
         self._bits, self._sizes = bits, sizes
+        self._codes = None if vocabulary is None else {t: token_code(t) for t in vocabulary}
         self._known: dict[str, tuple] = {}
+        self._shared: dict[tuple, tuple] = {}
+        self._unit, self._name = self._code(UNIT), self._code(NAME)
+
+    def _code(self, token: str) -> int:
+        return token_code(token) if self._codes is None else self._codes.get(token, 0)
 
     @staticmethod
-    def hashes(codes: np.ndarray, size: int) -> np.ndarray:
-        """A hash of each window of ``size`` tokens from the tokens' hashes."""
-        n = len(codes) - size + 1
-        total = np.zeros(max(0, n), dtype=np.uint64)
-        if n > 0:
-            for i in range(size):
-                total = total * np.uint64(0x9E3779B97F4A7C15) + codes[i:i + n]
-            total ^= total >> np.uint64(29)
+    def hashes(codes: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
+        """A hash of each window of ``size`` tokens, or of those that begin ``at`` some places, from the tokens' hashes."""
+        if at is None:
+            at = np.arange(max(0, len(codes) - size + 1))
+        total = np.zeros(len(at), dtype=np.uint64)
+        for i in range(size if len(at) else 0):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + codes[at + i]
+        total ^= total >> np.uint64(29)
         return total
 
     def _pieces(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...], bool | None, tuple[int, ...]]:
         """Codes of a word's tokens within and at the start of a sentence; whether the next word is at one,
         None for a word without tokens; codes of the tokens as they stand."""
-        both, end = [], None
-        exact = tuple(token_code(_verbatim(m[0])) for m in _TOKEN.finditer(word) if m[0] not in _ENDS)
-        for start in (False, True):
-            codes, end = [], None
-            for match in _TOKEN.finditer(word):
-                if match[0] in _ENDS:
-                    start = end = True
-                else:
-                    codes.append(token_code(_canonical(match[0], start)))
-                    start = end = False
-            both.append(tuple(codes))
-        return both[0], both[1], end, exact
+        if (core := word if word.isalpha() else word[:-1] if word[-1] in _NO_TOKENS else "").isalpha():
+            within, begun, exact = self._letters_codes(core)
+            return (within,), (begun,), False, (exact,)
+        raws = _TOKEN.findall(word)
+        within, exact, start = [], [], False
+        for raw in raws:
+            if raw in _ENDS:
+                start = True
+            else:
+                within.append(self._code(_canonical(raw, start)))
+                exact.append(self._code(_verbatim(raw)))
+                start = False
+        # only the first token tells a start from other places
+        begun = tuple(within)
+        if raws and raws[0] not in _ENDS:
+            begun = (self._code(_canonical(raws[0], True)), *begun[1:])
+        return tuple(within), begun, start if raws else None, tuple(exact)
+
+    def _letters_codes(self, raw: str) -> tuple[int, int, int]:
+        """Codes of a token of letters within a sentence, at its start and as it stands."""
+        low = raw.lower()
+        exact = self._code(f"={low}")
+        if low in _UNITS:
+            return self._unit, self._unit, exact
+        begun = self._code(low)
+        is_name = len(raw) > 1 and not raw[0].islower() and _NAME.fullmatch(raw)
+        return self._name if is_name else begun, begun, exact
 
     def codes(self, text: str) -> np.ndarray:
         """The codes of ``tokens(text)``."""
@@ -173,33 +202,36 @@ class _Matcher:
     def both_codes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The codes of ``tokens(text)``, canonical and as they stand; words are looked up as a whole."""
         if len(self._known) > REMEMBERED:
-            self._known = {}
-        known, out, exact = self._known, [], []
+            self._known, self._shared = {}, {}
+        known, shared, out, exact = self._known, self._shared, [], []
+        for word in set(text.split()).difference(known):
+            pieces = self._pieces(word)
+            known[word] = shared.setdefault(pieces, pieces)  # most words have the codes of many others
         for line in text.split("\n"):
             start = True
             for word in line.split():
-                found = known.get(word)
-                if found is None:
-                    found = known[word] = self._pieces(word)
-                out += found[start]
-                exact += found[3]
-                if found[2] is not None:
-                    start = found[2]
+                within, begun, end, raw = known[word]
+                out += begun if start else within
+                exact += raw
+                if end is not None:
+                    start = end
         return np.array(out, dtype=np.uint64), np.array(exact, dtype=np.uint64)
 
     def places(self, text: str) -> list[tuple[int, int, bool]]:
         """(size, position, verbatim) of windows that the filter lets through."""
         found = []
         for verbatim, codes in enumerate(self.both_codes(text)):
+            known = np.concatenate(([0], np.cumsum(codes != 0)))
             for size in self._sizes:
-                h = self.hashes(codes, size)
-                hit = lookup(self._bits, h)
-                found += [(size, i, bool(verbatim)) for i in np.flatnonzero(hit).tolist()]
+                at = np.flatnonzero(known[size:] - known[:-size] == size)
+                if len(at):
+                    hit = lookup(self._bits, self.hashes(codes, size, at))
+                    found += [(size, i, bool(verbatim)) for i in at[hit].tolist()]
         return found
 
 
 def token_code(canonical: str) -> int:
-    return xxhash.xxh64_intdigest(canonical)
+    return xxhash.xxh64_intdigest(canonical) or 1  # 0 is any token that no item has
 
 
 def _places(bits: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,6 +291,12 @@ def _letters(raw: str) -> set[str]:
     return {low} if low.isalpha() else set(_LETTERS.findall(low))
 
 
+def vocabulary(windows: DataFrame) -> list[str] | None:
+    """The tokens of all windows, None if there are too many."""
+    rows = windows.select(F.explode(F.split("template", " ")).alias("token")).distinct().limit(MOST_TOKENS + 1).collect()
+    return None if len(rows) > MOST_TOKENS else [r.token for r in rows]
+
+
 def anchors(windows: DataFrame) -> dict[str, list[frozenset[str]]] | None:
     """The words of each window under the longest of them, None if there are too many windows.
 
@@ -274,31 +312,52 @@ def anchors(windows: DataFrame) -> dict[str, list[frozenset[str]]] | None:
     return found
 
 
+# ASCII letters in lower case, other ASCII characters as blanks; all others stay.
+_ASCII_LETTERS = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
+
+
+@functools.lru_cache(maxsize=REMEMBERED)
+def _letters_beyond_ascii(part: bytes) -> frozenset[str]:
+    return frozenset(w for raw in _LETTERS.findall(part.decode()) for w in _letters(raw))
+
+
 def may_hold(text: str, anchored: dict[str, list[frozenset[str]]]) -> bool:
     """Whether a text has all words of some window."""
-    words = {w.lower() for w in set(_LETTERS.findall(text))}
-    if not all(map(str.isalpha, words)):
-        words = {w for raw in set(_LETTERS.findall(text)) for w in _letters(raw)}
-    words.add("")
-    return any(needed <= words for anchor in words & anchored.keys() for needed in anchored[anchor])
+    return _may_hold(text, *_coded(anchored))
+
+
+def _coded(anchored: dict[str, list[frozenset[str]]]) -> tuple[frozenset[bytes], dict[bytes, list[frozenset[bytes]]]]:
+    """All longest words, and windows under them, in UTF-8."""
+    coded = {anchor.encode(): [frozenset(w.encode() for w in words) for words in windows] for anchor, windows in anchored.items()}
+    return frozenset(coded), coded
+
+
+def _may_hold(text: str, longest: frozenset[bytes], anchored: dict[bytes, list[frozenset[bytes]]]) -> bool:
+    words = set(text.encode().translate(_ASCII_LETTERS).split())
+    if not text.isascii():
+        for part in [w for w in words if not w.isascii()]:
+            words.update(w.encode() for w in _letters_beyond_ascii(part))
+    words.add(b"")
+    return any(needed <= words for anchor in longest & words for needed in anchored[anchor])
 
 
-def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int], anchored: dict[str, list[frozenset[str]]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int], anchored: dict[str, list[frozenset[str]]] | None = None, doc_id: str = "doc_id", text: str = "text",
+                     tokens_known: list[str] | None = None) -> DataFrame:
     """doc_id, t (hash of the text), size, at, template, slots of the windows that the filter lets through."""
     spark = docs.sparkSession
     ship_package(spark)
-    shipped = spark.sparkContext.broadcast((bits, sizes, anchored))
+    shipped = spark.sparkContext.broadcast((bits, sizes, anchored, tokens_known))
     rows = pick(docs, doc_id=doc_id, text=text).select("doc_id", F.xxhash64("text").alias("t"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, sizes, anchored = shipped.value
-        matcher = _Matcher(bits, sizes)
+        bits, sizes, anchored, tokens_known = shipped.value
+        matcher, coded = _Matcher(bits, sizes, tokens_known), None if anchored is None else _coded(anchored)
         for batch in batches:
             kinds = (batch.column("doc_id").type, pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()))
             rows = []
             for i, text in enumerate(batch.column("text")):
                 text = text.as_py() or ""
-                places = matcher.places(text) if anchored is None or may_hold(text, anchored) else []
+                places = matcher.places(text) if coded is None or _may_hold(text, *coded) else []
                 if places:
                     all_tokens = tokens(text)
                     rows += [(batch.column("doc_id")[i].as_py(), batch.column("t")[i].as_py(), size, at, *w)
@@ -326,9 +385,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_sha
 
     Null texts hold nothing; rows equal in id and text count as one.  An empty benchmark finds nothing.
     """
-    items = item_windows(benchmark, text="text", window=window)
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "item-windows")
+    made = item_windows(benchmark, text="text", window=window)
+    made.write.parquet(path)
+    items = spark.read.schema(made.schema).parquet(path)
     bits, sizes = window_filter(items)
-    found = document_windows(docs, bits, sizes, anchors(items), doc_id, text)
+    found = document_windows(docs, bits, sizes, anchors(items), doc_id, text, vocabulary(items))
     right = items.select("item_id", "n_windows", "verbatim", F.col("at").alias("item_at"), F.col("size").alias("item_size"),
                          F.col("template").alias("item_template"), F.col("slots").alias("item_slots"))
     matched = found.join(right, (F.col("template") == F.col("item_template")) & (F.col("size") == F.col("item_size")))
