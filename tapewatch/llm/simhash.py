@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tapewatch.llm.columns import pick
 from tapewatch.llm.components import components
-from tapewatch.session import scratch, ship_package
+from tapewatch.session import scratch, ship_package, shuffled, small_side
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -141,15 +141,18 @@ def links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFr
 
     Pairs from segment values with fewer than ``hot`` entries all come; from the others come
     as many as keep every two fingerprints within the distance connected.
+
+    Tables and probes have many rows for each fingerprint, which Spark's estimates leave out, so these joins
+    broadcast nothing but a counted side.
     """
     if distance > 2:
         raise ValueError("common neighbours within one bit reach two bits")
     table = _table(prints)
     full = table.groupBy("s", "key").agg(F.count("*").alias("n"))
-    many = full.where(F.col("n") >= hot).select("s", "key")
+    many = small_side(full.where(F.col("n") >= hot).select("s", "key"))
     probes = _probes(prints, distance)
-    few = table.join(full.where(F.col("n") < hot).select("s", "key"), ["s", "key"])
-    pairs = probes.join(few, ["s", "key"]).where(
+    few = table.join(shuffled(full.where(F.col("n") < hot).select("s", "key")), ["s", "key"])
+    pairs = probes.join(shuffled(few), ["s", "key"]).where(
         (_apart(F.col("a"), F.col("fp")) <= distance) & (~F.col("own") | (F.col("a") < F.col("fp"))))
     crowd = (
         table.join(many, ["s", "key"]).select("fp")
@@ -157,7 +160,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFr
     around = F.concat(F.array("fp"), F.array(*(F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64))))
     meeting = crowd.select("fp", F.explode(around).alias("at"))
     smallest = meeting.groupBy("at").agg(F.min("fp").alias("b"), F.max("fp").alias("largest")).where("b != largest").select("at", "b")
-    met = meeting.join(smallest, "at").where((F.col("fp") != F.col("b")) & (_apart(F.col("fp"), F.col("b")) <= distance))
+    met = meeting.join(shuffled(smallest), "at").where((F.col("fp") != F.col("b")) & (_apart(F.col("fp"), F.col("b")) <= distance))
     return pairs.select("a", F.col("fp").alias("b")).union(met.select(F.col("fp").alias("a"), "b"))
 
 

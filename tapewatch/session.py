@@ -58,12 +58,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that broadcasts neither side, whatever Spark takes their sizes for.
+
+    Spark's estimates don't count the rows that an explode makes: a side of many times the limit can pass for a small one.
+    """
+    return df.hint("merge")
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if counting proves it small, else leave the join to Spark.
+    """Broadcast ``df`` if counting proves it small, else let the join broadcast neither side.
 
     The count is a job of its own, so ``df`` should be cheap to read.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    return F.broadcast(df) if df.count() <= limit else shuffled(df)
 
 
 _SHIPPED: set[str] = set()
