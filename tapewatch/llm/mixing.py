@@ -20,6 +20,7 @@ from tapewatch.session import small_side
 SEED = 7
 TEMPERATURE = 0.5
 LARGEST_RATE = 32.0
+BROADCAST_SOURCES = 20_000  # sources, with a table each, that are broadcast at most
 STEPS = 160  # entries of a table of cumulated probabilities: beyond rate 32 by over 20 deviations
 
 
@@ -77,7 +78,7 @@ def replicated(docs: DataFrame, targets: dict[str, float] | None = None, tempera
     rated = rates.select("source", parts.alias("parts"), cumulated(F.col("rate") / parts).alias("sums"))
     drawn = same(
         table.df.withColumns({"source": table[source], "t": F.md5(F.coalesce(table[text], F.lit("")))}),
-        small_side(rated), ["source"])
+        small_side(rated, BROADCAST_SOURCES), ["source"])
     draws = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: bind(
         uniform(F.lit(seed), j, table[doc_id], F.col("t")),
         lambda u: F.size(F.filter("sums", lambda s: s <= u))))

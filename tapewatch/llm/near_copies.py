@@ -30,7 +30,7 @@ from tapewatch.llm import simhash
 from tapewatch.llm.columns import Carried, pick, same
 from tapewatch.llm.components import components
 from tapewatch.llm.storage import Tables
-from tapewatch.session import ship_package, small_side
+from tapewatch.session import ship_package, shuffled, small_side
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -84,8 +84,11 @@ def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py()).view("<i8"))], ["h"])
 
     counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    found = sorted((r.h % (1 << 64), r.n) for r in counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect())
-    return np.array([h for h, _ in found], dtype="<u8"), np.array([n for _, n in found], dtype=np.int64)
+    # as Arrow, the first ones are picked in a task; a collect would merge those of every task in the driver
+    found = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
+    hashes, n = found["h"].to_numpy().view("<u8"), found["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
 
 
 def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -278,7 +281,7 @@ def _crowds(members: DataFrame, checker: _Checker, known: DataFrame) -> DataFram
         crowds = shares.groupBy("key").agg(
             F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"), F.max(F.struct("first", "root")).alias("leader"))
         opened = checker.written(
-            rooted.join(crowds.where("main.n < size").withColumn("n_main", F.col("main.n")).withColumn("main", F.col("main.root")), "key"), "open-crowds")
+            rooted.join(shuffled(crowds.where("main.n < size").withColumn("n_main", F.col("main.n")).withColumn("main", F.col("main.root"))), "key"), "open-crowds")
         checker.removed(rooted, members)
         if opened.isEmpty():
             break
@@ -320,7 +323,7 @@ def _pairs(members: DataFrame) -> DataFrame:
     """All pairs of texts that meet under a key, each once."""
     left = members.select("key", F.col("t").alias("a"))
     right = members.select(F.col("key").alias("k"), F.col("t").alias("b"))
-    return left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    return left.join(shuffled(right), (F.col("key") == F.col("k")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
 
 
 def similar_texts(docs: DataFrame, texts: DataFrame, held: DataFrame, tables: Tables, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tapewatch.llm.columns import Carried, pick, same
-from tapewatch.session import scratch, ship_package
+from tapewatch.session import scratch, ship_package, small_side
 
 WINDOW = 8
 LEAST_SHARE = 0.5
@@ -43,6 +43,8 @@ MOST_TOKENS = 500_000
 # Templates up to which documents without all words of any window are passed over at once; a larger
 # benchmark only takes longer.
 ANCHORED = 200_000
+# Windows of items that are broadcast at most; of more, those that documents have are shuffled.
+BROADCAST_WINDOWS = 50_000
 
 # Token and sentence patterns, and units of measure.
 TOKEN = r"\p{L}+|\p{N}+(?:[.,]\p{N}+)*|[%$€£°]|[.!?\n]"
@@ -393,7 +395,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_sha
     found = document_windows(docs, bits, sizes, anchors(items), doc_id, text, vocabulary(items))
     right = items.select("item_id", "n_windows", "verbatim", F.col("at").alias("item_at"), F.col("size").alias("item_size"),
                          F.col("template").alias("item_template"), F.col("slots").alias("item_slots"))
-    matched = found.join(right, (F.col("template") == F.col("item_template")) & (F.col("size") == F.col("item_size")))
+    # windows overlap, so their files are far smaller than what is made of them
+    matched = found.join(small_side(right, BROADCAST_WINDOWS), (F.col("template") == F.col("item_template")) & (F.col("size") == F.col("item_size")))
     pairs = F.transform(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")),
                         lambda z: F.struct(z["item"].alias("item"), z["doc"].alias("doc")))
     diagonals = (
