@@ -1,18 +1,22 @@
-"""The two dense networks, fitted on a bounded sample and applied in batches.
+"""The two dense networks, fitted on all rows and applied in batches.
 
-Networks of this size learn from a bounded sample: ``MAX_LABELLED_ROWS`` rows, chosen by a hash
-over all partitions, on which one task runs mini-batch Adam.  Scoring covers all rows.
+A task runs mini-batch Adam on ``ROWS_PER_PIECE`` rows at most.  More rows are fitted in pieces side by side, whose weights
+are averaged after each epoch.  Scoring covers all rows, too.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tapewatch.session import ship_package
+from tapewatch.operators.series import number_by_sort
+from tapewatch.session import cut, ship_package
 
 # Layer widths, dropout, batch size, patience, learning rates.
 AUTOENCODER = (20, 20, 10, 20, 20)
@@ -25,8 +29,10 @@ AUTOENCODER_PATIENCE, AUTOENCODER_RATE_PATIENCE, AUTOENCODER_MIN_RATE = 15, 7, 0
 CLASSIFIER_PATIENCE, CLASSIFIER_RATE_PATIENCE, CLASSIFIER_MIN_RATE = 20, 10, 0.00001
 
 
-# Rows that a fit takes at most, and as many to hold it against.
-MAX_LABELLED_ROWS = 100_000
+# Rows that one task fits or holds against at most; of more, pieces are fitted side by side.
+ROWS_PER_PIECE = 100_000
+# Rows that go through a network at once where losses are summed up.
+STRIPE = 8_192
 
 
 @dataclass(frozen=True)
@@ -110,14 +116,17 @@ def _descend(network: Network, x, y, w, rate: float, dropout, state: tuple, rng)
     return Network(network.widths, network.head, flat), (first, second, step)
 
 
-def _course(network: Network, train: tuple, held: tuple, epochs: int, dropout, patience: int, rate_patience: int,
+def _course(network: Network, epoch: Callable, held_loss: Callable[[Network], float], epochs: int, patience: int, rate_patience: int,
             min_rate: float, rate: float) -> tuple[Network, list[float]]:
-    """Epochs until the held rows stop gaining; the best weights and the losses."""
-    rng, zeros = np.random.default_rng(1000), np.zeros_like(network.flat)
+    """Epochs until the held rows stop gaining; the best weights and the losses.
+
+    ``epoch`` makes the next network and state (both moments and the step) of a network, its state, the rate and the epoch's number.
+    """
+    zeros = np.zeros_like(network.flat)
     state, best, best_loss, waited, stalled, history = (zeros, zeros, 0), network, float("inf"), 0, 0, []
-    for _ in range(epochs):
-        network, state = _descend(network, *train, rate, dropout, state, rng)
-        loss = float(network.loss(held[0], held[1]).mean())
+    for at in range(epochs):
+        network, state = epoch(network, state, rate, at)
+        loss = held_loss(network)
         history.append(loss)
         if loss < best_loss:
             best, best_loss, waited, stalled = network, loss, 0, 0
@@ -130,44 +139,114 @@ def _course(network: Network, train: tuple, held: tuple, epochs: int, dropout, p
     return best, history
 
 
-def bounded(rows: DataFrame, most: int) -> DataFrame:
-    """All rows, or ``most`` of them chosen by a hash of their values, in the order of that hash."""
-    key = F.xxhash64("x", "y")
-    return rows.select("x", "y", "w", key.alias("key")).orderBy("key", "x", "y").limit(most)
-
-
 def fit(
     network: Network, train: DataFrame, held: DataFrame, epochs: int, dropout=(),
     patience: int = 15, rate_patience: int = 7, min_rate: float = 0.0001, rate: float = RATE,
-    max_labelled_rows: int = MAX_LABELLED_ROWS,
+    rows_per_piece: int = ROWS_PER_PIECE,
 ) -> tuple[Network, list[float]]:
-    """Fit on rows (x, y, w); stops early and keeps the best weights.
+    """Fit on all rows (x, y, w); stops early, by the loss over all held rows, and keeps the best weights.
 
-    Takes ``max_labelled_rows`` training rows and as many held ones at most, chosen and ordered by a
-    hash, so the result depends neither on the partitions nor on the order of the input.
-    One task runs all epochs over this bounded sample; no rows of either kind is an error.
+    Up to ``rows_per_piece`` rows of either kind are fitted by one task, which runs all epochs.  More of them lie in pieces of
+    equal size: in each epoch every piece goes on from the same weights and moments in a task of its own, and the next ones are
+    the mean over the pieces, by their rows.  Rows are dealt and ordered by a hash of their values, so the result depends
+    neither on the partitions nor on the order of the input.  No rows of either kind is an error.
     """
     ship_package(train.sparkSession)
-    both = bounded(train, max_labelled_rows).withColumn("held", F.lit(False)).union(
-        bounded(held, max_labelled_rows).withColumn("held", F.lit(True)))
+    train, held = (rows.select("x", "y", "w", F.xxhash64("x", "y").alias("key")) for rows in (train, held))
+    sizes = train.count(), held.count()
+    for n, kind in zip(sizes, ("no training rows to fit on", "no validation rows to fit with"), strict=True):
+        if not n:
+            raise ValueError(kind)
+    rules = (epochs, patience, rate_patience, min_rate, rate)
+    if max(sizes) <= rows_per_piece:
+        return _fit_in_one_task(network, train, held, dropout, rules)
+    pieces = [_pieces(rows, n, rows_per_piece) for rows, n in zip((train, held), sizes, strict=True)]
+    return _course(network, _epoch_over(pieces[0], dropout), _loss_over(pieces[1]), *rules)
+
+
+def _fit_in_one_task(network: Network, train: DataFrame, held: DataFrame, dropout, rules: tuple) -> tuple[Network, list[float]]:
+    both = train.withColumn("held", F.lit(False)).union(held.withColumn("held", F.lit(True)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["held", "key"], ignore_index=True)
+        frame = frame.sort_values(["held", "key", "w"], ignore_index=True)
         parts = []
         for which in (False, True):
             some = frame[frame["held"] == which]
-            if some.empty:
-                raise ValueError("no validation rows to fit with" if which else "no training rows to fit on")
             x = np.stack(some["x"].to_numpy())
             y = x if network.head == "mse" else some["y"].to_numpy(dtype=float)[:, None]
             parts.append((x, y, some["w"].to_numpy(dtype=float)))
-        best, history = _course(network, *parts, epochs, dropout, patience, rate_patience, min_rate, rate)
+        rng, (x, y, _) = np.random.default_rng(1000), parts[1]
+        best, history = _course(
+            network, lambda now, state, rate, at: _descend(now, *parts[0], rate, dropout, state, rng),
+            lambda now: float(now.loss(x, y).mean()), *rules)
         return pd.DataFrame({"flat": [best.flat.tolist()], "history": [history]})
 
-    found = both.groupBy().applyInPandas(run, "flat array<double>, history array<double>").collect()
-    if not found:
-        raise ValueError("no training rows to fit on")
-    return Network(network.widths, network.head, np.array(found[0].flat)), list(found[0].history)
+    found = both.groupBy().applyInPandas(run, "flat array<double>, history array<double>").head()
+    return Network(network.widths, network.head, np.array(found.flat)), list(found.history)
+
+
+def _pieces(rows: DataFrame, n: int, rows_per_piece: int) -> DataFrame:
+    """The ``n`` rows (x, y, w, key) as piece, rn, x, y, w, in the order of their key, written out; each piece is a partition."""
+    count = -(-n // rows_per_piece)
+    numbered = number_by_sort(rows, [], ["key", "w"])
+    piece = F.floor((F.col("rn") - 1) / -(-n // count)).cast("int")
+    return cut(numbered.select(piece.alias("piece"), "rn", "x", "y", "w").repartitionById(count, "piece").sortWithinPartitions("rn"))
+
+
+def _piece(batches: Iterator[pa.RecordBatch], head: str) -> tuple[int, tuple] | None:
+    """The number of a task's piece and its x, y, w."""
+    table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if not table:
+        return None
+    x = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+    y = x if head == "mse" else table["y"].to_numpy()[:, None]
+    return table["piece"][0].as_py(), (x, y, table["w"].to_numpy())
+
+
+def _epoch_over(pieces: DataFrame, dropout) -> Callable:
+    """An epoch in which each piece is a task."""
+    together = max(16, math.isqrt(pieces.rdd.getNumPartitions()))  # pieces that are summed up before the driver gets them
+
+    def epoch(network: Network, state: tuple, rate: float, at: int) -> tuple[Network, tuple]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if found := _piece(batches, network.head):
+                piece, rows = found
+                after, (first, second, step) = _descend(network, *rows, rate, dropout, state, np.random.default_rng([1000, at, piece]))
+                yield _summed(piece // together, piece, len(rows[0]), step, len(rows[0]) * np.concatenate([after.flat, first, second]))
+
+        def add(table: pa.Table) -> pa.Table:
+            table = table.sort_by("piece")  # sums of doubles depend on the order
+            values = sum(v.values.to_numpy() for v in table["sums"])
+            step = max(table["step"].to_pylist())
+            return pa.Table.from_batches([_summed(table["batch"][0].as_py(), table["piece"][0].as_py(), sum(table["n"].to_pylist()), step, values)])
+
+        kind = "batch int, piece int, n long, step long, sums array<double>"
+        table = add(pieces.mapInArrow(run, kind).groupBy("batch").applyInArrow(add, kind).toArrow())
+        flat, first, second = np.split(table["sums"][0].values.to_numpy() / table["n"][0].as_py(), 3)
+        return Network(network.widths, network.head, flat), (first, second, table["step"][0].as_py())
+
+    return epoch
+
+
+def _summed(batch: int, piece: int, n: int, step: int, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([batch], pa.int32()), pa.array([piece], pa.int32()), pa.array([n], pa.int64()), pa.array([step], pa.int64()),
+         pa.array([sums], pa.list_(pa.float64()))], ["batch", "piece", "n", "step", "sums"])
+
+
+def _loss_over(pieces: DataFrame) -> Callable[[Network], float]:
+    """The mean loss over the rows of all pieces."""
+    def held_loss(network: Network) -> float:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if found := _piece(batches, network.head):
+                piece, (x, y, _) = found
+                losses = [network.loss(x[i:i + STRIPE], y[i:i + STRIPE]).sum() for i in range(0, len(x), STRIPE)]
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([sum(losses)])], ["piece", "n", "loss"])
+
+        found = sorted(pieces.mapInArrow(run, "piece int, n long, loss double").collect())
+        return sum(r.loss for r in found) / sum(r.n for r in found)
+
+    return held_loss
 
 
 def vectors(scaled: DataFrame, columns, positive_weight: float = 1.0) -> DataFrame:
@@ -177,20 +256,22 @@ def vectors(scaled: DataFrame, columns, positive_weight: float = 1.0) -> DataFra
     return scaled.select(x, F.col("Target").cast("double").alias("y"), weight.alias("w"), "part")
 
 
-def fit_autoencoder(rows: DataFrame, epochs: int = 50) -> tuple[Network, list[float]]:
+def fit_autoencoder(rows: DataFrame, epochs: int = 50, rows_per_piece: int = ROWS_PER_PIECE) -> tuple[Network, list[float]]:
     """On normal training rows only; all validation rows decide when to stop."""
     return fit(
         Network.fresh(AUTOENCODER, "mse"),
         rows.filter((F.col("part") == "train") & (F.col("y") == 0)), rows.filter(F.col("part") == "validation"),
-        epochs, AUTOENCODER_DROPOUT, AUTOENCODER_PATIENCE, AUTOENCODER_RATE_PATIENCE, AUTOENCODER_MIN_RATE)
+        epochs, AUTOENCODER_DROPOUT, AUTOENCODER_PATIENCE, AUTOENCODER_RATE_PATIENCE, AUTOENCODER_MIN_RATE,
+        rows_per_piece=rows_per_piece)
 
 
-def fit_classifier(rows: DataFrame, epochs: int = 100) -> tuple[Network, list[float]]:
+def fit_classifier(rows: DataFrame, epochs: int = 100, rows_per_piece: int = ROWS_PER_PIECE) -> tuple[Network, list[float]]:
     """On training rows, the positives weighted by ``w``."""
     return fit(
         Network.fresh(CLASSIFIER, "bce"),
         rows.filter(F.col("part") == "train"), rows.filter(F.col("part") == "validation"),
-        epochs, CLASSIFIER_DROPOUT, CLASSIFIER_PATIENCE, CLASSIFIER_RATE_PATIENCE, CLASSIFIER_MIN_RATE)
+        epochs, CLASSIFIER_DROPOUT, CLASSIFIER_PATIENCE, CLASSIFIER_RATE_PATIENCE, CLASSIFIER_MIN_RATE,
+        rows_per_piece=rows_per_piece)
 
 
 def reconstruction_error(network: Network, x: Column) -> Column:
