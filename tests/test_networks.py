@@ -50,3 +50,11 @@ def test_a_fit_in_pieces_depends_on_no_partition(spark):
 def test_no_rows_of_a_kind_is_an_error(spark, part):
     with pytest.raises(ValueError, match="no .* rows to fit"):
         nn.fit_classifier(rows_of(spark, 50).filter(F.col("part") != part), 1)
+
+
+def test_autoencoder_learns_in_pieces(spark):
+    rows = rows_of(spark, 4000)
+    network, history = nn.fit_autoencoder(rows, 12, 800)
+    errors = held(rows).groupBy("y").agg(F.avg(nn.reconstruction_error(network, F.col("x"))).alias("e"))
+    by_class = {r.y: r.e for r in errors.collect()}
+    assert history[-1] < history[0] and by_class[1.0] > 1.5 * by_class[0.0]
