@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewatch.operators import networks as nn
+from tapewatch.operators.metrics import roc_auc
 
 
 def rows_of(spark, n, seed=0):
@@ -58,3 +59,10 @@ def test_autoencoder_learns_in_pieces(spark):
     errors = held(rows).groupBy("y").agg(F.avg(nn.reconstruction_error(network, F.col("x"))).alias("e"))
     by_class = {r.y: r.e for r in errors.collect()}
     assert history[-1] < history[0] and by_class[1.0] > 1.5 * by_class[0.0]
+
+
+def test_classifier_learns_in_pieces(spark):
+    rows = rows_of(spark, 4000)
+    network, history = nn.fit_classifier(rows, 8, 800)
+    scored = held(rows).withColumn("p", nn.probability(network, F.col("x")))
+    assert history[-1] < history[0] and roc_auc(scored, "p", "y").first().auc > 0.95
