@@ -1,4 +1,4 @@
-"""Requests answered as they arrive: a stream of requests joined with a stream of bars."""
+"""Requests answered as they arrive: a stream of requests brought together with a stream of bars."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from tapewatch.streaming.run import batch_folder, each_batch
 from tapewatch.streaming.state import use_rocksdb
 
 DELAY = 600  # seconds a request or a bar may be behind the newest of its stream
+SPREAD = 4   # shares that the requests of one symbol and slot are dealt into
 NO_BAR, NO_PRICE = "no fresh bar", "no known price"
 
 
@@ -19,27 +20,36 @@ def requests_as_of(requests: DataFrame, bars: DataFrame, max_age: int = FRESH_SE
     """Each request (request_id, symbol, request_ts) with ``bar``, its symbol's last one less than ``max_age`` seconds old, or null.
 
     ``bars`` has symbol, ts, seq and prices; symbols match in upper case.  Both streams may be out of order by
-    ``delay`` seconds; a request is answered once both have come so far that no bar for it can follow.  What is
+    ``delay`` seconds; a request is answered once both have come so far that no bar for its slot can follow.  What is
     kept are the requests not yet answered and the bars of ``max_age`` and ``delay`` seconds.  A repeated
     request, equal in all three columns, is answered once.
 
     Time is cut into slots of ``max_age`` seconds, so a request's bars lie in its own slot or the one before; each bar is
-    joined in its own and the next.  So rows meet those of their symbol's slot only, however long the streams are, and the slots
-    of one symbol are spread over tasks.
+    there in its own and the next.  The state has a row for what came of a symbol in a slot, not one for each request: a micro-batch
+    reads and writes it once.  The requests of one symbol and slot are dealt over ``SPREAD`` such rows, each with the slot's bars.
     """
     use_rocksdb(bars.sparkSession)
     asked = requests.select(
-        "request_id", "symbol", "request_ts", F.upper("symbol").alias("_key"), _slot("request_ts", max_age).alias("_slot"),
-    ).withWatermark("request_ts", f"{delay} seconds")
-    slot = _slot("ts", max_age)
-    seen = bars.select(
-        F.upper("symbol").alias("_bar_key"), F.col("ts").alias("_bar_ts"), F.explode(F.array(slot, slot + 1)).alias("_bar_slot"),
-        F.struct("ts", "seq", *[c for c in bars.columns if c not in ("symbol", "ts", "seq")]).alias("bar"),
-    ).withWatermark("_bar_ts", f"{delay} seconds")
-    near = F.expr(f"_key = _bar_key and _slot = _bar_slot and _bar_ts <= request_ts and _bar_ts > request_ts - interval {max_age} seconds")
-    # the join gives every bar of the interval, of which the last one is taken as soon as the watermark has passed the request
-    return asked.join(seen, near, "leftOuter").groupBy("request_id", "symbol", "request_ts").agg(
-        F.max_by("bar", F.struct(F.col("bar.ts"), F.col("bar.seq"))).alias("bar"))
+        F.upper("symbol").alias("_key"), F.pmod(F.xxhash64("request_id"), F.lit(SPREAD)).cast("int").alias("_share"), F.col("request_ts").alias("_at"),
+        F.struct("request_id", "symbol", "request_ts").alias("_request")).withWatermark("_at", f"{delay} seconds")
+    next_slot = F.timestamp_micros((_slot("ts", max_age) + 1) * (max_age * 1_000_000))
+    seen = bars.filter(F.col("symbol").isNotNull() & F.col("ts").isNotNull()).select(
+        F.upper("symbol").alias("_key"), F.explode(F.array("ts", next_slot)).alias("_at"),
+        F.struct("ts", "seq", *[c for c in bars.columns if c not in ("symbol", "ts", "seq")]).alias("_bar"),
+    ).withWatermark("_at", f"{delay + max_age} seconds")  # a copy lies up to a slot after its bar
+    dealt = seen.select("_key", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_share"), "_at", "_bar")
+    kept = asked.unionByName(dealt, allowMissingColumns=True).groupBy("_key", "_share", F.window("_at", f"{max_age} seconds").alias("_slot")).agg(
+        F.collect_set("_request").alias("_requests"), F.collect_list("_bar").alias("_bars"))
+
+    def answered(request: Column) -> Column:
+        asked_at = request["request_ts"]
+        near = F.filter("_bars", lambda bar: (bar["ts"] <= asked_at) & (bar["ts"] > asked_at - F.expr(f"interval {max_age} seconds")))
+        # the last one by time and seq
+        last = F.reduce(near, F.get(near, F.lit(0)), lambda best, bar: F.when(
+            F.struct(bar["ts"], bar["seq"]) > F.struct(best["ts"], best["seq"]), bar).otherwise(best))
+        return F.struct(request["request_id"].alias("request_id"), request["symbol"].alias("symbol"), asked_at.alias("request_ts"), last.alias("bar"))
+
+    return kept.select(F.inline(F.transform("_requests", answered)))
 
 
 def _slot(time: str, seconds: int) -> Column:
